@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     member = member.select("token", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
-    other = member.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("to"))
-    rest = member.join(other, (member.token == other.token) & (member.label < other.to) & _possible("n", "i", "m", "j", percent))
+    other = member.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
+    rest = member.join(other, (member.token == other.token) & (member.label < other.label_b) & _possible("n", "i", "m", "j", percent))
     labels = _merged(labels, _verified(rest.select(F.col("cid").alias("a"), "b").distinct(), sets, percent))
 
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("label", "cid").alias("label"))
