@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .scratch import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of the shuffled order in which running sums start anew, for each source; no sum runs over a whole source.
+#: Ranges of the shuffled order (three hex digits of a hash) and of the slots, in which running sums start anew: no sum
+#: runs over a whole source.
 CELLS = 4096
 
 
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     rows = stage(sized(docs, **names))
     sources = [(r.source, r.words) for r in rows.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()]
     goal = targets(sources, weights, most)
-    whole = [min(int(round(t)), int(most * n)) for t, (_, n) in zip(goal, sources)]
+    whole = [min(int(t + 0.5), int(most * n)) for t, (_, n) in zip(goal, sources)]
     slots = [-(-t // block) for t in whole]
     total = sum(slots)
     table, upto = [], 0
@@ -72,8 +73,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     facts = spark.createDataFrame(table, "k int, source string, source_size long, target double, take long, lo long, hi long")
 
     # a shuffled order of each source: ranges of a hash, then the hash within them
-    h = F.xxhash64("doc_id", "size", F.lit(seed))
-    cell = F.shiftrightunsigned(h, 52).cast("int")
+    h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.lit(str(seed))).cast("binary"))
+    cell = F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
     facts_small = F.broadcast(facts) if len(table) <= 100_000 else facts
     placed = rows.join(facts_small, rows.source.eqNullSafe(facts.source)).select("doc_id", rows.source, "size", "source_size", "target", "take", "k", h.alias("h"), cell.alias("cell"))
     sums = _numbered(placed.groupBy("k", "cell").agg(F.sum("size").alias("words")), "k", "words").select("k", "cell", "before")

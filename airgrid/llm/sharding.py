@@ -73,7 +73,7 @@ def _splitters(keys: DataFrame, shards: int, tolerance: float) -> tuple[list[tup
     return [done[i] for i in sorted(done)], rounds
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, doc_id: str = "doc_id", text: str = "text", cells: int = 4096, sub: int = 256) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, doc_id: str = "doc_id", text: str = "text", cells: int = 4096, sub: int = 256) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot added (columns of these names are replaced).
 
     size: UTF-8 bytes plus 1 (null text: 1); text_crc32: of the UTF-8 bytes (null: 0).  Shards differ from an equal share of
