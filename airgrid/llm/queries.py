@@ -75,10 +75,10 @@ lv as (select (total - capped) / open level from r where (total - capped) / open
 t as (select w.source, w.n, case when n = 0 then 0 when (select level from lv) is null then cap else least(cap, w * (select level from lv)) end target from w),
 g as (select source, n::bigint source_size, target, least(floor(target + 0.5), floor(3 * n))::bigint take from t),
 o as (select d.*, g.source_size, g.target, g.take, coalesce(sum(size) over (partition by g.source order by
-      substr(md5(concat_ws('|', d.doc_id::varchar, d.size::varchar, '7')), 1, 32), d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint at
+      substr(md5(concat_ws('|', d.doc_id::varchar, d.size::varchar, '7')), 1, 32), d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint pos
       from d join g on d.source is not distinct from g.source)
 select doc_id, size, source_size, round(target, 6) target,
-  (case when size = 0 then 0 else (take // source_size) * size + greatest(0, least(at + size, take % source_size) - at) end)::bigint taken from o""",
+  (case when size = 0 then 0 else (take // source_size) * size + greatest(0, least(pos + size, take % source_size) - pos) end)::bigint taken from o""",
     "op3_repetition": rf"""
 with d as (select doc_id, coalesce(text, '') t, {_WORDS.format("text")} w from documents),
 g as (select doc_id, p, list_slice(w, p, p + 4) x from d, unnest(range(1, len(w) - 3)) u(p)),
