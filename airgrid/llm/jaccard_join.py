@@ -2,9 +2,9 @@
 
 Shingles are ordered by rarity (a sketch of fixed size counts them over the whole corpus; any shared order is exact).  Two
 sets that reach the threshold share a token of their prefixes.  Texts with equal sets are one class, classes with equal
-prefix and size one group.  Groups meet on prefix tokens, pass length and position bounds, and their members are verified
+prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass length and position bounds, and their members are verified
 on whole sets.  So that a large group of near copies never becomes all of its pairs, buckets are first linked to one pivot
-each; afterwards only members that are still in different components are compared, all of them, so no link between
+each, twice; afterwards only members that are still in different components are compared, all of them, so no link between
 components is lost.
 """
 
@@ -55,13 +55,15 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, k: int, ranks: np.ndarray) ->
     return row, token.view(np.int64)
 
 
+def _sums(token: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit digest of the tokens in each range, whatever their order."""
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(tb.mix(token.view(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed)))]
+    return tb.mix((total[end] - total[first]) ^ ((end - first).astype(np.uint64) << np.uint64(32)))
+
+
 def _digest(token: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
     """128-bit digest of the tokens in each range."""
-    out = []
-    for seed in (3, 5):
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(tb.mix(token.view(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed)))]
-        out.append(tb.mix((total[end] - total[first]) ^ ((end - first).astype(np.uint64) << np.uint64(32))))
-    return [bytes(x) for x in np.stack(out, 1).view("S16").ravel().astype("V16")]
+    return [x.tobytes() for x in np.stack([_sums(token, first, end, seed) for seed in (3, 5)], 1)]
 
 
 def _rarity(texts: DataFrame, k: int) -> np.ndarray:
@@ -83,9 +85,11 @@ def _rarity(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
-    """Each row's class (digest of its whole set), group (digest of prefix and size), size and prefix."""
+    """Each row's class (digest of its whole set), group (digest of prefix and size), size and prefix.  Of rows of one group
+    that a task meets, only the first need carry the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
                 row, token = _tokens(data, offsets, k, ranks)
@@ -93,15 +97,20 @@ def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFr
                 n = np.diff(first)
                 # two sets of n and m overlap by ceil(p (n + m) / (100 + p)) at least, so by ceil(p n / 100)
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                group = tb.mix(_sums(token, first[:-1], first[:-1] + length, 9) + n.astype(np.uint64)).view(np.int64)
+                for r, g in enumerate(group.tolist()):
+                    if g in sent:
+                        length[r] = 0
+                    sent.add(g)
+                if len(sent) > 500_000:
+                    sent.clear()
                 pick = np.repeat(first[:-1] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
                 prefixes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(token[pick]))
-                size = n.astype(np.uint64)
-                group = [g + bytes(s) for g, s in zip(_digest(token, first[:-1], first[:-1] + length), size.view("V8"))]
-                cols = [batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(n), pa.array(_digest(token, first[:-1], first[1:]), pa.binary()), pa.array(group, pa.binary()), prefixes]
+                cols = [batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(n), pa.array(_digest(token, first[:-1], first[1:]), pa.binary()), pa.array(group), prefixes]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "cid", "gid", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, gid binary, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, gid long, prefix array<long>")
 
 
 def _sets(texts: DataFrame, k: int, ranks: np.ndarray, wanted: DataFrame) -> DataFrame:
@@ -147,7 +156,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for each row of ``docs``.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z.  A text with fewer than k words is one shingle; null texts
@@ -162,28 +171,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = read.filter("n > 0")
     classes = stage(full.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("least_id")))
     heads = classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
-    groups = full.select("gid", "n", "prefix").dropDuplicates(["gid"])
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("i", "token"))
-    buckets = tokens.groupBy("token").agg(F.count("*").alias("in_bucket"), *(F.min(F.struct(F.xxhash64("gid", F.lit(s)).alias("o"), "gid", "n", "i")).alias(f"pivot{s}") for s in range(pivots)))
-    shared = stage(tokens.join(buckets.filter("in_bucket > 1"), "token"))
+    # one exchange by token serves the counts, the pivots and what is joined to them
+    entries = full.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
+    tokens = entries.repartition("token").dropDuplicates(["token", "gid"])
+    buckets = tokens.groupBy("token").agg(F.min("gid").alias("pivot0"), F.max("gid").alias("pivot1")).filter("pivot0 < pivot1")
+    shared = stage(tokens.join(buckets.hint("shuffle_hash"), "token"))
 
-    inner = classes.join(heads.filter("members > 1"), "gid").filter("cid <> head")
+    inner = classes.join(heads.filter("members > 1"), "gid").filter("cid <> head").select("gid", "cid", "n", "head")
     wanted = stage(shared.select("gid").union(inner.select("gid")).distinct().join(classes, "gid").select("cid"))
     sets = stage(_sets(texts, k, ranks, wanted))
 
     labels = None
-    for s in range(pivots):
-        met = shared.select("gid", "n", "i", F.col(f"pivot{s}.gid").alias("pivot"), F.col(f"pivot{s}.n").alias("m"), F.col(f"pivot{s}.i").alias("j"))
-        met = met.filter(F.col("gid") != F.col("pivot")).filter(_possible("n", "i", "m", "j", percent)).select("gid", "pivot").distinct()
-        ends = heads.select("gid", F.col("head").alias("a"))
-        pairs = met.join(ends, "gid").join(heads.select(F.col("gid").alias("pivot"), F.col("head").alias("b")), "pivot").select("a", "b")
-        if s == 0:
+    head = heads.join(classes, "gid").filter("cid = head").select("gid", "head", "n", "members")
+    for pivot in ("pivot0", "pivot1"):
+        met = shared.select("gid", F.col(pivot).alias("pivot")).filter("gid <> pivot").distinct()
+        ends = met.join(head.select("gid", F.col("head").alias("a"), "n"), "gid")
+        ends = ends.join(head.select(F.col("gid").alias("pivot"), F.col("head").alias("b"), F.col("n").alias("m")), "pivot")
+        pairs = ends.filter((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))).select("a", "b")
+        if labels is None:
             pairs = pairs.union(inner.select(F.col("cid").alias("a"), F.col("head").alias("b")))
         labels = _merged(labels, _verified(_apart(pairs, labels), sets, percent))
 
     # what is left: members of one bucket in different components
-    placed = shared.select("token", "gid", "n", "i").union(inner.select(F.xxhash64("gid"), "gid", "n", F.lit(0)).union(heads.filter("members > 1").join(classes, ["gid"]).filter("cid = head").select(F.xxhash64("gid"), "gid", "n", F.lit(0))))
-    member = placed.join(classes.select("gid", "cid"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    within = head.filter("members > 1").select("gid").join(classes, "gid").select(F.xxhash64("gid").alias("token"), "cid", "n", F.lit(0).alias("i"))
+    member = shared.select("token", "gid", "n", "i").join(classes.select("gid", "cid"), "gid").select("token", "cid", "n", "i").union(within)
+    member = member.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     member = member.select("token", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
