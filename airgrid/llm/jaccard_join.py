@@ -1,8 +1,8 @@
 """Near-duplicate join on word shingles by Jaccard similarity: a grouped prefix join.
 
 Shingles are ordered by rarity (a sketch of fixed size counts them over the whole corpus; any shared order is exact).  Two
-sets that reach the threshold share a token of their prefixes.  Texts with equal sets are one class, classes with equal
-prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass length and position bounds, and their members are verified
+sets that reach the threshold share a token of their prefixes, and the more tokens the closer their sizes.  Texts with equal sets are one class, classes with equal
+prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass bounds on lengths and on the number of shared tokens, and their members are verified
 on whole sets.  So that a large group of near copies never becomes all of its pairs, buckets are first linked to one pivot
 each, twice; afterwards only members that are still in different components are compared, all of them, so no link between
 components is lost.
@@ -138,14 +138,17 @@ def _sets(texts: DataFrame, k: int, ranks: np.ndarray, wanted: DataFrame) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "tokens"])
 
     sets = texts.mapInArrow(run, "cid binary, tokens array<long>").join(wanted.select("cid"), "cid", "left_semi")
-    return sets.dropDuplicates(["cid"])
+    return stage(sets.dropDuplicates(["cid"]))
 
 
-def _possible(n: str, i: str, m: str, j: str, percent: int) -> Column:
-    """Length and position bounds for a shared token at places i and j of sets of n and m."""
-    n, i, m, j = map(F.col, (n, i, m, j))
-    length = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return length & ((100 + percent) * (F.least(i, j) + 1 + F.least(n - i, m - j) - 1) >= percent * (n + m))
+def _needed(n: str, m: str, percent: int) -> Column:
+    """How many tokens the prefixes of sets of n and m share at least, if the sets reach the threshold; null if their sizes
+    rule it out.  (An overlap of o shows l times in prefixes of n - o + l and m - o + l tokens.)"""
+    n, m = F.col(n), F.col(m)
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    most = F.greatest(n, m)
+    least = F.ceil(percent * most / 100)
+    return F.when((100 * F.least(n, m) >= percent * most), F.greatest(F.lit(1), overlap - least + 1))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,36 +175,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stage(full.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("least_id")))
     heads = classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
     # one exchange by token serves the counts, the pivots and what is joined to them
-    entries = full.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    tokens = entries.repartition("token").dropDuplicates(["token", "gid"])
-    buckets = tokens.groupBy("token").agg(F.min("gid").alias("pivot0"), F.max("gid").alias("pivot1")).filter("pivot0 < pivot1")
-    shared = stage(tokens.join(buckets.hint("shuffle_hash"), "token"))
-
-    inner = classes.join(heads.filter("members > 1"), "gid").filter("cid <> head").select("gid", "cid", "n", "head")
-    wanted = stage(shared.select("gid").union(inner.select("gid")).distinct().join(classes, "gid").select("cid"))
-    sets = stage(_sets(texts, k, ranks, wanted))
+    tokens = full.select("gid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
+    buckets = tokens.groupBy("token").agg(F.min("gid").alias("pivot0"), F.max("gid").alias("pivot1"), F.max("n").alias("most"))
+    buckets = buckets.filter("pivot0 < pivot1 and most > 0").select("token", "pivot0", "pivot1")
+    shared = stage(tokens.join(buckets.hint("shuffle_hash"), "token").dropDuplicates(["token", "gid"]))
+    head = stage(heads.join(classes, "gid").filter("cid = head").select("gid", "head", "n", "members"))
+    inner = classes.join(head.filter("members > 1").select("gid", "head"), "gid").filter("cid <> head")
 
     labels = None
-    head = heads.join(classes, "gid").filter("cid = head").select("gid", "head", "n", "members")
     for pivot in ("pivot0", "pivot1"):
-        met = shared.select("gid", F.col(pivot).alias("pivot")).filter("gid <> pivot").distinct()
+        met = shared.select("gid", F.col(pivot).alias("pivot")).filter("gid <> pivot").groupBy("gid", "pivot").count()
         ends = met.join(head.select("gid", F.col("head").alias("a"), "n"), "gid")
         ends = ends.join(head.select(F.col("gid").alias("pivot"), F.col("head").alias("b"), F.col("n").alias("m")), "pivot")
-        pairs = ends.filter((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))).select("a", "b")
+        # a pivot leads only some of the buckets that it shares, so half of what is needed will do here
+        pairs = ends.filter(2 * F.col("count") >= _needed("n", "m", percent)).select("a", "b")
         if labels is None:
             pairs = pairs.union(inner.select(F.col("cid").alias("a"), F.col("head").alias("b")))
-        labels = _merged(labels, _verified(_apart(pairs, labels), sets, percent))
+        labels = _linked(labels, pairs, texts, k, ranks, percent)
 
-    # what is left: members of one bucket in different components
-    within = head.filter("members > 1").select("gid").join(classes, "gid").select(F.xxhash64("gid").alias("token"), "cid", "n", F.lit(0).alias("i"))
-    member = shared.select("token", "gid", "n", "i").join(classes.select("gid", "cid"), "gid").select("token", "cid", "n", "i").union(within)
-    member = member.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.select("token", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
+    # what is left: members of one bucket in different components, every pair that shares as many tokens as it must
+    within = inner.select("gid", "cid", "n").union(head.filter("members > 1").select("gid", "head", "n")).select("gid", "cid", "n")
+    member = shared.select("token", "gid").join(classes.select("gid", "cid", "n"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    member = member.select("token", "cid", "n", F.coalesce("label", "cid").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
-    other = member.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
-    rest = member.join(other, (member.token == other.token) & (member.label < other.label_b) & _possible("n", "i", "m", "j", percent))
-    labels = _merged(labels, _verified(rest.select(F.col("cid").alias("a"), "b").distinct(), sets, percent))
+    other = member.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    fits = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
+    rest = member.join(other, (F.col("token") == F.col("token_b")) & (F.col("label") < F.col("label_b")) & fits)
+    rest = rest.groupBy(F.col("cid").alias("a"), "b", "n", "m").count().filter(F.col("count") >= _needed("n", "m", percent)).select("a", "b")
+    same = within.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
+    twin = same.select(F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
+    same = same.join(twin, (F.col("gid") == F.col("gid_b")) & (F.col("label") < F.col("label_b"))).select(F.col("cid").alias("a"), "b")
+    labels = _linked(labels, rest.union(same), texts, k, ranks, percent)
 
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -211,6 +216,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _linked(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
+    """Labels after those of ``pairs`` that are apart have been verified on whole sets."""
+    pairs = stage(_apart(pairs, labels))
+    ends = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    return _merged(labels, stage(_verified(pairs, _sets(texts, k, ranks, ends), percent)))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs whose ends are not yet in one component."""
     if labels is None:
