@@ -2,9 +2,9 @@
 
 Shingles are ordered by rarity (a sketch of fixed size counts them over the whole corpus; any shared order is exact).  Two
 sets that reach the threshold share a token of their prefixes, and the more tokens the closer their sizes.  Texts with equal sets are one class, classes with equal
-prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass bounds on lengths and on the number of shared tokens, and their members are verified
+prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass bounds on lengths, positions and the number of shared tokens, and their members are verified
 on whole sets.  So that a large group of near copies never becomes all of its pairs, buckets are first linked to one pivot
-each, twice; afterwards only members that are still in different components are compared, all of them, so no link between
+each; afterwards only members that are still in different components are compared, all of them, so no link between
 components is lost.
 """
 
@@ -23,7 +23,7 @@ from .scratch import stage
 
 SKETCH_BITS = 18
 TOKEN_BITS = np.uint64(58)
-BITMAP = 1 << 22
+BITMAP = 1 << 24
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,32 +113,39 @@ def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, gid long, prefix array<long>")
 
 
-def _sets(texts: DataFrame, k: int, ranks: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(cid, tokens) of the classes in ``wanted``.  A bitmap of fixed size keeps most other texts from being sent."""
-    spot = F.conv(F.hex(F.substring("cid", 1, 3)), 16, 10).cast("long") % BITMAP
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Packed bitmap of the first three bytes of each ``cid``: of fixed size, so at most BITMAP numbers reach the driver."""
+    spot = F.conv(F.hex(F.substring("cid", 1, 3)), 16, 10).cast("int")
     held = np.zeros(BITMAP, bool)
-    held[wanted.select(spot.alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
-    bitmap = np.packbits(held)
+    held[ids.select(spot.alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
+    return np.packbits(held)
+
+
+def _sets(texts: DataFrame, k: int, ranks: np.ndarray, pairs: DataFrame) -> DataFrame:
+    """(cid, right, tokens) of classes in ``pairs``; right: it may be the second of a pair.  Bitmaps keep most other texts from
+    being written; a class may come more than once, from different tasks."""
+    left, right = (_bitmap(pairs.select(F.col(c).alias("cid"))) for c in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bitmap).astype(bool)
         sent: set[bytes] = set()
         for batch in batches:
             for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
                 row, token = _tokens(data, offsets, k, ranks)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
-                ids, sets = [], []
+                ids, seconds, sets = [], [], []
                 for c, a, b in zip(_digest(token, first[:-1], first[1:]), first, first[1:]):
-                    if a < b and c not in sent and bits[int.from_bytes(c[:3], "big") % BITMAP]:
+                    at = int.from_bytes(c[:3], "big")
+                    l, r = ((int(m[at >> 3]) >> (7 - (at & 7))) & 1 for m in (left, right))
+                    if a < b and (l or r) and c not in sent:
                         sent.add(c)
                         ids.append(c)
+                        seconds.append(bool(r))
                         sets.append(token[a:b])
                 if len(sent) > 200_000:
                     sent.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(seconds, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "right", "tokens"])
 
-    sets = texts.mapInArrow(run, "cid binary, tokens array<long>").join(wanted.select("cid"), "cid", "left_semi")
-    return stage(sets.dropDuplicates(["cid"]))
+    return stage(texts.mapInArrow(run, "cid binary, right boolean, tokens array<long>"))
 
 
 def _needed(n: str, m: str, percent: int) -> Column:
@@ -151,12 +158,19 @@ def _needed(n: str, m: str, percent: int) -> Column:
     return F.when((100 * F.least(n, m) >= percent * most), F.greatest(F.lit(1), overlap - least + 1))
 
 
+def _possible(n: str, i: str, m: str, j: str, percent: int) -> Column:
+    """Length and position bounds for a shared token at places i and j of sets of n and m."""
+    n, i, m, j = map(F.col, (n, i, m, j))
+    length = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return length & ((100 + percent) * (F.least(i, j) + F.least(n - i, m - j)) >= percent * (n + m))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets reach the threshold."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
+    both = left.join(sets.filter("right").select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -174,35 +188,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = read.filter("n > 0")
     classes = stage(full.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("least_id")))
     heads = classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
-    # one exchange by token serves the counts, the pivots and what is joined to them
-    tokens = full.select("gid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token")
-    buckets = tokens.groupBy("token").agg(F.min("gid").alias("pivot0"), F.max("gid").alias("pivot1"), F.max("n").alias("most"))
-    buckets = buckets.filter("pivot0 < pivot1 and most > 0").select("token", "pivot0", "pivot1")
+    # one exchange by token serves the buckets' pivots and what is joined to them; the pivot is the member in whose prefix
+    # the token comes first, so the one with the fewest shingles of its own
+    tokens = full.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")).repartition("token")
+    rank = F.shiftleft(F.col("i").cast("long"), 40) + F.shiftrightunsigned("gid", 24)
+    buckets = tokens.groupBy("token").agg(F.min_by("gid", rank).alias("pivot"), F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.max("n").alias("most"))
+    buckets = buckets.filter("lo < hi and most > 0").select("token", "pivot")
     shared = stage(tokens.join(buckets.hint("shuffle_hash"), "token").dropDuplicates(["token", "gid"]))
     head = stage(heads.join(classes, "gid").filter("cid = head").select("gid", "head", "n", "members"))
     inner = classes.join(head.filter("members > 1").select("gid", "head"), "gid").filter("cid <> head")
 
-    labels = None
-    for pivot in ("pivot0", "pivot1"):
-        met = shared.select("gid", F.col(pivot).alias("pivot")).filter("gid <> pivot").groupBy("gid", "pivot").count()
-        ends = met.join(head.select("gid", F.col("head").alias("a"), "n"), "gid")
-        ends = ends.join(head.select(F.col("gid").alias("pivot"), F.col("head").alias("b"), F.col("n").alias("m")), "pivot")
-        # a pivot leads only some of the buckets that it shares, so half of what is needed will do here
-        pairs = ends.filter(2 * F.col("count") >= _needed("n", "m", percent)).select("a", "b")
-        if labels is None:
-            pairs = pairs.union(inner.select(F.col("cid").alias("a"), F.col("head").alias("b")))
-        labels = _linked(labels, pairs, texts, k, ranks, percent)
+    met = shared.filter("gid <> pivot").groupBy("gid", "pivot").count()
+    ends = met.join(head.select("gid", F.col("head").alias("a"), "n"), "gid")
+    ends = ends.join(head.select(F.col("gid").alias("pivot"), F.col("head").alias("b"), F.col("n").alias("m")), "pivot")
+    # a pivot leads only some of the buckets that it shares, so half of what is needed will do here
+    pairs = ends.filter(2 * F.col("count") >= _needed("n", "m", percent)).select("a", "b")
+    pairs = pairs.union(inner.select(F.col("cid").alias("a"), F.col("head").alias("b")))
+    labels = _linked(None, pairs, texts, k, ranks, percent)
 
     # what is left: members of one bucket in different components, every pair that shares as many tokens as it must
     within = inner.select("gid", "cid", "n").union(head.filter("members > 1").select("gid", "head", "n")).select("gid", "cid", "n")
-    member = shared.select("token", "gid").join(classes.select("gid", "cid", "n"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.select("token", "cid", "n", F.coalesce("label", "cid").alias("label"))
+    member = shared.select("token", "gid", "i").join(classes.select("gid", "cid", "n"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    member = member.select("token", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
-    other = member.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    fits = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    rest = member.join(other, (F.col("token") == F.col("token_b")) & (F.col("label") < F.col("label_b")) & fits)
-    rest = rest.groupBy(F.col("cid").alias("a"), "b", "n", "m").count().filter(F.col("count") >= _needed("n", "m", percent)).select("a", "b")
+    other = member.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
+    rest = member.join(other, (F.col("token") == F.col("token_b")) & (F.col("label") < F.col("label_b")) & _possible("n", "i", "m", "j", percent))
+    rest = rest.select(F.col("cid").alias("a"), "b").distinct()
     same = within.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
     twin = same.select(F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
     same = same.join(twin, (F.col("gid") == F.col("gid_b")) & (F.col("label") < F.col("label_b"))).select(F.col("cid").alias("a"), "b")
@@ -218,9 +230,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _linked(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
     """Labels after those of ``pairs`` that are apart have been verified on whole sets."""
-    pairs = stage(_apart(pairs, labels))
-    ends = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    return _merged(labels, stage(_verified(pairs, _sets(texts, k, ranks, ends), percent)))
+    pairs = stage(_apart(pairs, labels).distinct())
+    return _merged(labels, stage(_verified(pairs, _sets(texts, k, ranks, pairs), percent)))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
