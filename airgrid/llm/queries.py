@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .host_reputation import judge_urls, junk_outcome
 from .jaccard_join import near_duplicates
+from .language import identify
 from .mixing import mix
 from .repetition import judge_repetition
 from .sharding import shard_by_bytes
 from .token_files import token_digests
+from .toxicity import fit, score_toxicity
+from .warc import derive, record_text, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,13 +56,42 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = derive(responses(_table(spark, sf_dir, "pages")))
+    sha = F.sha2(record_text().cast("binary"), 256)
+    return got.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length", sha.alias("record_sha256"))
+
+
+#: Action, host and path of each rule.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, junk_outcome(pages["html"])).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    return got.withColumn("confidence", F.round("confidence", 6))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
     "op3_repetition": op3_repetition,
     "op4_decontamination": op4_decontamination,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_shard": op6_shard,
+    "op7_host_reputation": op7_host_reputation,
+    "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_language": op10_language,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,4 +143,41 @@ c as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.x = b.x a
 e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
 r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, m.component_id from d left join n using (doc_id) join (select a doc_id, min(b) component_id from r group by 1) m using (doc_id)""",
+    "op5_warc_derivatives": r"""
+with p as (select page_id, coalesce(url, '') u, coalesce(html, '') h from pages),
+a as (select *, regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g') x from p),
+b as (select *, regexp_replace(regexp_replace(x, '(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|td|th|table|article|section|nav|header|footer|main|aside|br|hr|title|blockquote|pre|dl|dt|dd|form)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') y from a),
+c as (select *, replace(replace(replace(replace(replace(replace(replace(replace(y, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') z from b),
+t as (select page_id, u, h, regexp_replace(regexp_replace(regexp_replace(z, '[ \t\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') txt,
+  regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1), '[\r\n\t ]+', ' ', 'g') title, md5('response|' || coalesce(page_id::varchar, '') || '|' || u) m, 'sha256:' || sha256(h) pd, chr(13) || chr(10) nl from c),
+r as (select *, '<urn:uuid:' || concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) || '>' rid from t),
+k as (select *, 'metadata' warc_type, 'application/warc-fields' mime, 'source-digest: ' || pd || nl || 'title: ' || title || nl || 'outlinks: ' || len(regexp_extract_all(h, '(?i)<a\b[^>]*\bhref=')) || nl
+  || 'text-lines: ' || len(regexp_extract_all(txt, '[^\n]+')) || nl || 'text-digest: sha256:' || sha256(txt) || nl || 'source-http: HTTP/1.1 200 OK' || nl || 'source-http: Content-Type: text/html; charset=utf-8' || nl
+  || 'source-http: Content-Length: ' || strlen(h) || nl block from r union all select *, 'conversion', 'text/plain', txt from r),
+i as (select *, md5(warc_type || '|' || rid) m2, 'sha256:' || sha256(block) bd, strlen(block)::bigint n from k),
+j as (select *, '<urn:uuid:' || concat_ws('-', m2[1:8], m2[9:12], m2[13:16], m2[17:20], m2[21:32]) || '>' record_id from i)
+select page_id, warc_type, record_id, rid refers_to, u target_uri, pd payload_digest, bd block_digest, n content_length,
+  sha256('WARC/1.1' || nl || 'WARC-Type: ' || warc_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || rid || nl || 'WARC-Target-URI: ' || u || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
+  || 'WARC-Source-Payload-Digest: ' || pd || nl || 'WARC-Block-Digest: ' || bd || nl || 'Content-Type: ' || mime || nl || 'Content-Length: ' || n || nl || nl || block || nl || nl) record_sha256 from j""",
+    "op7_host_reputation": r"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[a-zA-Z]+;', '', 'g') t from pages),
+q as (select *, case when t is null then null when 10 * len(regexp_extract_all(t, '[#*$%&|<>]')) > len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) then 1 else 0 end bad from p),
+h as (select host, count(bad)::double n, coalesce(sum(bad), 0)::double k, array_to_string(string_split(host, '.')[-2:], '.') domain, string_split(host, '.')[-1] suffix from q group by host),
+g as (select case when sum(n) > 0 then (sum(k) + 0.5::double) / (sum(n) + 1) else 0.5 end m from h),
+s0 as (select suffix, sum(n) n, sum(k) k, any_value(g.m) m from h, g group by suffix),
+s1 as (select 1 / least(greatest(case when sum(n * (n - 1) * m * (1 - m)) <> 0 then sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) else 0 end, 0.001::double), 0.5::double) - 1 s from s0),
+s2 as (select suffix, (k + s * m) / (n + s) m from s0, s1),
+d0 as (select suffix, domain, sum(n) n, sum(k) k, any_value(s2.m) m from h join s2 using (suffix) group by suffix, domain),
+d1 as (select 1 / least(greatest(case when sum(n * (n - 1) * m * (1 - m)) <> 0 then sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) else 0 end, 0.001::double), 0.5::double) - 1 s from d0),
+d2 as (select domain, (k + s * m) / (n + s) m from d0, d1),
+h0 as (select h.*, d2.m from h join d2 using (domain)),
+h1 as (select 1 / least(greatest(case when sum(n * (n - 1) * m * (1 - m)) <> 0 then sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) else 0 end, 0.001::double), 0.5::double) - 1 s from h0),
+h2 as (select host, n, s, (k + s * m) / (n + s) rate from h0, h1),
+r as (select q.*, rate - 1.645::double * sqrt(rate * (1 - rate) / (n + s + 1)) lower, '.' || q.host x from q join h2 using (host))
+select page_id, host, path, case when x like '%.www.example.com' and starts_with(path, '/en/') then 'www.example.com/en/' when x like '%.example.com' and starts_with(path, '/en/') then 'example.com/en/'
+  when x like '%.net' and starts_with(path, '/es/') then 'net/es/' when x like '%.net' and starts_with(path, '/fr/') then 'net/fr/' when x like '%.com' and starts_with(path, '/') then 'com/' end rule,
+  case when x like '%.www.example.com' and starts_with(path, '/en/') then 'allow' when x like '%.example.com' and starts_with(path, '/en/') then 'block'
+  when x like '%.net' and (starts_with(path, '/es/') or starts_with(path, '/fr/')) then 'block' when x like '%.com' and starts_with(path, '/') then 'allow' when lower > 0.1 then 'block' else 'allow' end verdict from r""",
 }
