@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/airgrid-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, parts: int | None = None) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later uses neither recompute it nor
     depend on the executors that made it."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

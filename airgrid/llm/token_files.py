@@ -169,6 +169,8 @@ def read_tokens(manifest: DataFrame, id_type: str = "long") -> DataFrame:
     as little-endian unsigned 32-bit integers).  One task for each part; parts are few, so their offsets are one window."""
     offset = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.withColumn("offset", offset).select("path", "offset").collect()
+    if len({p.path for p in parts}) < len(parts):
+        raise ValueError("two tasks wrote one part")
     spark = manifest.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +199,4 @@ def token_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", **opt
     """Write the files, then read them back (see ``write_tokens`` and ``read_tokens``)."""
     from .scratch import stage
 
-    return read_tokens(stage(write_tokens(docs, tokenizer, doc_id=doc_id, **options), 1), docs.schema[doc_id].dataType.simpleString())
+    return read_tokens(stage(write_tokens(docs, tokenizer, doc_id=doc_id, **options)), docs.schema[doc_id].dataType.simpleString())
