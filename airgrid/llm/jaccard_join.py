@@ -159,10 +159,12 @@ def _needed(n: str, m: str, percent: int) -> Column:
 
 
 def _possible(n: str, i: str, m: str, j: str, percent: int) -> Column:
-    """Length and position bounds for a shared token at places i and j of sets of n and m."""
+    """Length and position bounds for a shared token at places i and j of sets of n and m.  With an overlap of o, prefixes of
+    n - o + 1 and m - o + 1 tokens share one."""
     n, i, m, j = map(F.col, (n, i, m, j))
     length = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return length & ((100 + percent) * (F.least(i, j) + F.least(n - i, m - j)) >= percent * (n + m))
+    early = (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
+    return length & early
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,12 +211,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # what is left: members of one bucket in different components, every pair that shares as many tokens as it must
     within = inner.select("gid", "cid", "n").union(head.filter("members > 1").select("gid", "head", "n")).select("gid", "cid", "n")
     member = shared.select("token", "gid", "i").join(classes.select("gid", "cid", "n"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.select("token", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
+    member = member.select("token", "gid", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
-    other = member.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
+    other = member.select(F.col("token").alias("token_b"), F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
     rest = member.join(other, (F.col("token") == F.col("token_b")) & (F.col("label") < F.col("label_b")) & _possible("n", "i", "m", "j", percent))
-    rest = rest.select(F.col("cid").alias("a"), "b").distinct()
+    rest = stage(rest.select(F.col("cid").alias("a"), "b", "n", "m", "gid", "gid_b").distinct())
+    # before whole sets are fetched, the prefixes must share as many tokens as the sizes ask for
+    prefix = full.filter(F.size("prefix") > 0).select("gid", "prefix")
+    rest = rest.join(prefix.withColumnRenamed("prefix", "x"), "gid").join(prefix.select(F.col("gid").alias("gid_b"), F.col("prefix").alias("y")), "gid_b")
+    rest = rest.filter(F.size(F.array_intersect("x", "y")) >= _needed("n", "m", percent)).select("a", "b")
     same = within.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
     twin = same.select(F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
     same = same.join(twin, (F.col("gid") == F.col("gid_b")) & (F.col("label") < F.col("label_b"))).select(F.col("cid").alias("a"), "b")
