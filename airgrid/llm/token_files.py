@@ -42,9 +42,25 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.ids: list[list[int]] = [[]]
-        self.flat = None
+        self.place: dict[str, int] = {"": 0, None: 1}  # None stands for the end id
+        self.flat, self.used = np.full(1 << 16, self.end, np.uint32), 1
+        self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.length[1] = 1
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Append the ids of new pieces to the tables, which grow by doubling."""
+        got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+        n, lengths = len(self.place), np.fromiter(map(len, got), np.int64, len(got))
+        more = np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))
+        while self.used + len(more) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while n + len(got) > len(self.first):
+            self.first, self.length = np.r_[self.first, np.zeros_like(self.first)], np.r_[self.length, np.zeros_like(self.length)]
+        self.flat[self.used : self.used + len(more)] = more
+        self.length[n : n + len(got)] = lengths
+        self.first[n : n + len(got)] = self.used + np.r_[0, np.cumsum(lengths)[:-1]]
+        self.used += len(more)
+        self.place.update(zip(fresh, range(n, n + len(got))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number for each."""
@@ -52,18 +68,11 @@ class _Encoder:
             self.forget()
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = list({p for ps in pieces for p in ps} - self.place.keys())
-        for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.place[p] = len(self.ids)
-            self.ids.append(e.ids)
-        if fresh or self.flat is None:
-            self.length = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-            self.flat = np.fromiter((i for x in self.ids for i in x), np.uint32, int(self.length.sum()))
-            self.first = np.r_[0, np.cumsum(self.length)[:-1]]
-        ends = len(self.ids)  # stands for the end id
-        at = np.concatenate([np.fromiter((*map(self.place.__getitem__, ps), ends), np.int64, len(ps) + 1) for ps in pieces])
-        length, first = np.r_[self.length, 1][at], np.r_[self.first, len(self.flat)][at]
-        flat = np.r_[self.flat, np.uint32(self.end)].astype(np.uint32)
-        out = flat[np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())]
+        if fresh:
+            self._learn(fresh)
+        at = np.concatenate([np.fromiter((*map(self.place.__getitem__, ps), 1), np.int64, len(ps) + 1) for ps in pieces])
+        length, first = self.length[at], self.first[at]
+        out = self.flat[np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())]
         total = np.r_[0, np.cumsum(length)]
         return out, np.diff(total[np.r_[0, np.cumsum([len(p) + 1 for p in pieces])]])
 
