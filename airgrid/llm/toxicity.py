@@ -26,9 +26,9 @@ class Settings:
     """``max_toxic``, ``max_clean`` and ``max_chars`` bound the labelled sample that the driver trains on; longer texts are left
     out of training only.  ``max_table`` bounds the log-odds tables."""
 
-    max_toxic: int = 800
-    max_clean: int = 1600
-    max_chars: int = 6000
+    max_toxic: int = 600
+    max_clean: int = 1200
+    max_chars: int = 4000
     max_table: int = 20_000
     window: int = 16
     hidden: int = 8
@@ -60,9 +60,10 @@ class Features:
 
 def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log-odds of presence in toxic texts, for hashes that at least three texts hold."""
-    pairs = np.unique(np.rec.fromarrays([h, doc.astype(np.int64)]))
-    keys, inverse, count = np.unique(pairs.f0, return_inverse=True, return_counts=True)
-    bad = np.bincount(inverse, toxic[pairs.f1], len(keys))
+    keys, inverse = np.unique(h, return_inverse=True)
+    pairs = np.unique(inverse * len(toxic) + doc)
+    count = np.bincount(pairs // len(toxic), minlength=len(keys))
+    bad = np.bincount(pairs // len(toxic), toxic[pairs % len(toxic)], len(keys))
     n_bad, n_good = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
     share = n_bad / (n_bad + n_good)
     value = np.log((bad + 8 * share) / n_bad) - np.log((count - bad + 8 * (1 - share)) / n_good)
@@ -176,7 +177,7 @@ class Net:
     def gates(self, vectors: np.ndarray, kind=np.float32) -> dict[str, np.ndarray]:
         return {d: (vectors @ self.p[f"x{d}"] + self.p[f"c{d}"]).astype(kind) for d in "fb"}
 
-    def window_logits(self, t: Text, block: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def window_logits(self, t: Text, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         text, lo, end = windows(t.first, self.settings.window)
         x = self.gates(self.inputs(t))
         parts = [self.run(x, lo[a : a + block], end[a : a + block], t.word) for a in range(0, len(lo), block)]
@@ -235,12 +236,15 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     doc = np.repeat(np.arange(len(y)), np.diff(t.first))
     by_word = np.argsort(t.gram_word, kind="stable")
     cut = np.searchsorted(t.gram_word[by_word], np.arange(len(t.hashes) + 1))
-    n = np.diff(cut)[t.word]
-    pick = np.repeat(cut[t.word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    words = _odds(doc, t.hashes[t.word], y, settings.max_table)
+    held = np.unique(doc * max(1, len(t.hashes)) + t.word)  # each distinct word of each text once
+    doc, word = held // max(1, len(t.hashes)), held % max(1, len(t.hashes))
+    n = np.diff(cut)[word]
+    pick = np.repeat(cut[word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    words = _odds(doc, t.hashes[word], y, settings.max_table)
     grams = _odds(np.repeat(doc, n), t.grams[by_word][pick], y, settings.max_table)
     net = Net(settings, Features(*words, *grams))
     text, lo, end = windows(t.first, settings.window)
+    del held, doc, word, pick, by_word
     if not len(lo) or y.min() == y.max():
         return net
     rng = np.random.default_rng(settings.seed)
