@@ -121,7 +121,7 @@ def raster_diff(a: DataFrame, b: DataFrame, dr: int = 0, dc: int = 0) -> DataFra
 def cooccurrence(pixels: DataFrame, levels: int, k: int) -> DataFrame:
     """(scene, r, c, i, j, n): counts of level pairs (a cell and its right neighbour, edges repeat) in k x k windows whose
     border is mirrored without repeating the edge.  Scenes must be full grids of more than k // 2 cells a side."""
-    size = F.broadcast(pixels.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("r").alias("R"), F.max("c").alias("C")))
+    size = F.broadcast(pixels.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("r").alias("top_r"), F.max("c").alias("top_c")))
     g = F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") + 1 - F.col("lo")) / levels)).cast("int")
     q = pixels.join(size, "scene").withColumn("i", g)
     q = q.withColumn("j", F.coalesce(F.lead("i").over(Window.partitionBy("scene", "r").orderBy("c")), F.col("i")))
@@ -135,7 +135,7 @@ def cooccurrence(pixels: DataFrame, levels: int, k: int) -> DataFrame:
         outside = F.when(F.col(x) < F.col(top), high).otherwise(F.array().cast("array<int>"))
         return F.filter(F.concat(near, inside, outside), lambda y: (y >= 0) & (y <= F.col(top)))
 
-    e = q.select("scene", "i", "j", "c", "C", F.explode(reached("r", "R")).alias("r")).select("scene", "i", "j", "r", F.explode(reached("c", "C")).alias("c"))
+    e = q.select("scene", "i", "j", "c", "top_c", F.explode(reached("r", "top_r")).alias("at_r")).select("scene", "i", "j", F.col("at_r").alias("r"), F.explode(reached("c", "top_c")).alias("at_c")).withColumnRenamed("at_c", "c")
     return e.groupBy("scene", "r", "c", "i", "j").agg(F.count("*").alias("n"))
 
 
