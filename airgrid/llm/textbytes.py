@@ -105,7 +105,7 @@ def ngrams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    total = np.full(n, U(k * int(_GOLD) & (2**64 - 1)))
+    total = np.full(n, U(int(k) * int(_GOLD) & (2**64 - 1)))
     for j in range(k):
         total = total * U(0xFF51AFD7ED558CCD) + h[j : j + n]
         total ^= total >> U(32)

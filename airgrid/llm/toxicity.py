@@ -179,6 +179,8 @@ class Net:
 
     def window_logits(self, t: Text, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         text, lo, end = windows(t.first, self.settings.window)
+        if not len(lo):
+            return text, lo, end, np.zeros(0, np.float32)
         x = self.gates(self.inputs(t))
         parts = [self.run(x, lo[a : a + block], end[a : a + block], t.word) for a in range(0, len(lo), block)]
         return text, lo, end, np.concatenate(parts) if parts else np.zeros(0, np.float32)
@@ -233,6 +235,9 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     y = np.array(toxic or [0], float)
     (_, _, data, offsets) = next(tb.chunks(arr, 1 << 40))
     t = read(data, offsets)
+    if not len(t.word):
+        none = np.zeros(0, U), np.zeros(0)
+        return Net(settings, Features(*none, *none))
     doc = np.repeat(np.arange(len(y)), np.diff(t.first))
     by_word = np.argsort(t.gram_word, kind="stable")
     cut = np.searchsorted(t.gram_word[by_word], np.arange(len(t.hashes) + 1))
