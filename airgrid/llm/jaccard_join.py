@@ -104,7 +104,7 @@ def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFr
                     sent.add(g)
                 if len(sent) > 500_000:
                     sent.clear()
-                pick = np.repeat(first[:-1] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
+                pick = np.repeat(first[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())
                 prefixes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(token[pick]))
                 cols = [batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(n), pa.array(_digest(token, first[:-1], first[1:]), pa.binary()), pa.array(group), prefixes]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "cid", "gid", "prefix"])

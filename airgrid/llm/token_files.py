@@ -58,7 +58,7 @@ class _Encoder:
             self.first, self.length = np.r_[self.first, np.zeros_like(self.first)], np.r_[self.length, np.zeros_like(self.length)]
         self.flat[self.used : self.used + len(more)] = more
         self.length[n : n + len(got)] = lengths
-        self.first[n : n + len(got)] = self.used + np.r_[0, np.cumsum(lengths)[:-1]]
+        self.first[n : n + len(got)] = self.used + (np.cumsum(lengths) - lengths)
         self.used += len(more)
         self.place.update(zip(fresh, range(n, n + len(got))))
 
@@ -72,7 +72,7 @@ class _Encoder:
             self._learn(fresh)
         at = np.concatenate([np.fromiter((*map(self.place.__getitem__, ps), 1), np.int64, len(ps) + 1) for ps in pieces])
         length, first = self.length[at], self.first[at]
-        out = self.flat[np.repeat(first - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())]
+        out = self.flat[np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())]
         total = np.r_[0, np.cumsum(length)]
         return out, np.diff(total[np.r_[0, np.cumsum([len(p) + 1 for p in pieces])]])
 
@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             sink.close()
             out.close()
             n = np.concatenate(counts)
-            index = pa.table({"doc_id": pa.chunked_array(ids), "first": np.r_[0, np.cumsum(n)[:-1]], "n_tokens": n})
+            index = pa.table({"doc_id": pa.chunked_array(ids), "first": (np.cumsum(n) - n), "n_tokens": n})
             with fs.open_output_stream(mine + ".index.tmp") as f, pa.ipc.new_file(f, index.schema) as w:
                 w.write_table(index)
             fs.move(mine + ".index.tmp", name + ".index.arrow")

@@ -76,7 +76,7 @@ def _word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     """(word, hash) of each 4-byte gram of each word; words of less are one gram; the first is marked as such."""
     n = np.maximum(1, end - start - 3)
     word = np.repeat(np.arange(len(start)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    offset = np.arange(n.sum()) - np.repeat((np.cumsum(n) - n), n)
     lo = start[word] + offset
     h = tb.hashes(data, lo, np.minimum(lo + 4, end[word]), seed=3)
     return word, np.where(offset == 0, _mark(h), h)
@@ -107,7 +107,7 @@ def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     half = size // 2
     count = np.where(n > 0, np.maximum(1, -(-(n - half) // half)), 0)
     text = np.repeat(np.arange(len(n)), count)
-    k = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+    k = np.arange(count.sum()) - np.repeat((np.cumsum(count) - count), count)
     lo = first[text] + k * half
     return text, lo, np.minimum(lo + size, first[text + 1])
 
@@ -244,7 +244,7 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     held = np.unique(doc * max(1, len(t.hashes)) + t.word)  # each distinct word of each text once
     doc, word = held // max(1, len(t.hashes)), held % max(1, len(t.hashes))
     n = np.diff(cut)[word]
-    pick = np.repeat(cut[word] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    pick = np.repeat(cut[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     words = _odds(doc, t.hashes[word], y, settings.max_table)
     grams = _odds(np.repeat(doc, n), t.grams[by_word][pick], y, settings.max_table)
     net = Net(settings, Features(*words, *grams))
@@ -298,7 +298,7 @@ def _part(t: Text, lo: np.ndarray, end: np.ndarray, size: int) -> tuple[Text, np
     used, word = np.unique(t.word[at], return_inverse=True)
     cut = np.searchsorted(t.gram_word, np.r_[used, len(t.hashes)])
     n = np.searchsorted(t.gram_word, used, side="right") - cut[:-1]
-    pick = np.repeat(cut[:-1] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    pick = np.repeat(cut[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     first = np.arange(len(lo)) * size
     small = Text(word.ravel(), np.r_[first, len(lo) * size], t.hashes[used], np.repeat(np.arange(len(used)), n), t.grams[pick])
     return small, first, first + (end - lo)
