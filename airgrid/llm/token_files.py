@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,50 +32,126 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("file://" + path.removeprefix("file:") if re.match("(file:)?/(?!/)", path) else path)
 
 
+class _Places(dict):
+    """Numbers of pieces; a new piece gets the next number and is kept in ``fresh`` until its ids are learnt."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
+#: A mark behind a letter or digit begins a new pre-token.
+MARK = re.compile("[.,;:!?*$&#%|<>](?<=[a-z0-9ß-öø-ÿ].)")
+#: With one of these, normal forms and case no longer go letter by letter; "<|" may begin a special token.
+HARD = re.compile("[\u0300-\u036f]|<\\|")
+#: Letters that normal forms and lower case leave alone: such a piece is one pre-token.
+WORD = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that a byte-level pre-tokenizer shows for each byte: itself if printable, else the next from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - shown))}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _pieces(text: str) -> list[str]:
+    """Pieces whose ids, one after the other, are those of the whole text: no pre-token spans an ASCII blank, nor a letter and
+    a mark behind it, and the tokenizer ignores the case of A-Z."""
+    if not HARD.search(text):
+        text = MARK.sub(r" \g<0>", text.lower() if text.isascii() else text.encode().lower().decode())
+    return text.replace("\n", " ").split(" ")
+
+
 class _Encoder:
-    """Ids of whole texts.  A pre-token never spans an ASCII blank, so texts are cut there and each piece is encoded once."""
+    """Ids of whole texts, piece by piece.  Ids of pieces are remembered, those seen once are forgotten when there are too many."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {"": 0, None: 1}  # None stands for the end id
-        self.flat, self.used = np.full(1 << 16, self.end, np.uint32), 1
-        self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.place = _Places({"": 0, None: 1})  # None stands for the end id
+        self.flat, self.used = np.full(1 << 16, end_id, np.uint32), 1
+        self.first, self.length, self.uses = np.zeros((3, 1 << 16), np.int64)
         self.length[1] = 1
+        probe = "Ab, cdé. x1!  'tis\nÀ*"
+        if self.encode([probe])[0].tolist() != [*self.tokenizer.encode(probe, add_special_tokens=False).ids, end_id]:
+            raise ValueError("this tokenizer doesn't encode piece by piece")
+
+    def _ids(self, fresh: list[str]) -> list[list[int]]:
+        """Ids of pieces; plain words go straight to the tokenizer's model."""
+        out = [[t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))] if WORD.fullmatch(p) else None for p in fresh]
+        others = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([fresh[i] for i in others], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _forget(self) -> None:
+        """Keep the pieces seen more than once, unless these are too many too."""
+        keep = np.flatnonzero(self.uses[: len(self.place)] > 1)
+        keep = np.r_[0, 1, keep[keep > 1]] if len(keep) < CACHE // 2 else np.arange(2)
+        names, length = list(self.place), self.length[keep]
+        first = np.cumsum(length) - length
+        self.used = int(length.sum())
+        self.flat[: self.used] = self.flat[np.repeat(self.first[keep] - first, length) + np.arange(self.used)]
+        self.place = _Places(zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.first[: len(keep)], self.length[: len(keep)] = first, length
+        self.uses[:] = 0
 
     def _learn(self, fresh: list[str]) -> None:
         """Append the ids of new pieces to the tables, which grow by doubling."""
-        got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        n, lengths = len(self.place), np.fromiter(map(len, got), np.int64, len(got))
-        more = np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))
+        got = self._ids(fresh)
+        total, n = len(self.place), len(self.place) - len(fresh)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        more = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
         while self.used + len(more) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while n + len(got) > len(self.first):
-            self.first, self.length = np.r_[self.first, np.zeros_like(self.first)], np.r_[self.length, np.zeros_like(self.length)]
+        while total > len(self.first):
+            self.first, self.length, self.uses = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.length, self.uses))
         self.flat[self.used : self.used + len(more)] = more
-        self.length[n : n + len(got)] = lengths
-        self.first[n : n + len(got)] = self.used + (np.cumsum(lengths) - lengths)
+        self.length[n:total] = lengths
+        self.first[n:total] = self.used + (np.cumsum(lengths) - lengths)
         self.used += len(more)
-        self.place.update(zip(fresh, range(n, n + len(got))))
+        fresh.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number for each."""
         if len(self.place) > CACHE:
-            self.forget()
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({p for ps in pieces for p in ps} - self.place.keys())
-        if fresh:
-            self._learn(fresh)
-        at = np.concatenate([np.fromiter((*map(self.place.__getitem__, ps), 1), np.int64, len(ps) + 1) for ps in pieces])
+            self._forget()
+        number, flat, sizes = self.place.__getitem__, [], []
+        for t in texts:
+            before = len(flat)
+            flat.extend(map(number, _pieces(t)))
+            flat.append(1)
+            sizes.append(len(flat) - before)
+        if self.place.fresh:
+            self._learn(self.place.fresh)
+        at = np.array(flat, np.int64)
+        self.uses[: len(self.place)] += np.bincount(at, minlength=len(self.place))
         length, first = self.length[at], self.first[at]
-        out = self.flat[np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())]
         total = np.r_[0, np.cumsum(length)]
-        return out, np.diff(total[np.r_[0, np.cumsum([len(p) + 1 for p in pieces])]])
+        out = self.flat[np.repeat(first - total[:-1], length) + np.arange(total[-1])]
+        return out, np.diff(total[np.r_[0, np.cumsum(sizes)]])
+
+
+_encoders: dict[tuple[str, int], _Encoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> _Encoder:
+    """One encoder for each worker process, so that its next tasks know the pieces."""
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = _Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def vocabulary_size(path: str) -> int:
@@ -108,7 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = _Encoder(tokenizer, end_id)
+                encoder = _encoder(tokenizer, end_id)
                 fs.create_dir(base, recursive=True)
                 name = f"{base}/part-{part:06d}"
                 mine = f"{name}.{TaskContext.get().taskAttemptId()}"
