@@ -21,7 +21,8 @@ from . import textbytes as tb
 from .components import connected_components
 from .scratch import stage
 
-SKETCH_BITS = 18
+SKETCH_BITS = 24
+BLOCK = 4096
 TOKEN_BITS = np.uint64(58)
 BITMAP = 1 << 24
 
@@ -66,22 +67,59 @@ def _digest(token: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes
     return [x.tobytes() for x in np.stack([_sums(token, first, end, seed) for seed in (3, 5)], 1)]
 
 
+def _counted_blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Non-empty blocks of a task's counts: few shingles as their places, many as an array of the least width that holds them."""
+    grid = counts.reshape(-1, BLOCK)
+    total = grid.sum(1)
+    used = np.flatnonzero(total)
+    for part in np.array_split(used, len(used) // 256 + 1):
+        spots, dense = [], []
+        for b in part:
+            if total[b] < BLOCK // 4:
+                spots.append(np.repeat(np.arange(BLOCK, dtype=np.uint16), grid[b]).tobytes())
+                dense.append(None)
+            else:
+                spots.append(None)
+                dense.append(grid[b].astype(np.min_scalar_type(int(grid[b].max()))).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(spots, pa.binary()), pa.array(dense, pa.binary())], ["block", "spots", "counts"])
+
+
+def _ranked_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte for each cell of a block: the power of two by which its count passes the block's median count."""
+    counts = np.zeros(BLOCK, np.int64)
+    for batch in batches:
+        for spots, dense in zip(batch.column("spots"), batch.column("counts")):
+            if spots.is_valid:
+                counts += np.bincount(np.frombuffer(spots.as_py(), np.uint16), minlength=BLOCK)
+            else:
+                held = dense.as_py()
+                counts += np.frombuffer(held, f"u{len(held) // BLOCK}").astype(np.int64)
+    rank = np.log2(np.maximum(1.0, counts / max(1.0, float(np.median(counts))))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "ranks"])
+
+
 def _rarity(texts: DataFrame, k: int) -> np.ndarray:
-    """Of each sketch bucket, the power of two below its count of shingles over all texts: 2**SKETCH_BITS small numbers."""
+    """A small number for each of 2**SKETCH_BITS cells of shingles, larger for cells that are counted more often over all texts.
+
+    Tasks add up their counts and send blocks of cells, so what is exchanged grows with the number of tasks, not of
+    shingles; the driver gets one byte for each cell, whatever the input.  Beyond a few shingles for each cell, those that
+    many texts share still stand out against the median.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in tb.chunks(tb.column(batch, "text")):
-                counts += np.bincount((_shingles(data, offsets, k)[1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
-
-    summed = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = summed.select("bucket", F.floor(F.log2("n")).cast("int").alias("rank")).toPandas()
-    ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
-    ranks[got["bucket"].to_numpy(np.int64)] = got["rank"].to_numpy(np.uint8)
-    return ranks
+                cell, n = np.unique(_shingles(data, offsets, k)[1] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[cell.astype(np.int64)] += n.astype(np.uint32)
+        yield from _counted_blocks(counts)
+
+    blocks = texts.mapInArrow(run, "block int, spots binary, counts binary")
+    got = blocks.groupBy("block").applyInArrow(_ranked_block, "block int, ranks binary")
+    ranks = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
+    for row in got.collect():
+        ranks[row.block] = np.frombuffer(row.ranks, np.uint8)
+    return ranks.ravel()
 
 
 def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
