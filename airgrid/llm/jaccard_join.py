@@ -214,12 +214,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for each row of ``docs``.
+    """doc_id, text_key, n_shingles, component_id, component for each row of ``docs``.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z.  A text with fewer than k words is one shingle; null texts
     and texts without words have none, link with nothing and keep their own id.  component_id is the least non-null
-    doc_id of the component (null only if all are null).  Repeated rows give repeated results.  An empty table gives an
-    empty one; other columns are not read.
+    doc_id of the component (null only if all are null), so components whose ids are null or repeated may share it; component,
+    the least class digest, names one component only (null for texts without words).  Repeated rows give repeated results.
+    An empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
     texts = rows.select("text")
@@ -266,10 +267,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    final = named.join(least, "label").select("cid", "component_id")
+    final = named.join(least, "label").select("cid", "component_id", F.col("label").alias("component"))
     out = read.select("doc_id", "text_key", "n", "cid").join(final, "cid", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")
 
 
 def _linked(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
