@@ -67,3 +67,28 @@ def test_streaming_twin(spark, tmp_path):
     got = {(x.station, str(x.date)): x.value for x in spark.table("twin").collect()}
     want = {(x.station, str(x.date)): x.value for x in g.daily_station_mean(d, 3).collect()}
     assert got.items() <= want.items() and len(got) >= 2
+
+
+def test_nearest_stations_in_blocks(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    places = [(79 + (k % 13) * 0.9, 25 + (k % 7) * 0.85) for k in range(150)] + [(None, 30.0)]
+    stations = [(k, *p, rng.random()) for k, p in enumerate(places)]
+    points = [(k, 79 + rng.random() * 12, 25 + rng.random() * 6) for k in range(39)] + [(39, *places[3]), (40, None, 1.0)]
+
+    def far(a, b):
+        a, b = [tuple(map(math.radians, x)) for x in (a, b)]
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((b[1] - a[1]) / 2) ** 2 + math.cos(a[1]) * math.cos(b[1]) * math.sin((b[0] - a[0]) / 2) ** 2))
+
+    s = spark.createDataFrame(stations, "station long, lon double, lat double, value double")
+    p = spark.createDataFrame(points, "id long, lon double, lat double")
+    got = {x.id: (x.ps, x.ps_dist) for x in g.knn_idw(p, s, 4, 16).collect()}
+    assert len(got) == 41 and got[40] == (None, None) and got[39] == (stations[3][3], 0)
+    for i, *at in points[:39]:
+        near = sorted((far(at, x[1:3]), x[0], x[3]) for x in stations if x[1] is not None)[:4]
+        mean = sum(v / d**2 for d, _, v in near) / sum(1 / d**2 for d, _, _ in near)
+        assert abs(got[i][0] - mean) < 1e-9 and abs(got[i][1] - near[0][0]) < 1e-9
+    many = spark.range(20_001).select(F.col("id").alias("station"), (F.col("id") % 360 - 180).cast("double").alias("lon"), F.lit(0.0).alias("lat"), F.col("id").cast("double").alias("value"))
+    assert g.knn_idw(p.filter("id = 0"), many).count() == 1
