@@ -50,15 +50,38 @@ def resample(pixels: DataFrame, row_step: float, col_step: float, method: str =
 
 
 def idw_fill(pixels: DataFrame, k: int = 8, power: float = 2.0, reach: int = 3) -> DataFrame:
-    """Null cells get the inverse-distance mean of their k nearest valid cells at most ``reach`` rows and columns away (ties by
-    row and column); without any they stay null."""
-    empty = pixels.filter("v is null").select(*PIXEL).withColumn("dr", F.explode(_near(reach))).withColumn("dc", F.explode(_near(reach)))
-    empty = empty.select(*PIXEL, (F.col("r") + F.col("dr")).alias("sr"), (F.col("c") + F.col("dc")).alias("sc"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
+    """Null cells get the inverse-distance mean of the k nearest valid cells of their scene (ties by row and column), of fewer
+    only where the scene has no more; without any they stay null.
+
+    Cells meet the valid ones of their own and the eight blocks around it.  What lies within one block's side is then known in
+    full; cells that have fewer than k there go on to blocks of twice the side (``reach`` at first).
+    """
     valid = pixels.filter("v is not null").select("scene", F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
-    near = F.slice(F.array_sort(F.collect_list(F.struct("d2", "sr", "sc", "v"))), 1, k)
-    found = empty.join(valid, ["scene", "sr", "sc"]).groupBy(*PIXEL).agg(near.alias("near"))
+    extent = pixels.agg(F.greatest(F.max("r") - F.min("r"), F.max("c") - F.min("c"))).first()[0] or 0
+    todo, filled, side = pixels.filter("v is null").select(*PIXEL), None, max(1, reach)
+
+    def of(x: str) -> Column:
+        return F.floor(F.col(x) / side).cast("long")
+
+    while True:
+        near = todo.withColumn("dr", F.explode(_near(1))).withColumn("dc", F.explode(_near(1))).select(*PIXEL, (of("r") + F.col("dr")).alias("br"), (of("c") + F.col("dc")).alias("bc"))
+        met = near.join(valid.select("*", of("sr").alias("br"), of("sc").alias("bc")), ["scene", "br", "bc"])
+        d2 = F.pow(F.col("sr") - F.col("r"), F.lit(2)) + F.pow(F.col("sc") - F.col("c"), F.lit(2))
+        met = met.withColumn("d2", d2)
+        last = side >= extent
+        if not last:
+            met = met.filter(F.col("d2") < (side + 1) ** 2)
+        found = met.groupBy(*PIXEL).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "sr", "sc", "v"))), 1, k).alias("near"))
+        found = cut(found if last else found.filter(F.size("near") >= k))
+        filled = found if filled is None else filled.union(found)
+        if last:
+            break
+        todo = cut(todo.join(found.select(*PIXEL), PIXEL, "left_anti"))
+        if todo.isEmpty():
+            break
+        side *= 2
     total = "aggregate(near, 0D, (a, e) -> a + {0} * pow(e.d2, {1}))"
-    filled = found.select(*PIXEL, (F.expr(total.format("e.v", -power / 2)) / F.expr(total.format("1", -power / 2))).alias("fill"))
+    filled = filled.select(*PIXEL, (F.expr(total.format("e.v", -power / 2)) / F.expr(total.format("1", -power / 2))).alias("fill"))
     return pixels.join(filled, PIXEL, "left").withColumn("v", F.coalesce("v", "fill")).drop("fill")
 
 

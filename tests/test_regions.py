@@ -71,3 +71,17 @@ def test_dense_scores_of_null_features(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, q double")
     got = {g.id: g.score for g in m.mlp_score(df, [(np.array([[2.0]]), np.array([1.0]))], ["q"], "id").collect()}
     assert got == {1: 3.0, 2: None}
+
+
+def test_wide_gaps_are_filled_from_the_nearest_cells(spark):
+    rows = [[None if 1 <= r <= 13 and 2 <= c <= 14 or (r + c) % 5 == 0 else float(r * 17 + c * c) for c in range(16)] for r in range(15)]
+    cells = spark.createDataFrame([(1, r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)] + [(2, 0, c, 4.0 if c == 39 else None) for c in range(40)] + [(3, 0, 0, None)], SCHEMA)
+    got = {(g.scene, g.r, g.c): g.v for g in x.idw_fill(cells).collect()}
+    assert len(got) == 15 * 16 + 41 and got[3, 0, 0] is None
+    assert all(got[2, 0, c] == pytest.approx(4.0) for c in range(40))
+    valid = [(r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row) if v is not None]
+    for r, row in enumerate(rows):
+        for c, v in enumerate(row):
+            near = sorted(((a - r) ** 2 + (b - c) ** 2, a, b, w) for a, b, w in valid)[:8]
+            want = v if v is not None else sum(w / d for d, _, _, w in near) / sum(1 / d for d, _, _, _ in near)
+            assert got[1, r, c] == pytest.approx(want)
