@@ -1,6 +1,7 @@
 """Resampling, gap filling, connected areas, perimeters, contextual relabelling and superpixels of pixel tables."""
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,11 +140,15 @@ def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int
     Labels start as equal parts of the scene's value range.  A round weighs each class by the log share of the eight
     neighbours that have it (0 counts as 0.001) and the log density of the value under the class's mean and deviation (at
     least 0.001); the first of equal classes wins.  Scenes are full grids; null values take no part.
+
+    A round depends on the labels only.  So a scene whose labels are those of two rounds before is left as it is, if an even
+    number of rounds is to come.
     """
     scene, line, column = Window.partitionBy("scene"), Window.partitionBy("scene", "r").orderBy("c").rowsBetween(-1, 1), Window.partitionBy("scene", "c").orderBy("r").rowsBetween(-1, 1)
     span = F.max("v").over(scene) - F.min("v").over(scene)
     start = F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide((F.col("v") - F.min("v").over(scene)) * n, span)), F.lit(0))).cast("int")
-    now = pixels.filter("v is not null").select(*PIXEL, "v", start.alias("label"))
+    now = pixels.filter("v is not null").select(*PIXEL, "v", start.alias("label"), F.lit(-1).alias("last"))
+    settled = []
     for turn in range(iterations):
         stats = now.groupBy("scene").agg(*[f(F.when(F.col("label") == k, F.col("v"))).alias(f"{s}{k}") for k in range(n) for s, f in (("m", F.avg), ("s", F.stddev_pop))])
         x = now.withColumns({f"t{k}": F.sum((F.col("label") == k).cast("int")).over(line) for k in range(n)}).withColumn("tt", F.count("*").over(line))
@@ -156,10 +161,16 @@ def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int
             density = -F.log(dev) - F.pow((F.col("v") - F.col(f"m{k}")) / dev, 2) / 2
             scores.append(F.struct(F.coalesce(F.round(prior + density, 9), F.lit(-1e300)).alias("score"), F.lit(-k).alias("k")))
         best = F.greatest(*scores) if n > 1 else scores[0]
-        now = x.select(*PIXEL, "v", (-best["k"]).alias("label"))
+        now = x.select(*PIXEL, "v", (-best["k"]).alias("label"), F.col("label").alias("last"), F.col("last").alias("before"))
         if turn % every == every - 1:
             now = cut(now)
-    return now
+            if (iterations - turn) % 2 == 1:
+                moving = now.filter("label <> before").select("scene").distinct()
+                settled.append(now.join(moving, "scene", "left_anti"))
+                now = cut(now.join(moving, "scene", "left_semi"))
+                if now.isEmpty():
+                    break
+    return reduce(DataFrame.union, [part.select(*PIXEL, "v", "label") for part in [*settled, now]])
 
 
 def superpixels(pixels: DataFrame, step: int, compactness: float = 10.0, iterations: int = 10) -> DataFrame:

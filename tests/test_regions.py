@@ -85,3 +85,57 @@ def test_wide_gaps_are_filled_from_the_nearest_cells(spark):
             near = sorted(((a - r) ** 2 + (b - c) ** 2, a, b, w) for a, b, w in valid)[:8]
             want = v if v is not None else sum(w / d for d, _, _, w in near) / sum(1 / d for d, _, _, _ in near)
             assert got[1, r, c] == pytest.approx(want)
+
+
+def relabelled(v, rounds, n=2):
+    span = v.max() - v.min()
+    label = np.minimum(n - 1, np.floor((v - v.min()) * n / span)).astype(int) if span else np.zeros(v.shape, int)
+    for _ in range(rounds):
+        score = []
+        for k in range(n):
+            one, all_ = (np.pad(a, 1) for a in ((label == k).astype(float), np.ones(v.shape)))
+            near, cells = (sum(a[1 + i : 1 + i + v.shape[0], 1 + j : 1 + j + v.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j) for a in (one, all_))
+            if not (label == k).any():
+                score.append(np.full(v.shape, -1e300))
+                continue
+            dev = max(v[label == k].std(), 0.001)
+            score.append(np.round(np.log(np.where(near > 0, near / cells, 0.001)) - np.log(dev) - ((v - v[label == k].mean()) / dev) ** 2 / 2, 9))
+        label = np.argmax(score, 0)
+    return label
+
+
+def clustered(v, rounds, step=4, weight=0.0025):
+    n = len(v)
+    rc = np.array([(r, c) for r in range(n) for c in range(n)])
+    seed = rc // step
+    own, flat = [tuple(x) for x in seed], v.ravel()
+    for _ in range(rounds):
+        centre = {k: (rc[m].mean(0), flat[m].mean()) for k in set(own) for m in [[i for i, o in enumerate(own) if o == k]]}
+        own = [min((round((flat[i] - value) ** 2 + weight * ((rc[i] - at) ** 2).sum(), 9), k) for k, (at, value) in centre.items() if abs(k[0] - seed[i][0]) <= 1 and abs(k[1] - seed[i][1]) <= 1)[1] for i in range(len(rc))]
+    return own
+
+
+def test_registered_relabelling_and_superpixels_run_all_rounds(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rng = np.random.default_rng(1)
+    scenes = [np.round(rng.normal(size=(8, 8)) + (np.arange(8) > 3) * k / 3, 3) for k in range(8)]
+    spark.createDataFrame([(k, s.ravel().tolist()) for k, s in enumerate(scenes)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(g.scene, g.r, g.c): g.label for g in e.queries()["e8_contextual_relabel_whole"](spark, str(tmp_path)).collect()}
+    want = [relabelled(s, 200) for s in scenes]
+    assert any((relabelled(s, 3) != w).any() for s, w in zip(scenes, want))
+    assert got == {(k, r, c): w[r, c] for k, w in enumerate(want) for r in range(8) for c in range(8)}
+    got = {(g.scene, g.r, g.c): (g.sr, g.sc) for g in e.queries()["e9_superpixels_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(k, i // 8, i % 8): o for k, s in enumerate(scenes) for i, o in enumerate(clustered(s, 10))}
+
+
+def test_registered_models_have_the_operators_sizes(spark, monkeypatch):
+    import __spark_entry__ as e
+
+    seen = []
+    for name in ("forest_regressor", "forest_classifier", "boosted_trees", "bagged_trees"):
+        monkeypatch.setattr(m, name, lambda *a, _n=name, **kw: seen.append((_n, kw)) or 1 / 0)
+    for name in ("j2_out_of_fold", "j3_random_forest", "j4_boosted_trees", "j5_bagged_trees"):
+        with pytest.raises(ZeroDivisionError):
+            e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [(n, {}) for n in ("forest_regressor", "forest_classifier", "boosted_trees", "bagged_trees")]
