@@ -212,3 +212,10 @@ def test_language(spark):
     pages = [(1, "http://a.de/", "<html lang=de><p>das haus und der hund</p></html>"), (2, "http://b.com/", "<p>the king and the house</p>"), (3, None, None)]
     got = {r.page_id: r for r in identify(spark.createDataFrame(pages, "page_id int, url string, html string"), d).collect()}
     assert got[1].lang == "de" and got[2].lang == "en" and got[3].lang in ("de", "en")
+
+
+def test_toxicity_learns_from_texts_of_6000_characters(spark):
+    rows = [(i, " ".join(f"w{(i + j) % 50}" for j in range(1500)) + (" vile" if i % 2 else " kind"), i % 2) for i in range(40)]
+    assert all(4000 < len(t) <= 6000 for _, t, _ in rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")).features.words)
