@@ -1,30 +1,36 @@
 """Near-duplicate join on word shingles by Jaccard similarity: a grouped prefix join.
 
 Shingles are ordered by rarity (a sketch of fixed size counts them over the whole corpus; any shared order is exact).  Two
-sets that reach the threshold share a token of their prefixes, and the more tokens the closer their sizes.  Texts with equal sets are one class, classes with equal
-prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens, pass bounds on lengths, positions and the number of shared tokens, and their members are verified
-on whole sets.  So that a large group of near copies never becomes all of its pairs, buckets are first linked to one pivot
-each; afterwards only members that are still in different components are compared, all of them, so no link between
-components is lost.
+sets that reach the threshold share a token of their prefixes.  Texts with equal sets are one class, classes with equal
+prefix and size one group (named by a 64-bit hash).  Groups meet on prefix tokens and pass bounds on lengths, positions and,
+by parity bitmaps of whole sets, on how many tokens they may differ in; what is left is verified on the sets.  So that a
+large group of near copies never becomes all of its pairs, buckets are first linked to one pivot each; afterwards only
+members that are still in different components are compared, all of them, so no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import connected_components
-from .scratch import stage
+from .scratch import release, stage
 
-SKETCH_BITS = 24
-BLOCK = 4096
+#: Cells of the rarity sketch; each has a count in the tasks and four bits of rank at last.
+SKETCH_BITS = 26
+BLOCK = 1 << 14
 TOKEN_BITS = np.uint64(58)
-BITMAP = 1 << 24
+#: Buckets up to this many members list all of their pairs at once; of larger ones only members of different components meet.
+SMALL = 8
+#: Bits of the class digest by which texts are picked before their sets are written.
+PICK_BITS = 24
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +50,16 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(out)
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray, k: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and token of each distinct shingle, by row and from rare to frequent.  A token holds its rarity in front."""
     row, h = _shingles(data, offsets, k)
-    token = (ranks[h >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << TOKEN_BITS) | (h & np.uint64((1 << 58) - 1))
+    cell = _cells(h)
+    rank = (ranks[cell >> 1] >> (4 * (cell & 1)).astype(np.uint8)) & 15
+    token = (rank.astype(np.uint64) << TOKEN_BITS) | (h & np.uint64((1 << 58) - 1))
     order = np.lexsort((token, row))
     row, token = row[order], token[order]
     if len(row):
@@ -67,70 +79,95 @@ def _digest(token: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes
     return [x.tobytes() for x in np.stack([_sums(token, first, end, seed) for seed in (3, 5)], 1)]
 
 
+def _parities(token: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A parity bitmap of each row's tokens as 64-bit words: a power of two of bits, at least ``n``.  Two sets differ in as many
+    tokens at least as their bitmaps do in bits."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits[n == 0] = 0
+    end = np.cumsum(bits)
+    at = (end - bits)[row] + (token & (bits[row] - 1))
+    odd = np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1
+    held = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, end // 64].astype(np.int32)), pa.array(held))
+
+
+def _gaps(spots: np.ndarray) -> bytes:
+    """Sorted places as distances of one byte each; 255 stands for a stretch of 255 without a place."""
+    step = np.diff(np.r_[0, spots])
+    out = np.full(int((step // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def _places(gaps: bytes) -> np.ndarray:
+    step = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(step.astype(np.int64))[step < 255]
+
+
 def _counted_blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Non-empty blocks of a task's counts: few shingles as their places, many as an array of the least width that holds them."""
+    """Non-empty blocks of a task's counts: few shingles as the distances of their places, many as an array."""
     grid = counts.reshape(-1, BLOCK)
-    total = grid.sum(1)
+    total = grid.sum(1, dtype=np.int64)
     used = np.flatnonzero(total)
     for part in np.array_split(used, len(used) // 256 + 1):
         spots, dense = [], []
         for b in part:
-            if total[b] < BLOCK // 4:
-                spots.append(np.repeat(np.arange(BLOCK, dtype=np.uint16), grid[b]).tobytes())
+            if total[b] < BLOCK // 2:
+                at = np.flatnonzero(grid[b])
+                spots.append(_gaps(np.repeat(at, grid[b][at])))
                 dense.append(None)
             else:
                 spots.append(None)
-                dense.append(grid[b].astype(np.min_scalar_type(int(grid[b].max()))).tobytes())
+                dense.append(grid[b].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(spots, pa.binary()), pa.array(dense, pa.binary())], ["block", "spots", "counts"])
 
 
 def _ranked_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One byte for each cell of a block: the power of two by which its count passes the block's median count."""
+    """Four bits for each cell of a block: the power of two by which its count passes the block's median count, 15 at most."""
     counts = np.zeros(BLOCK, np.int64)
     for batch in batches:
         for spots, dense in zip(batch.column("spots"), batch.column("counts")):
             if spots.is_valid:
-                counts += np.bincount(np.frombuffer(spots.as_py(), np.uint16), minlength=BLOCK)
+                counts += np.bincount(_places(spots.as_py()), minlength=BLOCK)
             else:
-                held = dense.as_py()
-                counts += np.frombuffer(held, f"u{len(held) // BLOCK}").astype(np.int64)
-    rank = np.log2(np.maximum(1.0, counts / max(1.0, float(np.median(counts))))).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "ranks"])
+                counts += np.frombuffer(dense.as_py(), np.uint8)
+    rank = np.minimum(15, np.log2(np.maximum(1.0, counts / max(1.0, float(np.median(counts)))))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(rank[::2] | rank[1::2] << 4).tobytes()], pa.binary())], ["block", "ranks"])
 
 
 def _rarity(texts: DataFrame, k: int) -> np.ndarray:
-    """A small number for each of 2**SKETCH_BITS cells of shingles, larger for cells that are counted more often over all texts.
+    """Four bits for each of 2**SKETCH_BITS cells of shingles, larger for cells that are counted more often over all texts.
 
-    Tasks add up their counts and send blocks of cells, so what is exchanged grows with the number of tasks, not of
-    shingles; the driver gets one byte for each cell, whatever the input.  Beyond a few shingles for each cell, those that
-    many texts share still stand out against the median.
+    Tasks add up their counts (255 at most for each cell) and send blocks of cells; the driver gets half a byte for each
+    cell, whatever the input.  Beyond a few shingles for each cell, those that many texts share still stand out against the
+    median.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
             for _, _, data, offsets in tb.chunks(tb.column(batch, "text")):
-                cell, n = np.unique(_shingles(data, offsets, k)[1] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                counts[cell.astype(np.int64)] += n.astype(np.uint32)
+                cell, n = np.unique(_cells(_shingles(data, offsets, k)[1]), return_counts=True)
+                counts[cell] = np.minimum(255, counts[cell] + n)
         yield from _counted_blocks(counts)
 
     blocks = texts.mapInArrow(run, "block int, spots binary, counts binary")
     got = blocks.groupBy("block").applyInArrow(_ranked_block, "block int, ranks binary")
-    ranks = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
+    ranks = np.zeros((1 << SKETCH_BITS) // BLOCK * (BLOCK // 2), np.uint8).reshape(-1, BLOCK // 2)
     for row in got.collect():
         ranks[row.block] = np.frombuffer(row.ranks, np.uint8)
     return ranks.ravel()
 
 
-def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
-    """Each row's class (digest of its whole set), group (digest of prefix and size), size and prefix.  Of rows of one group
-    that a task meets, only the first need carry the prefix."""
+def _classes(rows: DataFrame, k: int, ranks: Broadcast, percent: int) -> DataFrame:
+    """Each row's class (digest of its whole set), parity bitmap, group (digest of prefix and size), size and prefix.  Of rows
+    of one group that a task meets, only the first need carry the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
-                row, token = _tokens(data, offsets, k, ranks)
+                row, token = _tokens(data, offsets, k, ranks.value)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
                 n = np.diff(first)
                 # two sets of n and m overlap by ceil(p (n + m) / (100 + p)) at least, so by ceil(p n / 100)
@@ -144,73 +181,81 @@ def _classes(rows: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFr
                     sent.clear()
                 pick = np.repeat(first[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())
                 prefixes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(token[pick]))
-                cols = [batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(n), pa.array(_digest(token, first[:-1], first[1:]), pa.binary()), pa.array(group), prefixes]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "cid", "gid", "prefix"])
+                cols = [batch.column("doc_id")[lo:hi], batch.column("text_key")[lo:hi], pa.array(n), pa.array(_digest(token, first[:-1], first[1:]), pa.binary()), _parities(token, row, n), pa.array(group), prefixes]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "cid", "sig", "gid", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, gid long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, sig array<long>, gid long, prefix array<long>")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Packed bitmap of the first three bytes of each ``cid``: of fixed size, so at most BITMAP numbers reach the driver."""
-    spot = F.conv(F.hex(F.substring("cid", 1, 3)), 16, 10).cast("int")
-    held = np.zeros(BITMAP, bool)
-    held[ids.select(spot.alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
-    return np.packbits(held)
+def _picked(pairs: DataFrame) -> np.ndarray:
+    """Packed bitmap of the first PICK_BITS bits of each ``a`` and ``b``, made of 64 bits a row: 2**18 rows at most reach the driver."""
+    spot = F.conv(F.hex(F.substring("cid", 1, 3)), 16, 10).cast("long")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    held = np.zeros(1 << (PICK_BITS - 6), np.int64)
+    held[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return held
 
 
-def _sets(texts: DataFrame, k: int, ranks: np.ndarray, pairs: DataFrame) -> DataFrame:
-    """(cid, right, tokens) of classes in ``pairs``; right: it may be the second of a pair.  Bitmaps keep most other texts from
-    being written; a class may come more than once, from different tasks."""
-    left, right = (_bitmap(pairs.select(F.col(c).alias("cid"))) for c in ("a", "b"))
+def _sets(texts: DataFrame, k: int, ranks: Broadcast, pairs: DataFrame) -> DataFrame:
+    """(cid, tokens) of the classes in ``pairs``, one row for each.  A bitmap keeps most other texts from being written."""
+    held = _picked(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
             for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
-                row, token = _tokens(data, offsets, k, ranks)
+                row, token = _tokens(data, offsets, k, ranks.value)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
-                ids, seconds, sets = [], [], []
+                ids, sets = [], []
                 for c, a, b in zip(_digest(token, first[:-1], first[1:]), first, first[1:]):
                     at = int.from_bytes(c[:3], "big")
-                    l, r = ((int(m[at >> 3]) >> (7 - (at & 7))) & 1 for m in (left, right))
-                    if a < b and (l or r) and c not in sent:
+                    if a < b and (int(held[at >> 6]) >> (at & 63)) & 1 and c not in sent:
                         sent.add(c)
                         ids.append(c)
-                        seconds.append(bool(r))
                         sets.append(token[a:b])
                 if len(sent) > 200_000:
                     sent.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(seconds, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "right", "tokens"])
-
-    return stage(texts.mapInArrow(run, "cid binary, right boolean, tokens array<long>"))
-
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "tokens"])
 
-def _needed(n: str, m: str, percent: int) -> Column:
-    """How many tokens the prefixes of sets of n and m share at least, if the sets reach the threshold; null if their sizes
-    rule it out.  (An overlap of o shows l times in prefixes of n - o + l and m - o + l tokens.)"""
-    n, m = F.col(n), F.col(m)
-    overlap = F.ceil(percent * (n + m) / (100 + percent))
-    most = F.greatest(n, m)
-    least = F.ceil(percent * most / 100)
-    return F.when((100 * F.least(n, m) >= percent * most), F.greatest(F.lit(1), overlap - least + 1))
+    met = stage(texts.mapInArrow(run, "cid binary, tokens array<long>"))
+    once = stage(met.groupBy("cid").agg(F.first("tokens").alias("tokens")))
+    release(met)
+    return once
 
 
-def _possible(n: str, i: str, m: str, j: str, percent: int) -> Column:
+def _possible(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     """Length and position bounds for a shared token at places i and j of sets of n and m.  With an overlap of o, prefixes of
     n - o + 1 and m - o + 1 tokens share one."""
-    n, i, m, j = map(F.col, (n, i, m, j))
     length = (100 * n >= percent * m) & (100 * m >= percent * n)
     early = (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
     return length & early
 
 
+def _close(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with sizes n, m and bitmaps x, y those that may reach the threshold: the overlap is at least
+    ceil(p (n + m) / (100 + p)), so no more than n + m less twice that may differ."""
+
+    def folded(name: str) -> str:
+        out = name
+        for _ in range(1 + math.ceil(math.log2(100 / percent))):
+            out = f"if(size({out}) > words, zip_with(slice({out}, 1, size({out}) div 2), slice({out}, size({out}) div 2 + 1, size({out}) div 2), (p, q) -> p ^ q), {out})"
+        return out
+
+    x, y = (F.expr(folded(c)) for c in "xy")
+    sized = pairs.filter(f"100 * n >= {percent} * m and 100 * m >= {percent} * n").withColumn("words", F.least(F.size("x"), F.size("y")))
+    apart = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    return sized.withColumns({"x": x, "y": y}).filter(apart <= F.col("n") + F.col("m") - 2 * F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets reach the threshold."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.filter("right").select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
+    both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -224,68 +269,92 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("text_key"), docs[text].alias("text"))
     texts = rows.select("text")
-    ranks = _rarity(texts, k)
+    ranks = docs.sparkSession.sparkContext.broadcast(_rarity(texts, k))
     read = stage(_classes(rows, k, ranks, percent))
     full = read.filter("n > 0")
-    classes = stage(full.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("least_id")))
-    heads = classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"))
-    # one exchange by token serves the buckets' pivots and what is joined to them; the pivot is the member in whose prefix
-    # the token comes first, so the one with the fewest shingles of its own
-    tokens = full.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")).repartition("token")
-    rank = F.shiftleft(F.col("i").cast("long"), 40) + F.shiftrightunsigned("gid", 24)
-    buckets = tokens.groupBy("token").agg(F.min_by("gid", rank).alias("pivot"), F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.max("n").alias("most"))
-    buckets = buckets.filter("lo < hi and most > 0").select("token", "pivot")
-    shared = stage(tokens.join(buckets.hint("shuffle_hash"), "token").dropDuplicates(["token", "gid"]))
-    head = stage(heads.join(classes, "gid").filter("cid = head").select("gid", "head", "n", "members"))
-    inner = classes.join(head.filter("members > 1").select("gid", "head"), "gid").filter("cid <> head")
-
-    met = shared.filter("gid <> pivot").groupBy("gid", "pivot").count()
-    ends = met.join(head.select("gid", F.col("head").alias("a"), "n"), "gid")
-    ends = ends.join(head.select(F.col("gid").alias("pivot"), F.col("head").alias("b"), F.col("n").alias("m")), "pivot")
-    # a pivot leads only some of the buckets that it shares, so half of what is needed will do here
-    pairs = ends.filter(2 * F.col("count") >= _needed("n", "m", percent)).select("a", "b")
-    pairs = pairs.union(inner.select(F.col("cid").alias("a"), F.col("head").alias("b")))
+    classes = stage(full.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.first("sig").alias("sig")))
+    head = classes.groupBy("gid").agg(F.min(F.struct("cid", "n", "sig")).alias("h"), F.count("*").alias("members"))
+    head = stage(head.select("gid", F.col("h.cid").alias("head"), "h.n", "h.sig", "members"))
+    buckets = stage(_buckets(full.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))))
+    many = head.filter("members > 1").select("gid", "head", F.col("n").alias("m"), F.col("sig").alias("y"))
+    inner = stage(classes.join(many, "gid").select("gid", "cid", "head", "n", "m", F.col("sig").alias("x"), "y"))
+
+    def ends(pairs: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+        """``pairs`` (a, b) with name, size and bitmap of both from ``table``."""
+        one = table.select(F.col(key).alias("a"), F.col(name).alias("class_a"), "n", F.col("sig").alias("x"))
+        two = table.select(F.col(key).alias("b"), F.col(name).alias("class_b"), F.col("n").alias("m"), F.col("sig").alias("y"))
+        return pairs.join(one, "a").join(two, "b")
+
+    # heads of groups with the pivots of their buckets, members of a group with its head
+    led = buckets.select("pivot", F.explode("members").alias("x")).filter("x.gid <> pivot.gid").filter(_bounds("x", "pivot", percent))
+    led = stage(led.select(F.col("x.gid").alias("a"), F.col("pivot.gid").alias("b")).distinct())
+    pairs = _close(ends(led, head, "gid", "head"), percent).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    pairs = pairs.union(_close(inner.filter("cid <> head"), percent).select(F.col("cid").alias("a"), F.col("head").alias("b")))
     labels = _linked(None, pairs, texts, k, ranks, percent)
 
-    # what is left: members of one bucket in different components, every pair that shares as many tokens as it must
-    within = inner.select("gid", "cid", "n").union(head.filter("members > 1").select("gid", "head", "n")).select("gid", "cid", "n")
-    member = shared.select("token", "gid", "i").join(classes.select("gid", "cid", "n"), "gid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.select("token", "gid", "cid", "n", "i", F.coalesce("label", "cid").alias("label"))
+    # what is left: members of one bucket or group in different components
+    named = classes.select("cid", "gid", "n", "sig").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = stage(named)
+    wide = inner.select("gid").distinct()
+    listed = buckets.filter("size(members) > 1").select("pivot", "members", F.posexplode("members").alias("at", "x")).withColumn("y", F.explode(F.slice("members", F.col("at") + 2, SMALL)))
+    listed = listed.filter("x.gid <> pivot.gid and y.gid <> pivot.gid").filter(_bounds("x", "y", percent)).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
+    again = [led.join(wide.withColumnRenamed("gid", c), c, "left_semi").select("a", "b") for c in "ab"]
+    met = listed.union(again[0]).union(again[1]).distinct()
+    one, two = (named.select(F.col("gid").alias(g), F.col("cid").alias(f"class_{g}"), F.col("label").alias(f"label_{g}")) for g in "ab")
+    met = met.join(one, "a").join(two, "b").filter("label_a <> label_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+    large = buckets.filter("size(members) = 1").select("token", F.explode("members").alias("x")).select("token", "x.gid", "x.n", "x.i")
+    member = large.join(named.select("gid", "cid", "label"), "gid")
     mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     member = stage(member.join(mixed, "token"))
-    other = member.select(F.col("token").alias("token_b"), F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
-    rest = member.join(other, (F.col("token") == F.col("token_b")) & (F.col("label") < F.col("label_b")) & _possible("n", "i", "m", "j", percent))
-    rest = stage(rest.select(F.col("cid").alias("a"), "b", "n", "m", "gid", "gid_b").distinct())
-    # before whole sets are fetched, the prefixes must share as many tokens as the sizes ask for
-    prefix = full.filter(F.size("prefix") > 0).select("gid", "prefix")
-    rest = rest.join(prefix.withColumnRenamed("prefix", "x"), "gid").join(prefix.select(F.col("gid").alias("gid_b"), F.col("prefix").alias("y")), "gid_b")
-    rest = rest.filter(F.size(F.array_intersect("x", "y")) >= _needed("n", "m", percent)).select("a", "b")
-    same = within.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
-    twin = same.select(F.col("gid").alias("gid_b"), F.col("cid").alias("b"), F.col("label").alias("label_b"))
-    same = same.join(twin, (F.col("gid") == F.col("gid_b")) & (F.col("label") < F.col("label_b"))).select(F.col("cid").alias("a"), "b")
-    labels = _linked(labels, rest.union(same), texts, k, ranks, percent)
-
-    named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    final = named.join(least, "label").select("cid", "component_id", F.col("label").alias("component"))
+    other = member.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("label_b"))
+    rest = member.join(other, "token").filter("label < label_b").filter(_possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)).select(F.col("cid").alias("a"), "b")
+    within = named.join(wide, "gid", "left_semi").select("gid", "cid", "label")
+    twin = within.select("gid", F.col("cid").alias("b"), F.col("label").alias("label_b"))
+    same = within.join(twin, "gid").filter("label < label_b").select(F.col("cid").alias("a"), "b")
+    pairs = stage(met.union(rest).union(same).distinct())
+    close = _close(ends(pairs, named, "cid", "cid"), percent).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    labels = _linked(labels, close, texts, k, ranks, percent)
+    release(head, buckets, inner, led, named, member, pairs)
+    ranks.destroy()
+
+    names = classes.select("cid", "least_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least_id", F.coalesce("label", "cid").alias("label"))
+    least = names.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    final = names.join(least, "label").select("cid", "component_id", F.col("label").alias("component"))
     out = read.select("doc_id", "text_key", "n", "cid").join(final, "cid", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")
 
 
-def _linked(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
-    """Labels after those of ``pairs`` that are apart have been verified on whole sets."""
-    pairs = stage(_apart(pairs, labels).distinct())
-    return _merged(labels, stage(_verified(pairs, _sets(texts, k, ranks, pairs), percent)))
+def _buckets(tokens: DataFrame) -> DataFrame:
+    """(token, pivot, members) of tokens (gid, n, i, token) that more than one group has, after one exchange by token.
 
-
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    if labels is None:
-        return pairs
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    known = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return known.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    The pivot is the member in whose prefix the token comes first, so the one with the fewest shingles of its own.  Members
+    of a bucket of up to SMALL are listed in one row, those of larger ones in a row each.  (Rows are counted before repeats
+    from different tasks go, so a small bucket may come in a row for each member too.)
+    """
+    tokens = tokens.repartition("token")
+    rank = F.shiftleft(F.col("i").cast("long"), 40) + F.shiftrightunsigned("gid", 24)
+    shared = tokens.groupBy("token").agg(F.min_by(F.struct("gid", "n", "i"), rank).alias("pivot"), F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
+    met = tokens.join(shared.select("token", "pivot", "c").hint("shuffle_hash"), "token")
+    apart = F.when(F.col("c") > SMALL, F.col("gid")).otherwise(0)
+    return met.groupBy("token", apart.alias("apart")).agg(F.first("pivot").alias("pivot"), F.collect_set(F.struct("gid", "n", "i")).alias("members")).drop("apart")
+
+
+def _bounds(a: str, b: str, percent: int) -> Column:
+    n, i, m, j = (F.col(f"{s}.{c}") for s in (a, b) for c in "ni")
+    return _possible(n, i, m, j, percent)
+
+
+def _linked(labels: DataFrame | None, pairs: DataFrame, texts: DataFrame, k: int, ranks: Broadcast, percent: int) -> DataFrame:
+    """Labels after ``pairs`` have been verified on whole sets."""
+    pairs = stage(pairs)
+    if labels is not None and pairs.isEmpty():
+        return labels
+    sets = _sets(texts, k, ranks, pairs)
+    edges = stage(_verified(pairs, sets, percent))
+    release(pairs, sets)
+    return _merged(labels, edges)
 
 
 def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,4 +30,14 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` gave back.  Nothing that is still to be computed may read them."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
