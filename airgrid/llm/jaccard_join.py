@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import connected_components
-from .scratch import release, stage
+from .scratch import release, small_batches, stage
 
 #: Cells of the rarity sketch; each has a count in the tasks and four bits of rank at last.
 SKETCH_BITS = 26
@@ -154,7 +154,9 @@ def _rarity(texts: DataFrame, k: int) -> np.ndarray:
     blocks = texts.mapInArrow(run, "block int, spots binary, counts binary")
     got = blocks.groupBy("block").applyInArrow(_ranked_block, "block int, ranks binary")
     ranks = np.zeros((1 << SKETCH_BITS) // BLOCK * (BLOCK // 2), np.uint8).reshape(-1, BLOCK // 2)
-    for row in got.collect():
+    with small_batches(texts.sparkSession):
+        found = got.collect()
+    for row in found:
         ranks[row.block] = np.frombuffer(row.ranks, np.uint8)
     return ranks.ravel()
 

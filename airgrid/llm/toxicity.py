@@ -101,6 +101,19 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Text:
     return Text(word, w.first, distinct, gram_word, grams)
 
 
+def joined(parts: list[Text]) -> Text:
+    """Runs of texts as one; equal to reading them at once, without arrays of the size of all their bytes."""
+    hashes, at = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True)
+    word = np.concatenate([np.searchsorted(hashes, p.hashes)[p.word] for p in parts])
+    before = np.r_[0, np.cumsum([len(p.word) for p in parts])]
+    first = np.concatenate([[0], *(p.first[1:] + b for p, b in zip(parts, before))])
+    grams = np.concatenate([p.grams for p in parts])
+    n = np.concatenate([np.bincount(p.gram_word, minlength=len(p.hashes)) for p in parts])
+    start, n = (np.cumsum(n) - n)[at], n[at]
+    pick = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return Text(word, first, hashes, np.repeat(np.arange(len(hashes)), n), grams[pick])
+
+
 def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, end) of windows that overlap by half and reach the end of each text."""
     n = np.diff(first)
@@ -233,8 +246,7 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     """Fit the network to labelled texts.  ``natural`` is the share of toxic texts to calibrate for."""
     arr = pa.array(texts or [""], pa.large_string())
     y = np.array(toxic or [0], float)
-    (_, _, data, offsets) = next(tb.chunks(arr, 1 << 40))
-    t = read(data, offsets)
+    t = joined([read(data, offsets) for _, _, data, offsets in tb.chunks(arr)])
     if not len(t.word):
         none = np.zeros(0, U), np.zeros(0)
         return Net(settings, Features(*none, *none))
@@ -354,7 +366,3 @@ def clean_only(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
 
     assert "text" in names
     return docs.mapInArrow(run, docs.schema)
-
-
-
-
