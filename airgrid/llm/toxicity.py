@@ -60,8 +60,10 @@ class Features:
 
 def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log-odds of presence in toxic texts, for hashes that at least three texts hold."""
-    keys, inverse = np.unique(h, return_inverse=True)
-    pairs = np.unique(inverse * len(toxic) + doc)
+    keys = np.unique(h)
+    pairs = np.searchsorted(keys, h) * len(toxic) + doc
+    pairs.sort()
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     count = np.bincount(pairs // len(toxic), minlength=len(keys))
     bad = np.bincount(pairs // len(toxic), toxic[pairs % len(toxic)], len(keys))
     n_bad, n_good = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
@@ -267,7 +269,10 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     rng = np.random.default_rng(settings.seed)
     vectors = net.inputs(t)
     per_word = vectors[t.word, CHAR + WORD] + vectors[t.word, CHAR + WORD + 1] + vectors[t.word, CHAR + WORD + 2]
-    logit = np.max(np.where((at := lo[:, None] + np.arange(settings.window)) < end[:, None], per_word[np.minimum(at, len(per_word) - 1)], -9), 1)
+    logit = np.full(len(lo), -9.0)
+    for step in range(settings.window):  # the highest word of each window
+        at = lo + step
+        logit = np.maximum(logit, np.where(at < end, per_word[np.minimum(at, len(per_word) - 1)], -9))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
