@@ -19,17 +19,18 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 U = np.uint64
+#: Log-odds of fewer standard errors than this count as 0.
+LEAST_Z = 1.0
 
 
 @dataclass(frozen=True)
 class Settings:
     """``max_toxic``, ``max_clean`` and ``max_chars`` bound the labelled sample that the driver trains on; longer texts are left
-    out of training only.  ``max_table`` bounds the log-odds tables."""
+    out of training only."""
 
     max_toxic: int = 800
     max_clean: int = 1600
     max_chars: int = 6000
-    max_table: int = 20_000
     window: int = 16
     hidden: int = 8
     buckets: int = 4096
@@ -58,8 +59,8 @@ class Features:
         return np.where(keys[at] == h, values[at], 0.0)
 
 
-def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunk log-odds of presence in toxic texts, for hashes that at least three texts hold."""
+def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log-odds of presence in toxic texts, for hashes that at least three texts hold and whose odds stand out."""
     keys = np.unique(h)
     pairs = np.searchsorted(keys, h) * len(toxic) + doc
     pairs.sort()
@@ -69,8 +70,8 @@ def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray, most: int) -> tuple
     n_bad, n_good = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
     share = n_bad / (n_bad + n_good)
     value = np.log((bad + 8 * share) / n_bad) - np.log((count - bad + 8 * (1 - share)) / n_good)
-    keep = np.flatnonzero(count >= 3)
-    keep = np.sort(keep[np.argsort(-np.abs(value[keep]), kind="stable")[:most]])
+    spread = np.sqrt(1 / (bad + 8 * share) + 1 / (count - bad + 8 * (1 - share)))
+    keep = np.flatnonzero((count >= 3) & (np.abs(value) >= LEAST_Z * spread))
     return keys[keep], value[keep]
 
 
@@ -259,8 +260,8 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
     doc, word = held // max(1, len(t.hashes)), held % max(1, len(t.hashes))
     n = np.diff(cut)[word]
     pick = np.repeat(cut[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    words = _odds(doc, t.hashes[word], y, settings.max_table)
-    grams = _odds(np.repeat(doc, n), t.grams[by_word][pick], y, settings.max_table)
+    words = _odds(doc, t.hashes[word], y)
+    grams = _odds(np.repeat(doc, n), t.grams[by_word][pick], y)
     net = Net(settings, Features(*words, *grams))
     text, lo, end = windows(t.first, settings.window)
     del held, doc, word, pick, by_word
@@ -328,12 +329,12 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Net:
     """Train on a bounded sample of labelled rows that are not held out, chosen by a hash of the id.  Repeated labels of an id
-    count once (toxic if any is); null labels are skipped.  Without labels the network stays untrained and its scores low."""
+    count once (toxic if any is), of several texts of an id the least is learnt; null labels are skipped.  Without labels the network stays untrained and its scores low."""
     known = labels.filter(labels.toxic.isNotNull() & labels.doc_id.isNotNull() & ~held_out(labels.doc_id)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.05
     order = F.xxhash64("doc_id")
     sample = known.filter("toxic = 1").orderBy(order).limit(settings.max_toxic).union(known.filter("toxic = 0").orderBy(order).limit(settings.max_clean))
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, settings.max_chars)).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, settings.max_chars)).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     got = rows.orderBy(order).limit(settings.max_toxic + settings.max_clean).toPandas()
     net = train(got["text"].tolist(), got["toxic"].tolist(), rate, settings)
     if not len(got):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from airgrid.llm.mixing import mix, targets
 from airgrid.llm.repetition import judge_repetition
 from airgrid.llm.sharding import shard_by_bytes
 from airgrid.llm.token_files import TokenFile, token_digests, write_tokens
-from airgrid.llm.toxicity import fit, score_toxicity, train
+from airgrid.llm import textbytes as tb
+from airgrid.llm.jaccard_join import _close, _gaps, _parities, _places
+from airgrid.llm.toxicity import fit, joined, read, score_toxicity, train
 from airgrid.llm.warc import derive, responses
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +77,56 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_large_group(spark):
+    """Buckets of more members than are listed, chains of links that no pivot sees, groups of one prefix, many tasks."""
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(90)]
+    rows, t = [], list(base)
+    for n in range(60):
+        rows.append((n, " ".join(t)))
+        rows.append((1000 + n, " ".join(base[:80] + [f"e{n}x{j}" for j in range(rng.randrange(9))])))
+        t[rng.randrange(90)] = f"r{n}"
+    rows += [(2000 + n, " ".join(base[10:40] + [f"f{n}x{j}" for j in range(40)])) for n in range(30)]
+    sets = [words5(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        before = list(label)
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    least = {}
+    for k, (i, _) in zip(label, rows):
+        least[k] = min(i, least.get(k, i))
+    assert len(set(label)) > 5
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: least[k] for k, (i, _) in zip(label, rows)}
+
+
+def test_parity_bitmaps_bound_the_difference(spark):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 62, n) for n in (1, 60, 64, 65, 130, 900)]
+    sets += [np.r_[s[: int(len(s) * 0.9)], rng.integers(0, 1 << 62, max(1, len(s) // 12))] for s in sets]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sig = _parities(np.concatenate(sets), row, np.array([len(s) for s in sets])).to_pylist()
+    pairs = [(a, b, len(sets[a]), len(sets[b]), sig[a], sig[b]) for a in range(len(sets)) for b in range(len(sets)) if a != b]
+    for percent in (30, 80):
+        kept = {(r.a, r.b) for r in _close(spark.createDataFrame(pairs, "a int, b int, n long, m long, x array<long>, y array<long>"), percent).collect()}
+        like = {(a, b) for a, b, *_ in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= percent * len(set(sets[a]) | set(sets[b]))}
+        assert like and like <= kept and len(kept) < len(pairs)
+    spots = np.sort(rng.integers(0, 1 << 14, 200))
+    assert (_places(_gaps(spots)) == spots).all() and len(_places(_gaps(spots[:0]))) == 0
+
+
+def test_a_sample_read_in_runs_is_the_sample(docs):
+    texts = pa.array([t or "" for _, t, _ in corpus()], pa.large_string())
+    whole, runs = (joined([read(d, o) for _, _, d, o in tb.chunks(texts, size)]) for size in (1 << 30, 500))
+    for name in ("word", "first", "hashes", "gram_word", "grams"):
+        assert (getattr(whole, name) == getattr(runs, name)).all()
+
+
 def test_contamination(spark, docs):
     rows = corpus()
     first = ALNUM.findall(rows[8][1].translate(FOLD))
