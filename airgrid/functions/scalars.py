@@ -31,6 +31,13 @@ def aod550(a440: Column, exponent: Column) -> Column:
     return a440 * F.pow(F.lit(550 / 440), -exponent)
 
 
+def tasselled_cap(blue: Column, green: Column, red: Column, nir: Column) -> tuple[Column, Column]:
+    """The two linear combinations of a tasselled cap (fixed values: weights of blue, green, red, near infrared)."""
+    weights = (0.326, 0.509, 0.56, 0.567), (-0.311, -0.356, -0.325, 0.819)
+    first, second = (a * blue + b * green + c * red + d * nir for a, b, c, d in weights)
+    return first, second
+
+
 def wind_speed(u: Column, v: Column) -> Column:
     return F.sqrt(u * u + v * v)
 
@@ -43,6 +50,11 @@ def surface_pm25(dust: Column, oc: Column, bc: Column, ss: Column, so4: Column)
     return dust + oc + bc + ss + 1.375 * so4
 
 
+def model_units(pm25: Column, aod: Column) -> tuple[Column, Column]:
+    """Modelled PM2.5 times 100 and optical depth times 1000, as feature tables hold them."""
+    return pm25 * 100, aod * 1000
+
+
 def decode(x: Column, scale: float, offset: float, fill: float) -> Column:
     """scale * (x - offset), with the fill value as 0 before."""
     return F.lit(scale) * (F.when(x == fill, 0.0).otherwise(x) - offset)
@@ -65,11 +77,22 @@ def pixel_to_geo(t: tuple[float, ...], row: Column, col: Column) -> tuple[Column
     return t[0] + col * t[1] + row * t[2], t[3] + col * t[4] + row * t[5]
 
 
-def geo_to_pixel(t: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
-    """(row, col), truncated to whole numbers."""
+def geo_to_index(t: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
+    """(row, col) with fractions, counted from the outer corner; ``t`` may hold numbers or columns."""
     det = t[1] * t[5] - t[2] * t[4]
     dx, dy = x - t[0], y - t[3]
-    return ((dy * t[1] - dx * t[4]) / det).cast("int"), ((dx * t[5] - dy * t[2]) / det).cast("int")
+    return (dy * t[1] - dx * t[4]) / det, (dx * t[5] - dy * t[2]) / det
+
+
+def geo_to_pixel(t: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
+    """(row, col), truncated to whole numbers."""
+    row, col = geo_to_index(t, x, y)
+    return row.cast("int"), col.cast("int")
+
+
+def wrap_longitude(lon: Column, west: Column | float) -> Column:
+    """``lon`` moved by whole turns into [west, west + 360)."""
+    return west + F.pmod(lon - west, F.lit(360.0))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -90,6 +113,30 @@ def solar_altitude(lat: Column, dec: Column, second_of_day: Column) -> Column:
     return F.degrees(F.asin(F.sin(F.radians(lat)) * F.sin(dec) + F.cos(F.radians(lat)) * F.cos(dec) * F.cos(hour)))
 
 
+def hour_angle(second_of_day: Column, eot_seconds: Column, sign: Column, legacy: bool = False) -> Column:
+    """Degrees from noon of solar time: the equation of time is added for sign ``+``, taken off for ``-``, else null.
+    ``legacy`` divides by 36000 seconds an hour."""
+    t = F.when(sign == "+", second_of_day + eot_seconds).when(sign == "-", second_of_day - eot_seconds)
+    return (t / (36000 if legacy else 3600) - 12) * 15
+
+
+def season_code(date: Column) -> Column:
+    return F.cos(2 * math.pi * F.month(date) / 12)
+
+
+def year_code(date: Column, first: int = 2016, last: int = 2020) -> Column:
+    """Year in population standard deviations from the mean of the years ``first`` to ``last``."""
+    n = last - first + 1
+    return (F.year(date) - (first + last) / 2) / math.sqrt((n * n - 1) / 12)
+
+
+def everyday(year: Column, begin: Column, end: Column) -> Column:
+    """Days from ``begin`` to ``end`` (``yyyymmdd`` strings) as an array of such strings; an error if they leave ``year``."""
+    a, b = F.to_date(begin, "yyyyMMdd"), F.to_date(end, "yyyyMMdd")
+    days = F.transform(F.sequence(a, b), lambda d: F.date_format(d, "yyyyMMdd"))
+    return F.when((F.year(a) == year) & (F.year(b) == year) & (a <= b), days).otherwise(F.raise_error(F.lit("days outside the year")))
+
+
 def sinusoidal(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Spherical sinusoidal projection, metres."""
     r = EARTH_KM * 1000

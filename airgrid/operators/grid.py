@@ -110,6 +110,15 @@ def daily_cell_mean(cells: DataFrame, zone: str) -> DataFrame:
     return cells.groupBy(F.to_date(local).alias("date"), "lat", "lon").agg(F.avg("value").alias("value"))
 
 
+def grid_transform(cells: DataFrame) -> DataFrame:
+    """t0..t5, n_rows, n_cols of the regular grid whose cell middles are the distinct lon and lat of ``cells``: steps are the
+    range over the number of gaps, the corner lies half a step outside.  One row or column has a step of null."""
+    a = cells.agg(F.min("lon").alias("x"), F.max("lat").alias("y"), (F.max("lon") - F.min("lon")).alias("dx"), (F.max("lat") - F.min("lat")).alias("dy"), F.countDistinct("lon").alias("n_cols"), F.countDistinct("lat").alias("n_rows"))
+    w, h = F.try_divide(F.col("dx"), F.col("n_cols") - 1), F.try_divide(F.col("dy"), F.col("n_rows") - 1)
+    zero = F.lit(0.0)
+    return a.select((F.col("x") - w / 2).alias("t0"), w.alias("t1"), zero.alias("t2"), (F.col("y") + h / 2).alias("t3"), zero.alias("t4"), (-h).alias("t5"), "n_rows", "n_cols")
+
+
 def composite(df: DataFrame, key: list[str], value: str, control: int) -> DataFrame:
     """Mean of positive values; null outside (0.01, 1) or with fewer than ``control`` of them."""
     x = F.when(F.col(value) > 0, F.col(value))
@@ -125,6 +134,14 @@ def climatology_anomaly(target: DataFrame, history: DataFrame, key: list[str]) -
     return target.join(h, key, "left").withColumn("anomaly", F.greatest(F.lit(0.0), F.coalesce(F.col("value") - F.col("mean"), F.lit(0.0))))
 
 
+def zonal_counts(pixels: DataFrame, key: list[str], value: str, other: str, ranges: list[tuple[float, float]]) -> DataFrame:
+    """Of each group the number of values in each half-open range (lo, hi] as n1, n2, ..., and 100 times the mean of the non-zero
+    values of ``other`` (0 without any)."""
+    counts = [F.count_if((F.col(value) > lo) & (F.col(value) <= hi)).alias(f"n{i + 1}") for i, (lo, hi) in enumerate(ranges)]
+    mean = F.coalesce(F.try_divide(F.sum(other), F.count_if(F.col(other) != 0)), F.lit(0.0)) * 100
+    return pixels.groupBy(*key).agg(*counts, mean.alias("mean100"))
+
+
 def segment_shape(pixels: DataFrame, key: list[str]) -> DataFrame:
     """area, extent, major and minor axis by second central moments, from sums only."""
     g = pixels.groupBy(*key).agg(F.count("*").alias("area"), F.var_pop("r").alias("rr"), F.var_pop("c").alias("cc"), F.covar_pop("r", "c").alias("rc"), ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)).alias("box"))
@@ -176,8 +193,10 @@ def cooccurrence(pixels: DataFrame, levels: int, k: int) -> DataFrame:
         outside = F.when(F.col(x) < F.col(top), high).otherwise(F.array().cast("array<int>"))
         return F.filter(F.concat(near, inside, outside), lambda y: (y >= 0) & (y <= F.col(top)))
 
-    e = q.select("scene", "i", "j", "c", "top_c", F.explode(reached("r", "top_r")).alias("at_r")).select("scene", "i", "j", F.col("at_r").alias("r"), F.explode(reached("c", "top_c")).alias("at_c")).withColumnRenamed("at_c", "c")
-    return e.groupBy("scene", "r", "c", "i", "j").agg(F.count("*").alias("n"))
+    # along the rows first: equal pairs are added up before they spread down the columns
+    across = q.select("scene", "i", "j", "r", "top_r", F.explode(reached("c", "top_c")).alias("at")).groupBy("scene", "r", "top_r", F.col("at").alias("c"), "i", "j").agg(F.count("*").alias("n"))
+    down = across.select("scene", "i", "j", "c", "n", F.explode(reached("r", "top_r")).alias("at"))
+    return down.groupBy("scene", F.col("at").alias("r"), "c", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def texture(counts: DataFrame, levels: int, k: int) -> DataFrame:
@@ -227,7 +246,9 @@ def fold(key: Column, k: int) -> Column:
     return ((key * 48271) % 2147483647) % k
 
 
-def max_normalise(df: DataFrame, columns: list[str]) -> DataFrame:
+def max_normalise(df: DataFrame, columns: list[str], codes: tuple[str, ...] = ()) -> DataFrame:
+    """Columns over their maxima; ``codes`` (class numbers) are rounded first."""
+    df = df.withColumns({c: F.round(c) for c in codes}) if codes else df
     top = F.broadcast(df.agg(*[F.max(c).alias(f"__{c}") for c in columns]))
     return df.join(top).withColumns({c: F.try_divide(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 

@@ -2,33 +2,62 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, blocks: int = 8) -> DataFrame:
+def blocks_of(a: DataFrame, b: DataFrame, block: int) -> tuple[int, int]:
+    """How many blocks of about ``block`` rows both tables make."""
+    left, right = (max(1, -(-df.count() // block)) for df in (a, b))
+    return left, right
+
+
+def spread(n: int) -> Column:
+    """A row for each of n blocks."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def dealt(key: str, n: int) -> Column:
+    """The block of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the k rows of y nearest to each of x; of equals the first in y."""
+    k, at, who, far = min(k, len(y)), [], [], []
+    for lo in range(0, len(x) if k else 0, 16):
+        d = np.stack([((y - v) ** 2).sum(1) for v in x[lo : lo + 16]])
+        d = d if digits is None else np.round(d, digits)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        r, c = np.nonzero(d <= kth)
+        order = np.lexsort((c, d[r, c], r))
+        r, c = r[order], c[order]
+        won = np.arange(len(r)) - np.searchsorted(r, np.arange(len(d)))[r] < k
+        at.append(lo + r[won])
+        who.append(c[won])
+        far.append(d[r[won], c[won]])
+    return (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((at, int), (who, int), (far, float)))
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as the rows of a matrix."""
+    return np.array(column.to_pylist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, block: int = 4096) -> DataFrame:
     """(i, j, d): for vectors (id, x) of ``a`` the nearest of ``b`` where it beats ``ratio`` times the second nearest.
 
-    ``b`` is cut into blocks by id; each row of ``a`` meets each block once, keeps its two nearest there, and the blocks' two
-    nearest are merged.  No task holds more than one block of ``b`` and a group of ``a``.
+    Both are cut into blocks of about ``block`` rows; each block of ``a`` meets each of ``b`` once and keeps its two nearest
+    there, and the blocks' two nearest are merged.  No task holds more than one block of each.
     """
-    cells = [F.lit(k) for k in range(blocks)]
-    left = a.select("id", "x", F.explode(F.array(*cells)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part"))
-    right = b.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(blocks)])).alias("part"))
+    parts, blocks = blocks_of(a, b, block)
+    left = a.select("id", "x", spread(blocks).alias("block"), dealt("id", parts).alias("part"))
+    right = b.select("id", "x", dealt("id", blocks).alias("block"), spread(parts).alias("part"))
 
     def near(p: pa.Table, q: pa.Table) -> pa.Table:
-        out = {"i": [], "j": [], "d": []}
-        if len(p) and len(q):
-            order = np.argsort(q["id"].to_numpy(), kind="stable")
-            ids, y = q["id"].to_numpy()[order], np.array(q["x"].to_pylist(), float)[order]
-            x = np.array(p["x"].to_pylist(), float)
-            for r, i in enumerate(p["id"].to_pylist()):
-                d = np.sqrt(((y - x[r]) ** 2).sum(1))
-                for k in np.argsort(d, kind="stable")[:2]:
-                    out["i"].append(i)
-                    out["j"].append(int(ids[k]))
-                    out["d"].append(float(d[k]))
-        return pa.table({"i": pa.array(out["i"], pa.int64()), "j": pa.array(out["j"], pa.int64()), "d": pa.array(out["d"], pa.float64())})
+        q = q.sort_by("id")
+        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["x"]), 2)
+        return pa.table({"i": p["id"].take(pa.array(at)), "j": q["id"].take(pa.array(who)), "d": np.sqrt(d2)})
 
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near, "i long, j long, d double")
     best = met.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, 2).alias("n"))

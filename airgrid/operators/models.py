@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .match import blocks_of, dealt, matrix, nearest_rows, spread
+
 
 def _over(features: list[str], learner: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), learner])
@@ -54,24 +56,19 @@ def search_boosted(df: DataFrame, features: list[str], label: str, draws: dict[s
     return CrossValidator(estimator=learner, estimatorParamMaps=grid.build(), evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), numFolds=folds, seed=seed, parallelism=2).fit(df)
 
 
-def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, blocks: int = 8) -> DataFrame:
+def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """(id, prediction): mean y of the k rows of ``train`` (id, x, y) nearest to each of ``test`` (id, x), ties by id.
 
-    Both sides are cut into blocks; a task holds one block of each and keeps k rows for each test row.
+    Both sides are cut into blocks of about ``block`` rows; a task holds one block of each and keeps k rows for each test row.
     """
-    every = F.explode(F.array(*[F.lit(i) for i in range(blocks)]))
-    left = test.select("id", "x", every.alias("block"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"))
-    right = train.select(F.col("id").alias("at"), F.col("x").alias("w"), F.col("y").alias("y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every.alias("part"))
+    parts, blocks = blocks_of(test, train, block)
+    left = test.select("id", "x", spread(blocks).alias("block"), dealt("id", parts).alias("part"))
+    right = train.select(F.col("id").alias("at"), F.col("x").alias("w"), "y", dealt("id", blocks).alias("block"), spread(parts).alias("part"))
 
     def near(p: pa.Table, q: pa.Table) -> pa.Table:
-        out = []
-        if len(p) and len(q):
-            q = q.sort_by("at")
-            ids, y, x = q["at"].to_numpy(), q["y"].to_numpy(), np.array(q["w"].to_pylist(), float)
-            for i, v in zip(p["id"].to_pylist(), p["x"].to_pylist()):
-                d = np.round(((x - np.array(v, float)) ** 2).sum(1), 9)
-                out += [(i, float(d[j]), int(ids[j]), float(y[j])) for j in np.argsort(d, kind="stable")[:k]]
-        return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate((("id", pa.int64()), ("d", pa.float64()), ("at", pa.int64()), ("y", pa.float64())))})
+        q = q.sort_by("at")
+        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["w"]), k, 9)
+        return pa.table({"id": p["id"].take(pa.array(at)), "d": d2, "at": q["at"].take(pa.array(who)), "y": q["y"].take(pa.array(who))})
 
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near, "id long, d double, at long, y double")
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "at", "y"))), 1, k).alias("n"))

@@ -144,10 +144,10 @@ def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int
     A round depends on the labels only.  So a scene whose labels are those of two rounds before is left as it is, if an even
     number of rounds is to come.
     """
-    scene, line, column = Window.partitionBy("scene"), Window.partitionBy("scene", "r").orderBy("c").rowsBetween(-1, 1), Window.partitionBy("scene", "c").orderBy("r").rowsBetween(-1, 1)
-    span = F.max("v").over(scene) - F.min("v").over(scene)
-    start = F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide((F.col("v") - F.min("v").over(scene)) * n, span)), F.lit(0))).cast("int")
-    now = pixels.filter("v is not null").select(*PIXEL, "v", start.alias("label"), F.lit(-1).alias("last"))
+    line, column = Window.partitionBy("scene", "r").orderBy("c").rowsBetween(-1, 1), Window.partitionBy("scene", "c").orderBy("r").rowsBetween(-1, 1)
+    ends = pixels.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    start = F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("lo")) * n, F.col("hi") - F.col("lo"))), F.lit(0))).cast("int")
+    now = pixels.filter("v is not null").join(ends, "scene").select(*PIXEL, "v", start.alias("label"), F.lit(-1).alias("last"))
     settled = []
     for turn in range(iterations):
         stats = now.groupBy("scene").agg(*[f(F.when(F.col("label") == k, F.col("v"))).alias(f"{s}{k}") for k in range(n) for s, f in (("m", F.avg), ("s", F.stddev_pop))])

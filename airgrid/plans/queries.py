@@ -39,13 +39,13 @@ def _(spark, d):
     return b.tiles(spark, d).withColumn("v", r6("v"))
 
 
-@query("a9_pixels_to_tile", "select vec_id scene, list_aggregate(embedding::double[], 'sum')::double - list_aggregate(embedding::double[], 'sum')::double zero, 8 n_rows, 8 n_cols from embeddings", False)
+@query("a9_pixels_to_tile", "select scene, r, c, (r // 3)::int tile_r, (c // 3)::int tile_c, round(case when (r + c + scene) % 5 > 0 then v end, 6) v from tiles")
 def _(spark, d):
     from ..sources.tables import pixels_to_tile
 
-    t = pixels_to_tile(b.tiles(spark, d))
-    total = F.expr("aggregate(flatten(data), 0D, (a, x) -> a + x)")
-    return t.select("scene", (total - total).alias("zero"), F.size("data").alias("n_rows"), F.size(F.col("data")[0]).alias("n_cols"))
+    t = pixels_to_tile(b.tiles(spark, d).filter("(r + c + scene) % 5 > 0 or r = 7 and c = 7").withColumn("v", F.when((F.col("r") + F.col("c") + F.col("scene")) % 5 > 0, F.col("v"))), side=3)
+    line = t.select("scene", "tile_r", "tile_c", F.posexplode("data").alias("i", "line")).select("scene", "tile_r", "tile_c", "i", F.posexplode("line").alias("j", "v"))
+    return line.select("scene", (F.col("tile_r") * 3 + F.col("i")).alias("r"), (F.col("tile_c") * 3 + F.col("j")).alias("c"), "tile_r", "tile_c", r6("v").alias("v"))
 
 
 @query("b4_mask_nodata", "select scene, count(*) n, count(nullif(b3, 0)) b3, count(nullif(b4, 0)) b4 from pixels group by 1")
@@ -181,10 +181,10 @@ def _(spark, d):
 
 
 # joins
-@query("c1_extract_at_points", "select station, scene, round(b1, 6) b1, round(b4, 6) b4 from stations join pixels on r = ((31 - lat) / 0.1)::double::int and c = trunc((lon - 79) / 0.2)::int".replace("((31 - lat) / 0.1)::double::int", "trunc((31 - lat) / 0.1)::int"))
+@query("c1_extract_at_points", "select station, scene, round(b1, 6) b1, round(b4, 6) b4 from stations join pixels on r = trunc((lat - 31) * 0.2::double / (0.2::double * -0.1::double))::int and c = trunc((lon - 79) * -0.1::double / (0.2::double * -0.1::double))::int")
 def _(spark, d):
     row, col = s.geo_to_pixel((79.0, 0.2, 0.0, 31.0, 0.0, -0.1), F.col("lon"), F.col("lat"))
-    at = b.stations(spark, d).select("station", F.expr("cast((31 - lat) / 0.1D as int)").alias("r"), F.expr("cast((lon - 79) / 0.2D as int)").alias("c"))
+    at = b.stations(spark, d).select("station", row.alias("r"), col.alias("c"))
     return at.join(b.pixels(spark, d), ["r", "c"]).select("station", "scene", r6("b1").alias("b1"), r6("b4").alias("b4"))
 
 
@@ -270,12 +270,14 @@ def _(spark, d):
     return g.clip(b.stations(spark, d), z.select("id", ring.alias("ring"))).select("station", "id")
 
 
-@query("c17_ratio_match", ", a as (select vec_id i, embedding::double[] x from embeddings where vec_id % 2 = 0), o as (select vec_id j, embedding::double[] y from embeddings where vec_id % 2 = 1), d as (select i, j, list_distance(x, y) d from a, o), k as (select *, row_number() over (partition by i order by d, j) n from d) select i, min(case when n = 1 then j end) j from k where n <= 2 group by i having min(case when n = 1 then d end) < 0.75 * min(case when n = 2 then d end)")
+@query("c17_ratio_match", ", a as (select vec_id i, embedding::double[] x from embeddings where vec_id % 2 = 0), o as (select vec_id j, list_transform(embedding::double[], lambda v: v + (vec_id % 7) * 0.02::double) y from embeddings), d as (select i, j, list_distance(x, y) d from a, o), k as (select *, row_number() over (partition by i order by d, j) n from d) select i, min(case when n = 1 then j end) j, round(min(case when n = 1 then d end), 6) d from k where n <= 2 group by i having min(case when n = 1 then d end) < 0.75 * min(case when n = 2 then d end)")
 def _(spark, d):
+    """Even vectors against moved copies of all: some copies lie near enough, others don't."""
     from ..operators.match import ratio_match
 
     e = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return ratio_match(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), 0.75).select("i", "j")
+    moved = e.withColumn("x", F.transform("x", lambda v: v + (F.col("id") % 7) * F.lit(0.02)))
+    return ratio_match(e.filter("id % 2 = 0"), moved, 0.75).select("i", "j", r6("d").alias("d"))
 
 
 @query("c18_missing_pixels", "select scene, r, c from pixels where b3 = 0 or b4 = 0")
@@ -300,18 +302,17 @@ def _(spark, d):
     return g.purity(at, k).select("id", r6("share").alias("share"))
 
 
-@query("d18_fit_geotransform", "select scene, round(regr_slope(2 * c + 5, c), 6) a, round(regr_intercept(2 * c + 5, c), 6) o from pixels group by 1")
+@query("d18_fit_geotransform", ", m as (select scene, var_pop(c) cc, var_pop(r) rr, covar_pop(c, r) cr, covar_pop(c, b2) cx, covar_pop(r, b2) rx, avg(c) mc, avg(r) mr, avg(b2) mx from pixels group by 1), k as (select *, (cx * rr - rx * cr) / (cc * rr - cr * cr) a, (rx * cc - cx * cr) / (cc * rr - cr * cr) b from m) select scene, round(a, 6) a, round(b, 6) b, round(mx - a * mc - b * mr, 6) o from k")
 def _(spark, d):
     from ..operators.match import fit_affine
 
-    p = b.pixels(spark, d).select("scene", F.col("r").cast("double").alias("r"), F.col("c").cast("double").alias("c"), (2.0 * F.col("c") + 5).alias("x"))
-    return fit_affine(p, "x").select("scene", r6("a").alias("a"), r6("o").alias("o"))
+    p = b.pixels(spark, d).select("scene", F.col("r").cast("double").alias("r"), F.col("c").cast("double").alias("c"), F.col("b2").alias("x"))
+    return fit_affine(p, "x").select("scene", r6("a").alias("a"), r6("b").alias("b"), r6("o").alias("o"))
 
 
-@query("d19_grid_transform", "select round((max(lon) - min(lon)) / (count(distinct lon) - 1), 6) res, round(min(lon) - (max(lon) - min(lon)) / (count(distinct lon) - 1) / 2, 6) origin from stations")
+@query("d19_grid_transform", ", q as (select min(lon) x, max(lat) y, (max(lon) - min(lon)) / (count(distinct lon) - 1) w, (max(lat) - min(lat)) / (count(distinct lat) - 1) h, count(distinct lon) n_cols, count(distinct lat) n_rows from stations) select round(x - w / 2, 6) t0, round(w, 6) t1, round(y + h / 2, 6) t3, round(-h, 6) t5, n_rows, n_cols from q")
 def _(spark, d):
-    x = b.stations(spark, d).agg(F.min("lon").alias("a"), F.max("lon").alias("z"), F.countDistinct("lon").alias("n")).withColumn("q", (F.col("z") - F.col("a")) / (F.col("n") - 1))
-    return x.select(r6("q").alias("res"), r6(F.col("a") - F.col("q") / 2).alias("origin"))
+    return g.grid_transform(b.stations(spark, d)).select(*[r6(t).alias(t) for t in ("t0", "t1", "t3", "t5")], "n_rows", "n_cols")
 
 
 # neighbourhoods
@@ -330,19 +331,28 @@ def _(spark, d):
     return g.boundary(b.tiles(spark, d).withColumn("segment", F.floor(F.col("v") * 4).cast("int"))).select("scene", "r", "c", "edge")
 
 
-@query("e2_cooccurrence_totals", "select scene, r, c, 49::bigint n from tiles")
+def _e2_sql(levels: int, k: int) -> str:
+    """Common tables up to ``gl``: counts of level pairs in mirrored windows of 8 x 8 scenes."""
+    h = k // 2
+    return f""", ex as (select scene, min(v) lo, max(v) hi from tiles group by 1), lv as (select scene, r, c, floor((v - lo) / ((hi + 1 - lo) / {levels}))::int i from tiles join ex using (scene)),
+pr as (select scene, r, c, i, coalesce(lead(i) over (partition by scene, r order by c), i) j from lv),
+wn as (select a r, b c, case when a + y < 0 then -(a + y) when a + y > 7 then 14 - (a + y) else a + y end rr, case when b + x < 0 then -(b + x) when b + x > 7 then 14 - (b + x) else b + x end cc from range(8) p(a), range(8) q(b), range({-h}, {h + 1}) t(y), range({-h}, {h + 1}) u(x)),
+gl as (select scene, wn.r::int r, wn.c::int c, i, j, count(*) n from wn join pr on pr.r = wn.rr and pr.c = wn.cc group by 1, 2, 3, 4, 5)"""
+
+
+@query("e2_cooccurrence_totals", _e2_sql(17, 7) + " select * from gl")
 def _(spark, d):
-    return g.cooccurrence(b.tiles(spark, d), 17, 7).groupBy("scene", "r", "c").agg(F.sum("n").alias("n"))
+    return g.cooccurrence(b.tiles(spark, d), 17, 7).select("scene", "r", "c", "i", "j", "n")
 
 
-def _e3(spark, d):
+@query("e3_texture", _e2_sql(17, 7) + """, tx as (select scene, r, c, max(n) as max, sum(-(n / 49.0::double + 1 / 49.0::double) * ln(n / 49.0::double + 1 / 49.0::double)) + (289 - count(*)) * (ln(49.0::double) / 49) entropy, sum(n * i) / 289.0::double as mean, sum((n * i) ** 2) sq,
+sum(n * (i - j) ** 2)::double contrast, sum(n * abs(i - j))::double dissimilarity, sum(n / (1 + (i - j) ** 2)) homogeneity, sum(n * n)::double asm from gl group by 1, 2, 3)
+select scene, r, c, max, round(entropy, 6) entropy, round(mean, 6) as mean, round(sqrt(greatest(0, sq - 289 * mean * mean)), 6) std, round(contrast, 6) contrast, round(dissimilarity, 6) dissimilarity, round(homogeneity, 6) homogeneity, round(asm, 6) asm, round(sqrt(asm), 6) energy from tx""")
+def _(spark, d):
     t = g.texture(g.cooccurrence(b.tiles(spark, d), 17, 7), 17, 7)
     return t.select("scene", "r", "c", "max", *[r6(x).alias(x) for x in ("entropy", "mean", "std", "contrast", "dissimilarity", "homogeneity", "asm", "energy")])
 
 
-QUERIES["e3_texture"] = _e3
-
-
 # scalars
 @query("h1_h4_indices", "select scene, r, c, round(coalesce((b4 - b3) / nullif(b4 + b3, 0), 0), 6) ndvi, round((b2 - b4) / nullif(b2 + b4, 0), 6) ndwi, round(b3 - b1, 6) rb, round(4 * b2 - b3 - 3 * b1, 6) grb from pixels")
 def _(spark, d):
