@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .scratch import stage
 
+#: Up to so many rules are one expression; more are joined, with equal results.
+MANY = 200
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,13 +28,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Labels under which a country's registry gives out names.
+SECOND_LEVEL = r"(?:^|\.)(?:ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z]$"
+#: Numbers and dots, or an address in brackets.
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+)+|\[.*\])$"
+
+
+def _bare(host: Column) -> Column:
+    """Without the port."""
+    return F.regexp_replace(host, r":[0-9]+$", "")
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the last two labels, three under a country's second level; an address is its own."""
+    h = _bare(host)
+    return F.when(h.rlike(ADDRESS), h).when(h.rlike(SECOND_LEVEL), F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, two under a country's second level; an address has none."""
+    h = _bare(host)
+    return F.when(h.rlike(ADDRESS), F.lit("")).when(h.rlike(SECOND_LEVEL), F.substring_index(h, ".", -2)).otherwise(F.substring_index(h, ".", -1))
 
 
 def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -44,6 +60,23 @@ def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return rule, action
 
 
+def join_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (host, path, ...) with rule and action as ``match_rules`` finds them, for any number of rules: each distinct host
+    and path meets the rules of its parent hosts by equality."""
+    table = rows.sparkSession.createDataFrame([(h, p, what, len(h) + len(p), n) for n, (what, h, p) in enumerate(rules)], "parent string, prefix string, what string, size int, n int")
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    pairs = rows.select("host", "path").distinct()
+    met = pairs.select("host", "path", F.explode(parents).alias("parent")).join(table, "parent").filter("startswith(path, prefix)")
+    best = met.groupBy("host", "path").agg(F.max(F.struct("size", "n", "parent", "prefix", "what")).alias("b"))
+    return rows.join(best.select("host", "path", F.concat("b.parent", "b.prefix").alias("rule"), F.col("b.what").alias("action")), ["host", "path"], "left")
+
+
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """``table`` marked for broadcast if it has no more than ``most`` rows; beyond, a join of it may be split where it is skewed."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _strength(level: DataFrame) -> float:
     """Prior strength from the spread of rates about their parents' means: n, k, m for each group."""
     got = level.agg(
@@ -85,16 +118,14 @@ def junk_outcome(html: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: list[Rule], outcome: Column, max_bad: float = 0.1, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, rate, lower for each row of ``pages``.
 
-    A url that is null or has no ``://`` has an empty host and path, fits no rule and is judged as the host "".  Repeated rows
-    count each for itself.  At most 1000 rules.  An empty table gives an empty result.  Columns other than the id, the url
-    and those of ``outcome`` are not read.
+    A url that is null or has no ``://`` has an empty host and path, fits no rule and is judged as the host "".  Of rules of one
+    length the last wins.  Repeated rows count each for itself.  An empty table gives an empty result.  Columns other than
+    the id, the url and those of ``outcome`` are not read.
     """
-    if len(rules) > 1000:
-        raise ValueError("at most 1000 rules")
     u = pages[url]
     rows = stage(pages.select(pages[page_id].alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), outcome.alias("bad")))
-    known = reputation(rows).select("host", "rate", "lower")
-    rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    judged = rows.join(known, "host").withColumns({"rule": rule, "action": action})
+    known = stage(reputation(rows).select("host", "rate", "lower"))
+    rule, action = match_rules(F.col("host"), F.col("path"), rules[:MANY])
+    judged = (rows.withColumns({"rule": rule, "action": action}) if len(rules) <= MANY else join_rules(rows, rules)).join(small(known), "host")
     verdict = F.coalesce("action", F.when(F.col("lower") > max_bad, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "rate", "lower")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .host_reputation import domain_of, host_of, suffix_of
+from .host_reputation import domain_of, host_of, small, suffix_of
 from .scratch import stage
 from .warc import plain_text
 
@@ -125,7 +125,7 @@ def identify(pages: DataFrame, docs: DataFrame, temper: float = 0.1, smooth: flo
 
     chain = hosts.join(domains.drop("suffix"), "domain").join(suffixes, "suffix")
     chain = stage(chain.select("host", *h, *d, *s))
-    page = read.join(chain, "host")
+    page = read.join(small(chain), "host")
     less = [[F.greatest(F.lit(0.0), F.col(x) - F.col(y)) for x, y in zip(level, t)] for level in (s, d, h)]
     level: list[Column] = [F.lit(p) for p in prior]
     for own in less:

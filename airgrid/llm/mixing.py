@@ -2,13 +2,13 @@
 
 Targets are water-filled.  Each source's texts stand in a shuffled order, repeated as often as its target needs, and are
 cut into blocks of ``block`` words.  The mix has one slot for each block.  Slot i falls on the point i * m mod N of a
-golden-ratio lattice (m next to N / golden ratio, no common factor with N), so the N points are spread evenly and each is
+golden-ratio lattice (m near N / golden ratio, no common factor with N), so the N points are spread evenly and each is
 hit once; cumulative block counts map points to sources.  A source's slots, ranked, take its blocks in order.
 """
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +53,8 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 256, seed: int = 7, **names) -> tuple[DataFrame, DataFrame]:
     """(plan, pieces).
 
-    plan: doc_id, source, size (words), source_size, target, taken, copies (how often the mix starts the text): one row for
-    each row of ``docs``.  pieces: slot, source, doc_id, part (words of the text that lie in the slot's block), epoch.
+    plan: doc_id, source, size (words), source_size, target, taken, copies (how often the mix starts the text), first_slot
+    (the slot in which it starts first; null if it never does): one row for each row of ``docs``.  pieces: slot, source, doc_id, part (words of the text that lie in the slot's block), epoch.
     Null texts and texts without words have size 0 and are never taken.  A null source is a source of its own, last in
     order.  Repeated rows count each for itself; null ids are allowed.  A table without words yields targets of 0, an
     empty one no rows.  The number of sources must fit the driver (one row for each); other columns are not read.
@@ -93,39 +93,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     scheduled = schedule(spark, total, [t[6] for t in table])
     pieces = scheduled.join(parts, ["k", "block"]).select("slot", "k", "source", "doc_id", "at", "epoch", "part")
-    got = pieces.groupBy("k", "at").agg(F.sum("part").alias("taken"))
+    got = pieces.groupBy("k", "at").agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
     starts = F.when((F.col("size") > 0) & (F.col("at") < F.col("take")), F.ceil((F.col("take") - F.col("at")) / F.col("source_size"))).otherwise(0)
     plan = ordered.join(got.withColumn("n", F.lit(True)), ["k", "at"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
-    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), starts.cast("long").alias("copies")), pieces.drop("k", "at")
+    first = F.when(F.col("size") > 0, F.col("first_slot"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), starts.cast("long").alias("copies"), first.alias("first_slot")), pieces.drop("k", "at")
+
+
+def lattice_step(total: int) -> int:
+    """Of the 64 numbers from total / golden ratio on, the one with no common factor with ``total`` whose fraction of it has the
+    least sum of continued-fraction terms (the first of equals): that sum bounds how unevenly a prefix of the lattice lies."""
+    start = max(1, round(total / ((1 + 5**0.5) / 2)))
+
+    def terms(x: int) -> tuple[bool, int, int]:
+        a, b, s = total, x, 0
+        while b:
+            a, b, s = b, a % b, s + a // b
+        return a != 1, s, x
+
+    return min(map(terms, range(start, start + 64)))[2]
 
 
 def schedule(spark, total: int, upto: list[int]) -> DataFrame:
     """(slot, k, block): for each of ``total`` slots its source k and the rank of the slot among those of k."""
     if total == 0:
         return spark.createDataFrame([], "slot long, k int, block long")
-    step = max(1, round(total / ((1 + 5**0.5) / 2)))
-    while math.gcd(step, total) != 1:
-        step += 1
+    step = lattice_step(total)
     i = F.col("id")
     exact = i * F.lit(step) if total < 3_000_000_000 else i.cast("decimal(19,0)") * F.lit(step).cast("decimal(19,0)")
     point: Column = (exact % F.lit(total)).cast("long")
-    ends = F.array(*[F.lit(u).cast("long") for u in upto]) if len(upto) <= 64 else None
     per_cell = max(1024, -(-total // CELLS))
     spread = spark.range(0, total).select(i.alias("slot"), point.alias("point"), F.expr(f"cast(id div {per_cell} as int)").alias("cell"))
-    if ends is not None:
-        found = spread.withColumn("k", F.size(F.filter(ends, lambda u: u <= F.col("point"))))
-    else:
-        # a binary search over the sources' ends, unrolled into comparisons
-        table = F.lit(upto)
-        lo: Column = F.lit(0)
-        width = 1 << (len(upto) - 1).bit_length()
-        while width:
-            probe = lo + F.lit(width)
-            at = F.element_at(table, F.least(probe, F.lit(len(upto))))
-            lo = F.when((probe <= len(upto)) & (at <= F.col("point")), probe).otherwise(lo)
-            width //= 2
-        found = spread.withColumn("k", lo)
+    # the points' line in equal stretches: how many sources end before one, and where others end in it
+    width = -(-total // CELLS)
+    ends = []
+    for n in range(-(-total // width)):
+        before, inside = bisect_right(upto, n * width), bisect_right(upto, (n + 1) * width - 1)
+        ends.append((n, before, upto[before:inside]))
+    stretches = F.broadcast(spark.createDataFrame(ends, "stretch long, before int, ends array<long>"))
+    found = spread.withColumn("stretch", F.expr(f"point div {width}")).join(stretches, "stretch")
+    found = found.select("slot", "cell", (F.col("before") + F.size(F.filter("ends", lambda u: u <= F.col("point")))).alias("k"))
     counts = _numbered(found.groupBy("k", "cell").count(), "k", "count").select("k", "cell", "before")
     rank = F.row_number().over(Window.partitionBy("k", "cell").orderBy("slot"))
     return found.withColumn("rank", rank).join(counts, ["k", "cell"]).select("slot", "k", (F.col("before") + F.col("rank") - 1).alias("block"))

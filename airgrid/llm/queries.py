@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, _ = mix(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": f"""
-with d as (select doc_id, source, len({_WORDS.format("text")})::bigint size from documents),
+with recursive d as (select doc_id, source, len({_WORDS.format("text")})::bigint size from documents),
 s as (select source, sum(size)::double n, row_number() over (order by source nulls last) - 1 k from d group by source),
 w as (select *, case k % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double w, 3 * n cap from s),
 r as (select *, coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0) capped,
@@ -107,11 +107,18 @@ r as (select *, coalesce(sum(cap) over (order by cap / w, k rows between unbound
 lv as (select (total - capped) / open level from r where (total - capped) / open <= cap / w order by cap / w, k limit 1),
 t as (select w.source, w.n, case when n = 0 then 0 when (select level from lv) is null then cap else least(cap, w * (select level from lv)) end target from w),
 g as (select source, n::bigint source_size, target, least(floor(target + 0.5), floor(3 * n))::bigint take from t),
+gs as (select *, (take + 255) // 256 slots, sum((take + 255) // 256) over (order by source nulls last) - (take + 255) // 256 lo from g),
+tot as (select sum(slots)::bigint n, greatest(1, round(sum(slots) / ((1 + sqrt(5)) / 2)))::bigint m0 from gs),
+cf(x, a, b, s) as (select x, n, x, 0::bigint from tot, unnest(range(m0, m0 + 64)) r(x) union all select x, b, a % b, s + a // b from cf where b > 0),
+st as (select n, (select x from cf where b = 0 and a = 1 order by s, x limit 1) m from tot),
+sl as (select i slot, (i::hugeint * m % n)::bigint point from st, range((select n from tot)) r(i)),
+sb as (select slot, source, row_number() over (partition by source order by slot) - 1 block from sl join gs on point >= lo and point < lo + slots),
 o as (select d.*, g.source_size, g.target, g.take, coalesce(sum(size) over (partition by g.source order by
       substr(md5(concat_ws('|', d.doc_id::varchar, d.size::varchar, '7')), 1, 32), d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint pos
       from d join g on d.source is not distinct from g.source)
 select doc_id, size, source_size, round(target, 6) target,
-  (case when size = 0 then 0 else (take // source_size) * size + greatest(0, least(pos + size, take % source_size) - pos) end)::bigint taken from o""",
+  (case when size = 0 then 0 else (take // source_size) * size + greatest(0, least(pos + size, take % source_size) - pos) end)::bigint taken, sb.slot::bigint first_slot
+  from o left join sb on o.source is not distinct from sb.source and sb.block = o.pos // 256 and o.size > 0 and o.pos < o.take""",
     "op3_repetition": rf"""
 with d as (select doc_id, coalesce(text, '') t, {_WORDS.format("text")} w from documents),
 g as (select doc_id, p, list_slice(w, p, p + 4) x from d, unnest(range(1, len(w) - 3)) u(p)),
@@ -164,7 +171,7 @@ with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path,
   regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[a-zA-Z]+;', '', 'g') t from pages),
 q as (select *, case when t is null then null when 10 * len(regexp_extract_all(t, '[#*$%&|<>]')) > len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) then 1 else 0 end bad from p),
-h as (select host, count(bad)::double n, coalesce(sum(bad), 0)::double k, array_to_string(string_split(host, '.')[-2:], '.') domain, string_split(host, '.')[-1] suffix from q group by host),
+h as (select host, count(bad)::double n, coalesce(sum(bad), 0)::double k, case when regexp_matches(host, '^([0-9]+(\.[0-9]+)+|\[.*\])(:[0-9]+)?$') then regexp_replace(host, ':[0-9]+$', '') when regexp_matches(host, '(^|\.)(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z](:[0-9]+)?$') then array_to_string(string_split(regexp_replace(host, ':[0-9]+$', ''), '.')[-3:], '.') else array_to_string(string_split(regexp_replace(host, ':[0-9]+$', ''), '.')[-2:], '.') end domain, case when regexp_matches(host, '^([0-9]+(\.[0-9]+)+|\[.*\])(:[0-9]+)?$') then '' when regexp_matches(host, '(^|\.)(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z](:[0-9]+)?$') then array_to_string(string_split(regexp_replace(host, ':[0-9]+$', ''), '.')[-2:], '.') else array_to_string(string_split(regexp_replace(host, ':[0-9]+$', ''), '.')[-1:], '.') end suffix from q group by host),
 g as (select case when sum(n) > 0 then (sum(k) + 0.5::double) / (sum(n) + 1) else 0.5 end m from h),
 s0 as (select suffix, sum(n) n, sum(k) k, any_value(g.m) m from h, g group by suffix),
 s1 as (select 1 / least(greatest(case when sum(n * (n - 1) * m * (1 - m)) <> 0 then sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) else 0 end, 0.001::double), 0.5::double) - 1 s from s0),
