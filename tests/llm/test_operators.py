@@ -232,10 +232,79 @@ def test_urls(spark):
     assert verdict == {"h0.org": "allow", "h1.org": "block"}
 
 
+def test_registered_domains_and_many_rules(spark):
+    from airgrid.llm.host_reputation import domain_of, suffix_of
+
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", ""), "[::1]:80": ("[::1]", ""), "localhost": ("localhost", "localhost"), "": ("", "")}
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.d, r.s) for r in d.select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s")).collect()} == hosts
+    rng = random.Random(3)
+    name = lambda: ".".join(rng.choices(["a", "b", "c"], k=rng.randrange(1, 4)))
+    rules = [(rng.choice(["allow", "block"]), name(), rng.choice(["/", "/x", "/x/y", ""])) for _ in range(1500)]
+    urls = [f"http://{name()}/{rng.choice(['x', 'x/y/z', 'q', ''])}" for _ in range(60)] + [None, "none"]
+    pages = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, rules, F.lit(0)).collect()}
+    for i, u in enumerate(urls):
+        host, path = (u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]) if u and "://" in u else ("", "")
+        fits = [(len(h) + len(p), n, h + p, what) for n, (what, h, p) in enumerate(rules) if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == ((max(fits)[2], max(fits)[3]) if fits else (None, "allow"))
+    assert judge_urls(pages.limit(0), rules, F.lit(0)).count() == 0
+
+
+def test_slots_are_spread_evenly(spark, docs):
+    plan, pieces = mix(docs.union(docs.withColumn("source", F.lit("zz"))), block=2)
+    slots = sorted({(r.slot, r.source) for r in pieces.select("slot", "source").distinct().collect()})
+    total = collections.Counter(s for _, s in slots)
+    assert [s for s, _ in slots] == list(range(len(slots)))
+    seen, worst = collections.Counter(), 0.0
+    for n, (_, s) in enumerate(slots, 1):
+        seen[s] += 1
+        worst = max([worst, *(abs(seen[k] - n * total[k] / len(slots)) for k in total)])
+    assert worst < 2 + np.log2(len(slots)), worst
+    first = {}
+    for r in pieces.collect():
+        first[r.source, r.doc_id] = min(r.slot, first.get((r.source, r.doc_id), r.slot))
+    for r in plan.collect():
+        assert (r.first_slot is None) == (r.taken == 0)
+        if r.doc_id not in (5, None) and r.taken:
+            assert r.first_slot == first[r.source, r.doc_id]
+
+
+def test_more_sources_than_one_expression_holds(spark):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 90:02d}") for i in range(900)], "doc_id long, text string, source string")
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in mix(d, block=3)[0].collect():
+        by[r.source][0] += r.taken
+        by[r.source][1] = r.target
+    assert len(by) == 90 and all(abs(a - t) <= 1 for a, t in by.values())
+
+
+def test_a_long_run_fails_by_the_method_alone(spark):
+    text = "same " * 120 + " ".join(f"w{i}" for i in range(900))
+    r = judge_repetition(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert not r.base_failed and not r.kept and r.longest_repeat == 119
+
+
+def test_languages_of_pages_with_a_known_language(spark):
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(300)] for k, letters in (("aa", "abcdefghij"), ("bb", "fghijklmno"), ("cc", "klmnopqrst"))}
+    say = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    d = spark.createDataFrame([(k, say(k, 200)) for k in words for _ in range(10)] + [(None, "x"), ("aa", None)], "lang string, text string")
+    truth = [rng.choice(list(words)) for _ in range(120)]
+    pages = [(i, f"http://h{i % 4}.{k}/" if i % 5 else None, f"<html{' lang=' + k if i % 3 else ''}><p>{say(k, 1 + i % 12)}</p>") for i, k in enumerate(truth)]
+    p = spark.createDataFrame(pages + [pages[0], (500, None, None), (501, "", "")], "page_id int, url string, html string").withColumn("lang", F.lit("clash"))
+    got = identify(p, d).collect()
+    assert len(got) == 123 and sum(r.lang == truth[r.page_id] for r in got if r.page_id < 120) >= 115
+    assert identify(p.limit(0), d).count() == 0 and {r.lang for r in identify(p, d.limit(0)).collect()} == {"und"}
+
+
 def test_warc(spark):
     p = spark.createDataFrame([(1, "http://a/", "<html><title>T</title><script>x</script><p>a &amp; b</p></html>"), (2, None, None)], "page_id int, url string, html string")
     rows = derive(responses(p)).collect()
     assert len(rows) == 4 and {r.block for r in rows if r.warc_type == "conversion"} == {"T\na & b", ""}
+    odd = derive(responses(spark.createDataFrame([(3, "http://a/\r\nWARC-Type: x", "<p>" + "long " * 50_000)], "page_id int, url string, html string").withColumn("block", F.lit("clash")))).collect()
+    assert all(len(r.header.split("\r\n")) == 11 and "%0D%0AWARC-Type" in r.header for r in odd)
+    assert derive(responses(p.limit(0))).count() == 0 and derive(responses(p.union(p))).count() == 8
     assert all(r.refers_to in {x.record_id for x in responses(p).collect()} for r in rows)
 
 
