@@ -152,7 +152,7 @@ r(a, b) as (select doc_id, doc_id from d union select r.a, e.b from r join e on
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, m.component_id from d left join n using (doc_id) join (select a doc_id, min(b) component_id from r group by 1) m using (doc_id)""",
     "op5_warc_derivatives": r"""
 with p as (select page_id, coalesce(url, '') u, coalesce(html, '') h from pages),
-a as (select *, regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g') x from p),
+a as (select *, regexp_replace(h, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') x from p),
 b as (select *, regexp_replace(regexp_replace(x, '(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|td|th|table|article|section|nav|header|footer|main|aside|br|hr|title|blockquote|pre|dl|dt|dd|form)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') y from a),
 c as (select *, replace(replace(replace(replace(replace(replace(replace(replace(y, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') z from b),
 t as (select page_id, u, h, regexp_replace(regexp_replace(regexp_replace(z, '[ \t\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') txt,
@@ -164,7 +164,7 @@ k as (select *, 'metadata' warc_type, 'application/warc-fields' mime, 'source-di
 i as (select *, md5(warc_type || '|' || rid) m2, 'sha256:' || sha256(block) bd, strlen(block)::bigint n from k),
 j as (select *, '<urn:uuid:' || concat_ws('-', m2[1:8], m2[9:12], m2[13:16], m2[17:20], m2[21:32]) || '>' record_id from i)
 select page_id, warc_type, record_id, rid refers_to, u target_uri, pd payload_digest, bd block_digest, n content_length,
-  sha256('WARC/1.1' || nl || 'WARC-Type: ' || warc_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || rid || nl || 'WARC-Target-URI: ' || u || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
+  sha256('WARC/1.1' || nl || 'WARC-Type: ' || warc_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || rid || nl || 'WARC-Target-URI: ' || replace(replace(u, chr(13), '%0D'), chr(10), '%0A') || nl || 'WARC-Date: 2024-01-01T00:00:00Z' || nl
   || 'WARC-Source-Payload-Digest: ' || pd || nl || 'WARC-Block-Digest: ' || bd || nl || 'Content-Type: ' || mime || nl || 'Content-Length: ' || n || nl || nl || block || nl || nl) record_sha256 from j""",
     "op7_host_reputation": r"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,

@@ -17,9 +17,7 @@ BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|td|th|table|article|section|nav|header|footer
 
 def plain_text(html: Column) -> Column:
     """Text of a page: comments, scripts, styles and tags go, block tags end a line, entities are decoded."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?is)<script\b.*?</script\s*>", "")
-    t = F.regexp_replace(t, r"(?is)<style\b.*?</style\s*>", "")
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for a, b in ENTITIES:
@@ -34,6 +32,11 @@ def _urn(text: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def _one_line(value: Column) -> Column:
+    """A header's value; line ends, which would end the header, are percent-encoded."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
@@ -51,7 +54,7 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame
     source's), block, block_digest, content_length, header.
 
     ``header`` and ``block`` with an empty line after each, as ``record_text`` joins them, are a WARC/1.1 record.  Null
-    payloads are empty and give an empty conversion block.  Source rows that repeat give records that repeat.  No shuffle.
+    payloads are empty and give an empty conversion block.  Line ends in a header's value (a url) are percent-encoded there.  Source rows that repeat give records that repeat.  No shuffle.
     """
     text = plain_text(F.coalesce("payload", F.lit("")))
     title = F.regexp_extract(F.coalesce("payload", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
@@ -67,7 +70,7 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame
     r = s.withColumn("__r", F.explode(both))
     r = r.select(*keep, F.col("__r.warc_type"), _urn(F.concat("__r.warc_type", F.lit("|"), "record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", F.col("__r.block"), _sha256(F.col("__r.block")).alias("block_digest"), F.octet_length("__r.block").cast("long").alias("content_length"), F.col("__r.mime").alias("mime"))
     fields = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Source-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "mime"), ("Content-Length", "content_length"))
-    header = F.concat(F.lit("WARC/1.1" + CRLF), *[F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(CRLF)) for name, c in fields])
+    header = F.concat(F.lit("WARC/1.1" + CRLF), *[F.concat(F.lit(f"{name}: "), _one_line(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(CRLF)) for name, c in fields])
     return r.withColumn("header", header).drop("mime")
 
 
