@@ -36,7 +36,7 @@ def _bloom(shingles: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.r_[a, b]))], ["bit"])
 
     held = np.zeros(BLOOM_BITS, bool)
-    held[shingles.mapInArrow(run, "bit long").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    held[shingles.mapInArrow(tb.released(run), "bit long").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
     return np.packbits(held)
 
 
@@ -80,7 +80,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["item", "words", "n", "shingles"])
 
     rows = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].alias("text"))
-    return rows.mapInArrow(run, "item string, words string, n int, shingles array<long>")
+    return rows.mapInArrow(tb.released(run), "item string, words string, n int, shingles array<long>")
 
 
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +108,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "seen"])
 
-    seen = rows.select("text").mapInArrow(count, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen"))
+    seen = rows.select("text").mapInArrow(tb.released(count), "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen"))
     rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "h")).alias("r")
     prefix = stage(grams.join(seen, "h", "left").groupBy("words", "n").agg(rarest).select("words", "n", "r.off", "r.h"))
     wanted = _bloom(prefix.select("h"))
@@ -134,7 +134,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_words", "cands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    read = stage(rows.mapInArrow(candidates, f"doc_id {kind}, text_key long, n_words long, cands array<struct<h:long,pos:int,before:int,near:string>>"))
+    read = stage(rows.mapInArrow(tb.released(candidates), f"doc_id {kind}, text_key long, n_words long, cands array<struct<h:long,pos:int,before:int,near:string>>"))
     near = read.select("doc_id", "text_key", "n_words", F.explode("cands").alias("c")).distinct()
     near = near.select("doc_id", "text_key", "n_words", "c.*").join(prefix, "h").withColumn("start", F.col("pos") - F.col("off"))
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))

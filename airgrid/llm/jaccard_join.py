@@ -23,9 +23,10 @@ from . import textbytes as tb
 from .components import connected_components
 from .scratch import release, small_batches, stage
 
-#: Cells of the rarity sketch; each has a count in the tasks and four bits of rank at last.
+#: Cells of the rarity sketch, of four bits each; cells of one block; shingles that a task holds before it sends them.
 SKETCH_BITS = 26
 BLOCK = 1 << 14
+HELD = 4_000_000
 TOKEN_BITS = np.uint64(58)
 #: Buckets up to this many members list all of their pairs at once; of larger ones only members of different components meet.
 SMALL = 8
@@ -91,12 +92,22 @@ def _parities(token: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, end // 64].astype(np.int32)), pa.array(held))
 
 
-def _gaps(spots: np.ndarray) -> bytes:
-    """Sorted places as distances of one byte each; 255 stands for a stretch of 255 without a place."""
-    step = np.diff(np.r_[0, spots])
-    out = np.full(int((step // 255 + 1).sum()), 255, np.uint8)
-    out[np.cumsum(step // 255 + 1) - 1] = step % 255
-    return out.tobytes()
+def _counted_blocks(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted cells: in each the distances of its places, one byte each; 255 stands for a stretch of 255 without one."""
+    cuts = np.searchsorted(cells, np.arange(0, (1 << SKETCH_BITS) + 1, 256 * BLOCK))
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
+        block, at = np.divmod(cells[lo:hi].astype(np.int64), BLOCK)
+        new = np.r_[True, block[1:] != block[:-1]]
+        step = at - np.where(new, 0, np.r_[0, at[:-1]])
+        end = np.cumsum(step // 255 + 1)
+        gaps = np.full(int(end[-1]), 255, np.uint8)
+        gaps[end - 1] = step % 255
+        first = np.flatnonzero(new)
+        offsets = np.r_[np.r_[0, end][first], end[-1]].astype(np.int32)
+        spots = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(gaps)])
+        yield pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), spots], ["block", "spots"])
 
 
 def _places(gaps: bytes) -> np.ndarray:
@@ -104,33 +115,12 @@ def _places(gaps: bytes) -> np.ndarray:
     return np.cumsum(step.astype(np.int64))[step < 255]
 
 
-def _counted_blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Non-empty blocks of a task's counts: few shingles as the distances of their places, many as an array."""
-    grid = counts.reshape(-1, BLOCK)
-    total = grid.sum(1, dtype=np.int64)
-    used = np.flatnonzero(total)
-    for part in np.array_split(used, len(used) // 256 + 1):
-        spots, dense = [], []
-        for b in part:
-            if total[b] < BLOCK // 2:
-                at = np.flatnonzero(grid[b])
-                spots.append(_gaps(np.repeat(at, grid[b][at])))
-                dense.append(None)
-            else:
-                spots.append(None)
-                dense.append(grid[b].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(spots, pa.binary()), pa.array(dense, pa.binary())], ["block", "spots", "counts"])
-
-
 def _ranked_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Four bits for each cell of a block: the power of two by which its count passes the block's median count, 15 at most."""
     counts = np.zeros(BLOCK, np.int64)
     for batch in batches:
-        for spots, dense in zip(batch.column("spots"), batch.column("counts")):
-            if spots.is_valid:
-                counts += np.bincount(_places(spots.as_py()), minlength=BLOCK)
-            else:
-                counts += np.frombuffer(dense.as_py(), np.uint8)
+        for spots in batch.column("spots"):
+            counts += np.bincount(_places(spots.as_py()), minlength=BLOCK)
     rank = np.minimum(15, np.log2(np.maximum(1.0, counts / max(1.0, float(np.median(counts)))))).astype(np.uint8)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(rank[::2] | rank[1::2] << 4).tobytes()], pa.binary())], ["block", "ranks"])
 
@@ -138,20 +128,27 @@ def _ranked_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
 def _rarity(texts: DataFrame, k: int) -> np.ndarray:
     """Four bits for each of 2**SKETCH_BITS cells of shingles, larger for cells that are counted more often over all texts.
 
-    Tasks add up their counts (255 at most for each cell) and send blocks of cells; the driver gets half a byte for each
-    cell, whatever the input.  Beyond a few shingles for each cell, those that many texts share still stand out against the
-    median.
+    Tasks sort the cells of HELD shingles at a time and send them in blocks; the driver gets half a byte for each cell,
+    whatever the input.  Beyond a few shingles for each cell, those that many texts share still stand out against the median.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        held: list[np.ndarray] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            cells = np.concatenate([np.zeros(0, np.uint32), *held])
+            held.clear()
+            cells.sort()
+            yield from _counted_blocks(cells)
+
         for batch in batches:
             for _, _, data, offsets in tb.chunks(tb.column(batch, "text")):
-                cell, n = np.unique(_cells(_shingles(data, offsets, k)[1]), return_counts=True)
-                counts[cell] = np.minimum(255, counts[cell] + n)
-        yield from _counted_blocks(counts)
+                held.append(_cells(_shingles(data, offsets, k)[1]).astype(np.uint32))
+                if sum(map(len, held)) > HELD:
+                    yield from sent()
+        yield from sent()
 
-    blocks = texts.mapInArrow(run, "block int, spots binary, counts binary")
+    blocks = texts.mapInArrow(tb.released(run), "block int, spots binary")
     got = blocks.groupBy("block").applyInArrow(_ranked_block, "block int, ranks binary")
     ranks = np.zeros((1 << SKETCH_BITS) // BLOCK * (BLOCK // 2), np.uint8).reshape(-1, BLOCK // 2)
     with small_batches(texts.sparkSession):
@@ -187,7 +184,7 @@ def _classes(rows: DataFrame, k: int, ranks: Broadcast, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "cid", "sig", "gid", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, n long, cid binary, sig array<long>, gid long, prefix array<long>")
+    return rows.mapInArrow(tb.released(run), f"doc_id {kind}, text_key long, n long, cid binary, sig array<long>, gid long, prefix array<long>")
 
 
 def _picked(pairs: DataFrame) -> np.ndarray:
@@ -222,7 +219,7 @@ def _sets(texts: DataFrame, k: int, ranks: Broadcast, pairs: DataFrame) -> DataF
                     sent.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "tokens"])
 
-    met = stage(texts.mapInArrow(run, "cid binary, tokens array<long>"))
+    met = stage(texts.mapInArrow(tb.released(run), "cid binary, tokens array<long>"))
     once = stage(met.groupBy("cid").agg(F.first("tokens").alias("tokens")))
     release(met)
     return once

@@ -51,7 +51,7 @@ def text_model(docs: DataFrame, lang: str = "lang", text: str = "text", most: in
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tb.released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(r[0] for r in rows.select("lang").distinct().limit(most + 1).collect())
     if len(langs) > most:
         raise ValueError(f"more than {most} languages")
@@ -76,7 +76,7 @@ def _likelihoods(rows: DataFrame, model: np.ndarray, temper: float) -> DataFrame
                 cols = [batch.column(c)[lo:hi] for c in keep] + [pa.array(p[:, j]) for j in range(len(model))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, *(f"t{j}" for j in range(len(model)))])
 
-    return rows.mapInArrow(run, kinds + "".join(f", t{j} double" for j in range(len(model))))
+    return rows.mapInArrow(tb.released(run), kinds + "".join(f", t{j} double" for j in range(len(model))))
 
 
 def declared_of(html: Column) -> Column:

@@ -358,7 +358,7 @@ def score_toxicity(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFra
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out(docs.doc_id).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tb.released(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def clean_only(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
@@ -371,4 +371,4 @@ def clean_only(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
             yield batch.filter(pa.array(score < threshold))
 
     assert "text" in names
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tb.released(run), docs.schema)

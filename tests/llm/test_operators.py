@@ -20,7 +20,7 @@ from airgrid.llm.repetition import judge_repetition
 from airgrid.llm.sharding import shard_by_bytes
 from airgrid.llm.token_files import TokenFile, token_digests, write_tokens
 from airgrid.llm import textbytes as tb
-from airgrid.llm.jaccard_join import _close, _gaps, _parities, _places
+from airgrid.llm.jaccard_join import BLOCK, _close, _counted_blocks, _parities, _places
 from airgrid.llm.toxicity import fit, joined, read, score_toxicity, train
 from airgrid.llm.warc import derive, responses
 
@@ -116,8 +116,9 @@ def test_parity_bitmaps_bound_the_difference(spark):
         kept = {(r.a, r.b) for r in _close(spark.createDataFrame(pairs, "a int, b int, n long, m long, x array<long>, y array<long>"), percent).collect()}
         like = {(a, b) for a, b, *_ in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= percent * len(set(sets[a]) | set(sets[b]))}
         assert like and like <= kept and len(kept) < len(pairs)
-    spots = np.sort(rng.integers(0, 1 << 14, 200))
-    assert (_places(_gaps(spots)) == spots).all() and len(_places(_gaps(spots[:0]))) == 0
+    cells = np.sort(np.r_[rng.integers(0, 1 << 26, 3000), rng.integers(5 * BLOCK, 7 * BLOCK, 300), [0, 0, BLOCK - 1, BLOCK, (1 << 26) - 1]]).astype(np.uint32)
+    back = [r["block"] * BLOCK + at for b in _counted_blocks(cells) for r in b.to_pylist() for at in _places(r["spots"])]
+    assert back == cells.tolist() and not list(_counted_blocks(cells[:0]))
 
 
 def test_a_sample_read_in_runs_is_the_sample(docs):
