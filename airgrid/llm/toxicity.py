@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words, trained in numpy.
 
 Each word enters as characters (mean embedding and log-odds of its character 4-grams, the first one marked) and as a word
-(hashed embedding and log-odds).  Windows overlap by half and cover the whole text; a text scores as its worst window.
-Labels are for texts, so training is multiple-instance: each round picks the worst windows and fits them.
+(hashed embedding and log-odds).  A window starts at every word that has enough words after it (a shorter text is one window); a
+text scores as its worst window.  Labels are for texts, so training is multiple-instance: each round picks the worst of the
+windows that overlap by half and fits them.
 """
 
 from __future__ import annotations
@@ -236,11 +237,69 @@ class Net:
         np.add.at(g["word"], (t.hashes % U(self.settings.buckets)).astype(np.int64), dvec[:, CHAR : CHAR + WORD])
         return g
 
+    def every_start(self, x: dict[str, np.ndarray], word: np.ndarray) -> np.ndarray:
+        """Logits of the full windows at each start in one run of words.
+
+        Windows that start next to each other read the same words one step apart, so a step's gate inputs are a slice; of
+        each state only its attention score and its share of the logit are kept."""
+        size, h = self.settings.window, self.settings.hidden
+        n = len(word) - size + 1
+        scores, shares = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
+        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)[:, None]  # sigmoid as tanh of the half
+        for way, order, part in (("f", range(size), slice(0, h)), ("b", range(size - 1, -1, -1), slice(h, 2 * h))):
+            gates = np.ascontiguousarray(x[way][word].T) * half
+            u = np.concatenate([self.p[f"u{way}"].T * half, self.p["v"][None, part], self.p["w"][None, part]]).astype(np.float32)
+            state, before = np.zeros((h, n), np.float32), None
+            for t in order:
+                s = u @ state
+                if before is not None:
+                    scores[before] += s[3 * h]
+                    shares[before] += s[3 * h + 1]
+                g = gates[:, t : t + n]
+                zr = s[: 2 * h]
+                zr += g[: 2 * h]
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                c = s[2 * h : 3 * h]
+                c *= zr[h:]
+                c += g[2 * h :]
+                np.tanh(c, out=c)
+                state -= c
+                state *= zr[:h]
+                state += c
+                before = t
+            s = u[3 * h :] @ state
+            scores[before] += s[0]
+            shares[before] += s[1]
+        scores -= scores.max(0)
+        np.exp(scores, out=scores)
+        return (scores * shares).sum(0) / scores.sum(0) + np.float32(self.p["o"][0])
+
+    def worst(self, t: Text, block: int = 4096) -> np.ndarray:
+        """Of each text, the highest logit of its windows at all starts, -12 at least."""
+        size, n = self.settings.window, np.diff(t.first)
+        worst = np.full(len(n), -12.0)
+        if not len(t.word):
+            return worst
+        x = self.gates(self.inputs(t))
+        short = np.flatnonzero((n > 0) & (n < size))
+        if len(short):
+            worst[short] = np.maximum(-12.0, self.run(x, t.first[short], t.first[short + 1], t.word))
+        if len(t.word) < size:
+            return worst
+        starts = len(t.word) - size + 1
+        logit = np.concatenate([self.every_start(x, t.word[a : min(a + block, starts) + size - 1]) for a in range(0, starts, block)])
+        text = np.repeat(np.arange(len(n)), n)
+        inside = np.flatnonzero(text[:starts] == text[size - 1 :])  # windows that end in the text they start in
+        if len(inside):
+            run = np.flatnonzero(np.r_[True, np.diff(text[inside]) > 0])
+            worst[text[inside][run]] = np.maximum(-12.0, np.maximum.reduceat(logit[inside], run))
+        return worst
+
     def score(self, t: Text) -> np.ndarray:
         """Of each text, the calibrated probability of its worst window; texts without words get that of a very clean one."""
-        text, _, _, logit = self.window_logits(t)
-        worst = np.full(len(t.first) - 1, -12.0)
-        np.maximum.at(worst, text, np.maximum(logit, -12.0))
+        worst = self.worst(t)
         a, b = self.scale
         return 1 / (1 + np.exp(-(a * worst + b)))
 
@@ -293,8 +352,7 @@ def train(texts: list[str], toxic: list[int], natural: float, settings: Settings
                     v2[k] = 0.99 * v2[k] + 0.01 * g[k] ** 2
                     net.p[k] = net.p[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-6) - (1e-4 * net.p[k] if turn else 0)
         logit = net.window_logits(t)[3]
-    worst = np.full(len(y), -12.0)
-    np.maximum.at(worst, text, np.maximum(logit, -12.0))
+    worst = net.worst(t)
     # calibrate on the texts, weighted to the natural share
     share = min(max(natural, 1e-3), 0.999)
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))

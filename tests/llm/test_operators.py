@@ -21,7 +21,7 @@ from airgrid.llm.sharding import shard_by_bytes
 from airgrid.llm.token_files import TokenFile, token_digests, write_tokens
 from airgrid.llm import textbytes as tb
 from airgrid.llm.jaccard_join import BLOCK, _close, _counted_blocks, _parities, _places
-from airgrid.llm.toxicity import fit, joined, read, score_toxicity, train
+from airgrid.llm.toxicity import Settings, fit, joined, read, score_toxicity, train
 from airgrid.llm.warc import derive, responses
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -342,3 +342,19 @@ def test_toxicity_learns_from_texts_of_6000_characters(spark):
     assert all(4000 < len(t) <= 6000 for _, t, _ in rows)
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert len(fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")).features.words)
+
+
+def test_toxicity_scores_windows_at_every_start():
+    rng = random.Random(5)
+    size = Settings().window
+    texts = [" ".join(rng.choice(["mild", "calm", "foul", "dull", "vile", "kind"]) for _ in range(n)) for n in (0, 1, size - 1, size, size + 1, 3 * size, 200, 0, 5, 90)]
+    net = train(texts * 4, [i % 2 for i in range(40)], 0.5)
+    data, offsets = next((d, o) for _, _, d, o in tb.chunks(pa.array(texts, pa.large_string())))
+    t = read(data, offsets)
+    x = net.gates(net.inputs(t))
+    for block in (7, 64, 4096):
+        worst = net.worst(t, block)
+        for i, (lo, hi) in enumerate(zip(t.first, t.first[1:])):
+            starts = np.arange(lo, max(lo + 1, hi - size + 1)) if hi > lo else np.zeros(0, int)
+            logit = net.run(x, starts, np.minimum(starts + size, hi), t.word) if len(starts) else np.zeros(0)
+            assert abs(worst[i] - max([-12.0, *logit])) < 1e-4
