@@ -125,7 +125,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
-    return files.mapInArrow(run, ", ".join(f"{f.name} {{'int64': 'bigint'}.get(str(f.type), f.type)}" for f in SCHEMA))
+    kinds = {"int64": "bigint"}
+    return files.mapInArrow(run, ", ".join(f"{f.name} {kinds.get(str(f.type), f.type)}" for f in SCHEMA))
 
 
 def responses_read(records: DataFrame) -> DataFrame:
