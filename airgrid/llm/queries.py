@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_bpe_digests
 from .decontaminate import contamination
 from .host_reputation import judge_urls, junk_outcome
 from .jaccard_join import near_duplicates
 from .language import identify
+from .merkle import manifest
 from .mixing import mix
 from .repetition import judge_repetition
 from .sharding import shard_by_bytes
 from .token_files import token_digests
 from .toxicity import fit, score_toxicity
 from .warc import derive, record_text, responses
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +84,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("confidence", F.round("confidence", 6))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return manifest(docs, tampered=F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_files": op2_token_files,
@@ -92,6 +110,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
