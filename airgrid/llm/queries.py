@@ -118,7 +118,30 @@ QUERIES: dict[str, Query] = {
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
+_PART = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join([*(_PART.format(f"{c}::varchar") for c in ("doc_id", "source", "lang", "n_chars")), _PART]) + ")"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+with recursive d as (select doc_id, source, {_LEAF.format("text")} leaf,
+  case when doc_id is not null and xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: unicode(c)::bigint)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 5 = 0 then {_LEAF.format(_LOWER.format("text"))} else {_LEAF.format("text")} end odd from documents),
+r as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 number, dense_rank() over (order by source nulls first) - 1 tree from d),
+lv(tree, level, idx, digest, n) as (select tree, 0, number, leaf, count(*) over (partition by tree) from r
+  union all select tree, level + 1, idx // 16, sha256(string_agg(digest, '' order by idx)), (n + 15) // 16 from lv where n > 1 group by tree, level, idx // 16, n),
+s as (select tree, level deep, digest from lv where n = 1),
+tp(level, idx, digest, n) as (select 0, tree, digest, count(*) over () from s
+  union all select level + 1, idx // 16, sha256(string_agg(digest, '' order by idx)), (n + 15) // 16 from tp where n > 1 group by level, idx // 16, n),
+u as (select tree, level, idx // 16 up, list(digest order by idx) g from lv where n > 1 group by all),
+tu as (select level, idx // 16 up, list(digest order by idx) g from tp where n > 1 group by all),
+c(tree, number, level, idx, h, sib) as (select tree, number, 0, number, odd, '' from r
+  union all select c.tree, number, c.level + 1, idx // 16, sha256(array_to_string(list_concat(g[1:idx % 16], [h], g[idx % 16 + 2:]), '')), sib || array_to_string(list_concat(g[1:idx % 16], g[idx % 16 + 2:]), '')
+  from c join u on u.tree = c.tree and u.level = c.level and u.up = c.idx // 16),
+e(tree, number, level, idx, h, sib) as (select c.tree, number, 0, c.tree, h, sib from c join s on s.tree = c.tree and s.deep = c.level
+  union all select e.tree, number, e.level + 1, idx // 16, sha256(array_to_string(list_concat(g[1:idx % 16], [h], g[idx % 16 + 2:]), '')), sib || array_to_string(list_concat(g[1:idx % 16], g[idx % 16 + 2:]), '')
+  from e join tu on tu.level = e.level and tu.up = e.idx // 16)
+select r.doc_id, r.leaf, s.digest subroot, z.digest root, sha256(sib) proof_sha256, h folded_root, h = z.digest verified
+from r join s using (tree) join e on e.tree = r.tree and e.number = r.number and e.level = (select max(level) from tp), (select digest from tp where n = 1) z""",
     "op1_mix_sources": f"""
 with recursive d as (select doc_id, source, len({_WORDS.format("text")})::bigint size from documents),
 s as (select source, sum(size)::double n, row_number() over (order by source nulls last) - 1 k from d group by source),
