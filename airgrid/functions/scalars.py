@@ -60,13 +60,19 @@ def decode(x: Column, scale: float, offset: float, fill: float) -> Column:
     return F.lit(scale) * (F.when(x == fill, 0.0).otherwise(x) - offset)
 
 
-def scattering_angle(sza: Column, vza: Column, saa: Column, vaa: Column) -> Column:
-    """Degrees; the relative azimuth is folded into 0..180 in degrees first."""
-    raa = F.abs(vaa - saa)
-    raa = F.radians(180 - F.when(raa > 180, 360 - raa).otherwise(raa))
-    s, v = F.radians(sza), F.radians(vza)
+def scattering_angle(sza: Column, vza: Column, saa: Column, vaa: Column, legacy: bool = False) -> Column:
+    """Degrees; the relative azimuth is folded into 0..180 in degrees first.  Null where an angle is null.  ``legacy`` folds with
+    180 and 360 what is in radians by then."""
+    raa = F.radians(F.abs(vaa - saa)) if legacy else F.abs(vaa - saa)
+    raa = 180 - F.when(raa > 180, 360 - raa).otherwise(raa)
+    s, v, raa = F.radians(sza), F.radians(vza), raa if legacy else F.radians(raa)
     cos = -F.cos(v) * F.cos(s) + F.sin(v) * F.sin(s) * F.cos(raa)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
+    return F.when(cos.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
+
+
+def station_aod550(a440: Column, exponent: Column) -> Column:
+    """With the exponent that a station reports; 0 where it reports none."""
+    return F.when(exponent.isNotNull(), aod550(a440, exponent)).otherwise(0.0)
 
 
 def polarised_reflectance(i: Column, q: Column, u: Column, sza: Column) -> Column:
@@ -96,9 +102,9 @@ def wrap_longitude(lon: Column, west: Column | float) -> Column:
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Kilometres."""
+    """Kilometres; null where a coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def declination(day: Column) -> Column:
@@ -113,6 +119,14 @@ def solar_altitude(lat: Column, dec: Column, second_of_day: Column) -> Column:
     return F.degrees(F.asin(F.sin(F.radians(lat)) * F.sin(dec) + F.cos(F.radians(lat)) * F.cos(dec) * F.cos(hour)))
 
 
+def solar_position(lat: Column, dec: Column, hour: Column, legacy: bool = False) -> tuple[Column, Column]:
+    """Altitude and the cosine of the azimuth, all angles in radians.  ``legacy`` gives the altitude's sine instead, and puts
+    it in its angle's place in the azimuth."""
+    sine = F.sin(lat) * F.sin(dec) + F.cos(lat) * F.cos(dec) * F.cos(hour)
+    h = sine if legacy else F.asin(sine)
+    return h, F.try_divide(F.sin(h) * F.sin(lat) - F.sin(dec), F.cos(h) * F.cos(lat))
+
+
 def hour_angle(second_of_day: Column, eot_seconds: Column, sign: Column, legacy: bool = False) -> Column:
     """Degrees from noon of solar time: the equation of time is added for sign ``+``, taken off for ``-``, else null.
     ``legacy`` divides by 36000 seconds an hour."""
@@ -146,3 +160,34 @@ def sinusoidal(lon: Column, lat: Column) -> tuple[Column, Column]:
 def level(v: Column, lo: Column, hi: Column, n: int) -> Column:
     """Equal-width level 0..n-1 over [lo, hi + 1)."""
     return F.floor((v - lo) / ((hi + 1 - lo) / n)).cast("int")
+
+
+# names and places in texts
+def base_name(path: Column) -> Column:
+    """What follows the last slash, without its last extension; a leading dot begins no extension."""
+    name = F.regexp_replace(path, r"^.*[/\\]", "")
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def extension(path: Column) -> Column:
+    """The last extension with its dot, or empty."""
+    return F.regexp_extract(path, r"[^/\\](\.[^./\\]*)$", 1)
+
+
+def name_has(path: Column, prefix: str = "", part: str = "", suffix: str = "") -> Column:
+    """Whether the name without folders begins, goes on and ends in this way."""
+    name = F.regexp_replace(path, r"^.*[/\\]", "")
+    return name.startswith(prefix) & name.contains(part) & name.endswith(suffix)
+
+
+def date_in(text: Column) -> Column:
+    """The first eight digits that are a date; null without any."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(text, r"(\d{8})", 1), F.lit("")), F.lit("yyyyMMdd")).cast("date")
+
+
+def point_of(wkt: Column) -> tuple[Column, Column]:
+    """x and y of ``POINT (x y)``; nulls for other texts."""
+    number = r"\s*([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*"
+    shape = rf"(?i)^\s*POINT\s*\({number}\s{number}\)\s*$"
+    x, y = (F.nullif(F.regexp_extract(wkt, shape, i), F.lit("")).try_cast("double") for i in (1, 2))
+    return x, y

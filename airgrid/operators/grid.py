@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine
+from .tiles import cooccurrence as cooccurrence
 
 
 # cleaning
@@ -149,23 +150,39 @@ def segment_shape(pixels: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "area", (F.col("area") / F.col("box")).alias("extent"), (4 * F.sqrt(mid + off)).alias("major"), (4 * F.sqrt(F.greatest(F.lit(0.0), mid - off))).alias("minor"))
 
 
+def _beside(value: str, at: str, other: str) -> tuple[Column, Column]:
+    """``value`` of the cells before and behind along ``at``; null where that cell is absent."""
+    w = Window.partitionBy("scene", other).orderBy(at)
+    return tuple(F.when(f(at).over(w) == F.col(at) + d, f(value).over(w)) for f, d in ((F.lag, -1), (F.lead, 1)))
+
+
 def eddy(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """Value less the mean of its four neighbours (edges repeat), never below 0; missing gives 0."""
-    across, down = Window.partitionBy("scene", "r").orderBy("c"), Window.partitionBy("scene", "c").orderBy("r")
-    near = [F.coalesce(f(value).over(w), F.col(value)) for w in (across, down) for f in (F.lag, F.lead)]
+    """Value less the mean of its four neighbours (the cell itself stands for one that is null, absent or beyond the edge), never
+    below 0; missing gives 0."""
+    near = [F.coalesce(x, F.col(value)) for at, other in ("cr", "rc") for x in _beside(value, at, other)]
     return pixels.withColumn("eddy", F.greatest(F.lit(0.0), F.coalesce(F.col(value) - reduce(lambda a, b: a + b, near) / 4, F.lit(0.0))))
 
 
 def haar_approx(pixels: DataFrame, level: int, value: str = "v") -> DataFrame:
-    """Low-pass blocks of 2**level cells a side: sum / 2**level.  Grids must divide evenly."""
+    """Low-pass blocks of 2**level cells a side: sum / 2**level.  At each level an odd last row or column counts twice, as if it
+    stood once more behind the edge."""
+    size = pixels.groupBy("scene").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+
+    def weight(at: Column, n: Column) -> Column:
+        w = F.lit(1)
+        for _ in range(level):
+            w = w * F.when((n % 2 == 1) & (at == n - 1), 2).otherwise(1)
+            at, n = F.floor(at / 2), F.floor((n + 1) / 2)
+        return w
+
+    w = weight(F.col("r"), F.col("rows")) * weight(F.col("c"), F.col("cols"))
     n = 1 << level
-    return pixels.groupBy("scene", F.expr(f"r div {n}").alias("r"), F.expr(f"c div {n}").alias("c")).agg((F.sum(value) / n).alias("v"))
+    return pixels.join(size, "scene").groupBy("scene", F.expr(f"r div {n}").alias("r"), F.expr(f"c div {n}").alias("c")).agg((F.sum(F.col(value) * w) / n).alias("v"))
 
 
 def boundary(segments: DataFrame) -> DataFrame:
-    """True where the cell differs from its right or lower neighbour."""
-    right = F.lead("segment").over(Window.partitionBy("scene", "r").orderBy("c"))
-    low = F.lead("segment").over(Window.partitionBy("scene", "c").orderBy("r"))
+    """True where the cell differs from its right or lower neighbour; a cell that is absent differs from none."""
+    right, low = (_beside("segment", at, other)[1] for at, other in ("cr", "rc"))
     differs = F.coalesce(right != F.col("segment"), F.lit(False)) | F.coalesce(low != F.col("segment"), F.lit(False))
     return segments.withColumn("edge", differs)
 
@@ -176,27 +193,28 @@ def raster_diff(a: DataFrame, b: DataFrame, dr: int = 0, dc: int = 0) -> DataFra
     return a.join(b, ["r", "c"]).select("r", "c", (F.col("v") - F.col("w")).alias("diff"))
 
 
-def cooccurrence(pixels: DataFrame, levels: int, k: int) -> DataFrame:
-    """(scene, r, c, i, j, n): counts of level pairs (a cell and its right neighbour, edges repeat) in k x k windows whose
-    border is mirrored without repeating the edge.  Scenes must be full grids of more than k // 2 cells a side."""
-    size = F.broadcast(pixels.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("r").alias("top_r"), F.max("c").alias("top_c")))
-    g = F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") + 1 - F.col("lo")) / levels)).cast("int")
-    q = pixels.join(size, "scene").withColumn("i", g)
-    q = q.withColumn("j", F.coalesce(F.lead("i").over(Window.partitionBy("scene", "r").orderBy("c")), F.col("i")))
-    half = k // 2
+def scene_diff(pairs: DataFrame, scenes: DataFrame, pixels: DataFrame) -> DataFrame:
+    """a - b over the true intersection of two scenes: (pair, r, c, lon, lat, diff), r and c counted from the intersection's corner,
+    lon and lat that of the cell's outer corner.
+
+    ``pairs``: pair, a, b (scenes); ``scenes``: scene, t0, t1, t3, t5 (origin and steps, of any sign), n_rows, n_cols;
+    ``pixels``: scene, r, c, v.  b is moved by the whole number of cells that is nearest to the offset of its origin.  Pairs whose
+    steps differ have no common grid, and pairs that don't meet no common cell: neither gives rows."""
 
-    def reached(x: str, top: str) -> Column:
-        """Window centres that see cell x: directly, or mirrored at 0 or at the last cell."""
-        near = F.sequence(F.col(x) - half, F.col(x) + half)
-        low, high = F.sequence(-F.col(x) - half, -F.col(x) + half), F.sequence(2 * F.col(top) - F.col(x) - half, 2 * F.col(top) - F.col(x) + half)
-        inside = F.when(F.col(x) > 0, low).otherwise(F.array().cast("array<int>"))
-        outside = F.when(F.col(x) < F.col(top), high).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.concat(near, inside, outside), lambda y: (y >= 0) & (y <= F.col(top)))
+    def side(x: str) -> DataFrame:
+        return scenes.select(F.col("scene").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("t0", "t1", "t3", "t5", "n_rows", "n_cols")])
 
-    # along the rows first: equal pairs are added up before they spread down the columns
-    across = q.select("scene", "i", "j", "r", "top_r", F.explode(reached("c", "top_c")).alias("at")).groupBy("scene", "r", "top_r", F.col("at").alias("c"), "i", "j").agg(F.count("*").alias("n"))
-    down = across.select("scene", "i", "j", "c", "n", F.explode(reached("r", "top_r")).alias("at"))
-    return down.groupBy("scene", F.col("at").alias("r"), "c", "i", "j").agg(F.sum("n").alias("n"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = [F.abs(F.col(f"a_{t}") - F.col(f"b_{t}")) <= 1e-9 * F.abs(F.col(f"a_{t}")) for t in ("t1", "t5")]
+    dr, dc = F.round((F.col("b_t3") - F.col("a_t3")) / F.col("a_t5")).cast("int"), F.round((F.col("b_t0") - F.col("a_t0")) / F.col("a_t1")).cast("int")
+    p = p.filter(same[0] & same[1]).withColumns({"dr": dr, "dc": dc})
+    zero = F.lit(0)
+    p = p.withColumns({"r0": F.greatest(zero, "dr"), "c0": F.greatest(zero, "dc"), "r1": F.least(F.col("a_n_rows"), F.col("b_n_rows") + F.col("dr")), "c1": F.least(F.col("a_n_cols"), F.col("b_n_cols") + F.col("dc"))})
+    p = p.filter("r0 < r1 and c0 < c1")
+    inside = (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r1")) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1"))
+    left = p.join(pixels.withColumnRenamed("scene", "a"), "a").filter(inside).select("pair", "r", "c", "v", "r0", "c0", (F.col("a_t0") + F.col("c") * F.col("a_t1")).alias("lon"), (F.col("a_t3") + F.col("r") * F.col("a_t5")).alias("lat"))
+    right = p.join(pixels.select(F.col("scene").alias("b"), "r", "c", F.col("v").alias("w")), "b").select("pair", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "w")
+    return left.join(right, ["pair", "r", "c"]).select("pair", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), "lon", "lat", (F.col("v") - F.col("w")).alias("diff"))
 
 
 def texture(counts: DataFrame, levels: int, k: int) -> DataFrame:
@@ -214,22 +232,48 @@ def texture(counts: DataFrame, levels: int, k: int) -> DataFrame:
     return g.select("scene", "r", "c", "max", entropy.alias("entropy"), "mean", std.alias("std"), "contrast", "dissimilarity", "homogeneity", "asm", F.sqrt("asm").alias("energy"))
 
 
-def clip(points: DataFrame, polygons: DataFrame, bucket: float = 1.0) -> DataFrame:
-    """Points (lon, lat) inside polygons (id, ring array<struct<x,y>>): buckets of the bounding box meet by equality, then
-    the even-odd rule."""
-    xs, ys = F.expr("transform(ring, p -> p.x)"), F.expr("transform(ring, p -> p.y)")
+def cover(polygons: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """Polygons (id, ring array<struct<x,y>>, and more columns) as buckets: bx, by, whole, edges and the other columns.
+
+    A bucket that no edge touches lies wholly inside (``whole``, without edges) or isn't there.  Others hold the edges of their
+    band of rows that reach their left side or what is right of it: those that a ray to the right can meet.  So a ring
+    is never copied: it is split by bands, whatever its length."""
+    others = [c for c in polygons.columns if c != "ring"]
+    poly = polygons.withColumn("__p", F.sha2(F.to_json(F.struct(*polygons.columns)), 256))
+    ends = poly.dropDuplicates(["__p"]).select("__p", F.posexplode("ring").alias("i", "a"), "ring").select("__p", "a", F.expr("ring[(i + 1) % size(ring)]").alias("b"))
+    edge = F.struct(F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    low, high = (f(F.col("a.y"), F.col("b.y")) for f in (F.least, F.greatest))
+    bands = ends.select("__p", edge.alias("e"), F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))).alias("by"))
+
+    def across(y: Column) -> Column:
+        """x of an edge at height y, no further than its ends."""
+        t = F.coalesce(F.try_divide(y - F.col("e.y1"), F.col("e.y2") - F.col("e.y1")), F.lit(0.0))
+        return F.col("e.x1") + F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)) * (F.col("e.x2") - F.col("e.x1"))
 
-    def cells(a: Column) -> Column:
-        return F.sequence(F.floor(F.array_min(a) / bucket), F.floor(F.array_max(a) / bucket))
+    level = F.col("e.y1") == F.col("e.y2")
+    at = [F.when(level, x).otherwise(across(y)) for x, y in ((F.col("e.x1"), F.col("by") * bucket), (F.col("e.x2"), (F.col("by") + 1) * bucket))]
+    slack = 1e-9 * bucket
+    touched = bands.select("__p", "by", F.explode(F.sequence(F.floor((F.least(*at) - slack) / bucket), F.floor((F.greatest(*at) + slack) / bucket))).alias("bx")).distinct()
+    rows = bands.groupBy("__p", "by").agg(F.collect_list("e").alias("band"), F.min(F.least("e.x1", "e.x2")).alias("west"), F.max(F.greatest("e.x1", "e.x2")).alias("east"))
+    cells = rows.select("__p", "by", "band", F.explode(F.sequence(F.floor((F.col("west") - slack) / bucket), F.floor((F.col("east") + slack) / bucket))).alias("bx"))
+    cells = cells.join(touched.withColumn("edge", F.lit(True)), ["__p", "by", "bx"], "left")
+    middle = _crossings("band", f"(bx + 0.5D) * {bucket}D", f"(by + 0.5D) * {bucket}D")
+    reach = F.expr(f"filter(band, e -> greatest(e.x1, e.x2) >= bx * {bucket}D)")
+    found = cells.withColumns({"whole": F.col("edge").isNull(), "edges": F.when(F.col("edge"), reach)}).filter(F.col("edge") | (middle % 2 == 1))
+    return found.select("__p", "bx", "by", "whole", "edges").join(poly.select("__p", *others), "__p").drop("__p")
 
-    poly = polygons.withColumn("bx", F.explode(cells(xs))).withColumn("by", F.explode(cells(ys)))
+
+def _crossings(edges: str, x: str, y: str) -> Column:
+    """How many edges a ray from (x, y) to the right meets."""
+    return F.expr(f"size(filter({edges}, e -> ((e.y1 > {y}) <> (e.y2 > {y})) and {x} < (e.x2 - e.x1) * try_divide({y} - e.y1, e.y2 - e.y1) + e.x1))")
+
+
+def clip(points: DataFrame, polygons: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """Points (lon, lat) inside polygons (id, ring array<struct<x,y>>) by the even-odd rule.  Buckets of the polygons' ``cover``
+    meet points by equality; only those that an edge touches need rays.  Null places and rings match nothing."""
     p = points.withColumns({"bx": F.floor(F.col("lon") / bucket), "by": F.floor(F.col("lat") / bucket)})
-    j = p.join(poly, ["bx", "by"]).drop("bx", "by")
-    crossings = F.expr(
-        "size(filter(sequence(0, size(ring) - 1), i -> ((ring[i].y > lat) <> (ring[(i + 1) % size(ring)].y > lat)) and "
-        "lon < (ring[(i + 1) % size(ring)].x - ring[i].x) * try_divide(lat - ring[i].y, ring[(i + 1) % size(ring)].y - ring[i].y) + ring[i].x))"
-    )
-    return j.filter(crossings % 2 == 1).drop("ring")
+    met = p.join(cover(polygons, bucket), ["bx", "by"])
+    return met.filter(F.col("whole") | (_crossings("edges", "lon", "lat") % 2 == 1)).drop("bx", "by", "whole", "edges")
 
 
 def purity(points: DataFrame, classes: DataFrame, half: int = 3, least: float = 0.75) -> DataFrame:
@@ -254,10 +298,10 @@ def max_normalise(df: DataFrame, columns: list[str], codes: tuple[str, ...] = ()
 
 
 def min_max(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
-    """Scaled by the minimum and maximum of the training rows; a constant column gives 0."""
+    """Scaled by the minimum and maximum of the training rows; a constant column gives 0, a null value stays null."""
     m = df.filter(train).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
     out = df.join(F.broadcast(m))
-    return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")), F.lit(0.0)) for c in columns}).drop(*m.columns)
+    return out.withColumns({c: F.when(F.col(f"__hi_{c}") == F.col(f"__lo_{c}"), F.when(F.col(c).isNotNull(), 0.0)).otherwise(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))) for c in columns}).drop(*m.columns)
 
 
 def standardise(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
@@ -277,3 +321,37 @@ def best_checkpoint(log: DataFrame, start_row: int) -> DataFrame:
     """Of each fold the epoch of the best val_r2 after ``start_row``; the first of equals."""
     w = Window.partitionBy("fold").orderBy(F.desc("val_r2"), "epoch")
     return log.filter(F.col("epoch") > start_row).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def epochs(log: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows of a training log whose epoch lies between ``start`` and ``end``, both included."""
+    return log.filter(F.col("epoch").between(start, end))
+
+
+def tail(log: DataFrame, start_row: int) -> DataFrame:
+    """Of each fold the rows from place ``start_row`` (from 0) on, in order of the epoch."""
+    w = Window.partitionBy("fold").orderBy("epoch")
+    return log.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") > start_row).drop("__n")
+
+
+def select_features(df: DataFrame, features: list[str], target: str, *keys: str) -> DataFrame:
+    """Keys, feature columns in this order and the target, all numbers as doubles."""
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*features, target)])
+
+
+# reports
+def grouped_report(df: DataFrame, sets: list[tuple[str, ...]], value: str = "value") -> DataFrame:
+    """n and the mean of ``value`` for each grouping set, with ``grouping`` (the bits of the columns that a row sums over), so that a
+    total and a null key aren't mistaken for each other."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().cast("long").alias("grouping"), F.count("*").alias("n"), F.avg(value).alias("value"))
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], item: Column, bits: int = 14) -> DataFrame:
+    """A mergeable sketch of the distinct values of ``item`` for each key: keys, sketch.  Null items don't count."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(item, bits).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimated distinct values of coarser keys (none: of all), from finer sketches alone."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))

@@ -1,6 +1,8 @@
 """Trained models over feature tables: trees, nearest neighbours, out-of-fold predictions, search and dense scoring."""
 
-from collections.abc import Iterator
+import math
+import random
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +58,37 @@ def search_boosted(df: DataFrame, features: list[str], label: str, draws: dict[s
     return CrossValidator(estimator=learner, estimatorParamMaps=grid.build(), evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), numFolds=folds, seed=seed, parallelism=2).fit(df)
 
 
+def draw(ranges: dict[str, Sequence], n: int, seed: int) -> list[dict]:
+    """``n`` different combinations of the ranges' values (all, if there are fewer), drawn by ``seed`` without listing the others."""
+    total = math.prod(map(len, ranges.values()))
+    out = []
+    for place in random.Random(seed).sample(range(total), min(n, total)):
+        one = {}
+        for name, values in ranges.items():
+            place, at = divmod(place, len(values))
+            one[name] = values[at]
+        out.append(one)
+    return out
+
+
+def search_random(df: DataFrame, features: list[str], label: str, ranges: dict[str, Sequence], draws: int = 30, folds: int = 10, seed: int = 7) -> Model:
+    """The boosted trees of best mean R squared over ``folds`` among ``draws`` random combinations of ``ranges`` (parameter name to
+    a range or list).  The same seed draws and deals the same."""
+    learner = boosted_trees(features, label, seed=seed)
+    tree = learner.getStages()[-1]
+    maps = [{tree.getParam(name): value for name, value in one.items()} for one in draw(ranges, draws, seed)]
+    return CrossValidator(estimator=learner, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), numFolds=folds, seed=seed, parallelism=4).fit(df)
+
+
 def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """(id, prediction): mean y of the k rows of ``train`` (id, x, y) nearest to each of ``test`` (id, x), ties by id.
+    Test rows with a null feature have a null prediction; such training rows are left out.
 
     Both sides are cut into blocks of about ``block`` rows; a task holds one block of each and keeps k rows for each test row.
     """
+    whole = F.coalesce(F.forall("x", lambda v: v.isNotNull()), F.lit(False))
+    lost = test.filter(~whole).select("id", F.lit(None).cast("double").alias("prediction"))
+    test, train = test.filter(whole), train.filter(whole)
     parts, blocks = blocks_of(test, train, block)
     left = test.select("id", "x", spread(blocks).alias("block"), dealt("id", parts).alias("part"))
     right = train.select(F.col("id").alias("at"), F.col("x").alias("w"), "y", dealt("id", blocks).alias("block"), spread(parts).alias("part"))
@@ -72,7 +100,7 @@ def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096
 
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near, "id long, d double, at long, y double")
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "at", "y"))), 1, k).alias("n"))
-    return best.select("id", F.expr("aggregate(n, 0D, (a, e) -> a + e.y) / size(n)").alias("prediction"))
+    return best.select("id", F.expr("aggregate(n, 0D, (a, e) -> a + e.y) / size(n)").alias("prediction")).union(lost)
 
 
 def mlp_score(df: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], features: list[str], key: str) -> DataFrame:

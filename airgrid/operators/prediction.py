@@ -20,8 +20,8 @@ def in_bounds(row: Column, col: Column, n_rows: Column | int, n_cols: Column | i
     return (row >= 0) & (row < n_rows) & (col >= 0) & (col < n_cols)
 
 
-def extract_at_points(pixels: DataFrame, scenes: DataFrame, stations: DataFrame, bucket: float = 1.0) -> DataFrame:
-    """station and all columns of ``pixels`` for each scene that holds the station and has a cell there.
+def points_in_scenes(scenes: DataFrame, stations: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """station, scene, r, c: the cell of each station in each scene that holds it.
 
     ``scenes``: scene, t0..t5, n_rows, n_cols; ``stations``: station, lon, lat.  Scenes meet stations on buckets of their
     bounding boxes, so no station is paired with a scene far away.  Stations without a place match nothing.
@@ -37,7 +37,12 @@ def extract_at_points(pixels: DataFrame, scenes: DataFrame, stations: DataFrame,
     at = stations.select("station", "lon", "lat", F.floor(F.col("lon") / bucket).alias("bx"), F.floor(F.col("lat") / bucket).alias("by"))
     row, col = geo_to_index(t, F.col("lon"), F.col("lat"))
     met = at.join(boxes, ["bx", "by"]).filter(in_bounds(row, col, F.col("n_rows"), F.col("n_cols")))
-    return met.select("station", "scene", row.cast("int").alias("r"), col.cast("int").alias("c")).join(pixels, ["scene", "r", "c"])
+    return met.select("station", "scene", row.cast("int").alias("r"), col.cast("int").alias("c"))
+
+
+def extract_at_points(pixels: DataFrame, scenes: DataFrame, stations: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """station and all columns of ``pixels`` for each scene that holds the station and has a cell there (see ``points_in_scenes``)."""
+    return points_in_scenes(scenes, stations, bucket).join(pixels, ["scene", "r", "c"])
 
 
 @dataclass(frozen=True)

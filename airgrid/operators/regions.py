@@ -134,25 +134,45 @@ def perimeter(pixels: DataFrame) -> DataFrame:
 
 
 # classes
-def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int = 5) -> DataFrame:
+def _filled(pixels: DataFrame) -> DataFrame:
+    """Every cell between the ends of each scene (scene, r, c, v); v is null where the scene has none."""
+    size = pixels.groupBy("scene").agg(*[f(x).alias(n) for x in "rc" for f, n in ((F.min, f"{x}0"), (F.max, f"{x}1"))])
+    rows = size.select("scene", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1")
+    return rows.select("scene", "r", F.explode(F.sequence("c0", "c1")).alias("c")).join(pixels.select(*PIXEL, "v"), PIXEL, "left")
+
+
+def _of_three(x: Column, line: Window, mirror: bool) -> Column:
+    """Sum of a cell and its two neighbours on a line; beyond an end lies nothing, or what lies on the end's other side."""
+    before, after = F.lag(x).over(line), F.lead(x).over(line)
+    rest = (after, x), (before, x)
+    if not mirror:
+        rest = (F.lit(0),), (F.lit(0),)
+    return x + F.coalesce(before, *rest[0]) + F.coalesce(after, *rest[1])
+
+
+def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int = 5, mirror: bool = True) -> DataFrame:
     """(scene, r, c, v, label) after ``iterations`` rounds of iterated conditional modes.
 
     Labels start as equal parts of the scene's value range.  A round weighs each class by the log share of the eight
     neighbours that have it (0 counts as 0.001) and the log density of the value under the class's mean and deviation (at
-    least 0.001); the first of equal classes wins.  Scenes are full grids; null values take no part.
+    least 0.001); the first of equal classes wins.  Beyond an edge lie the cells on its other side, edge cells not repeated
+    (a scene of one row or column lies beside itself); without ``mirror`` nothing does.  Null and absent cells take no part: they
+    are nobody's neighbours, and the cells on their two sides aren't each other's.
 
     A round depends on the labels only.  So a scene whose labels are those of two rounds before is left as it is, if an even
     number of rounds is to come.
     """
-    line, column = Window.partitionBy("scene", "r").orderBy("c").rowsBetween(-1, 1), Window.partitionBy("scene", "c").orderBy("r").rowsBetween(-1, 1)
+    line, column = Window.partitionBy("scene", "r").orderBy("c"), Window.partitionBy("scene", "c").orderBy("r")
     ends = pixels.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     start = F.least(F.lit(n - 1), F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("lo")) * n, F.col("hi") - F.col("lo"))), F.lit(0))).cast("int")
-    now = pixels.filter("v is not null").join(ends, "scene").select(*PIXEL, "v", start.alias("label"), F.lit(-1).alias("last"))
+    now = cut(_filled(pixels).join(ends, "scene").select(*PIXEL, "v", F.when(F.col("v").isNotNull(), start).alias("label"), F.lit(-1).alias("last")))
     settled = []
+    own = {f"{k}": F.coalesce((F.col("label") == k).cast("int"), F.lit(0)) for k in range(n)} | {"n": F.col("label").isNotNull().cast("int")}
     for turn in range(iterations):
         stats = now.groupBy("scene").agg(*[f(F.when(F.col("label") == k, F.col("v"))).alias(f"{s}{k}") for k in range(n) for s, f in (("m", F.avg), ("s", F.stddev_pop))])
-        x = now.withColumns({f"t{k}": F.sum((F.col("label") == k).cast("int")).over(line) for k in range(n)}).withColumn("tt", F.count("*").over(line))
-        x = x.withColumns({f"n{k}": F.sum(f"t{k}").over(column) - (F.col("label") == k).cast("int") for k in range(n)}).withColumn("nn", F.sum("tt").over(column) - 1)
+        x = now.withColumns({f"o{k}": v for k, v in own.items()})
+        x = x.withColumns({f"t{k}": _of_three(F.col(f"o{k}"), line, mirror) for k in own})
+        x = x.withColumns({f"n{k}": _of_three(F.col(f"t{k}"), column, mirror) - F.col(f"o{k}") for k in own})
         x = x.join(stats, "scene")
         scores = []
         for k in range(n):
@@ -161,7 +181,7 @@ def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int
             density = -F.log(dev) - F.pow((F.col("v") - F.col(f"m{k}")) / dev, 2) / 2
             scores.append(F.struct(F.coalesce(F.round(prior + density, 9), F.lit(-1e300)).alias("score"), F.lit(-k).alias("k")))
         best = F.greatest(*scores) if n > 1 else scores[0]
-        now = x.select(*PIXEL, "v", (-best["k"]).alias("label"), F.col("label").alias("last"), F.col("last").alias("before"))
+        now = x.select(*PIXEL, "v", F.when(F.col("v").isNotNull(), -best["k"]).alias("label"), F.col("label").alias("last"), F.col("last").alias("before"))
         if turn % every == every - 1:
             now = cut(now)
             if (iterations - turn) % 2 == 1:
@@ -170,7 +190,7 @@ def mrf_relabel(pixels: DataFrame, n: int = 2, iterations: int = 200, every: int
                 now = cut(now.join(moving, "scene", "left_semi"))
                 if now.isEmpty():
                     break
-    return reduce(DataFrame.union, [part.select(*PIXEL, "v", "label") for part in [*settled, now]])
+    return reduce(DataFrame.union, [part.select(*PIXEL, "v", "label") for part in [*settled, now]]).filter("v is not null")
 
 
 def superpixels(pixels: DataFrame, step: int, compactness: float = 10.0, iterations: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from .. import bindings as b
 from ..functions import scalars as s
 from ..operators import grid as g
 from ..operators import prediction as p
-from ..operators.grid import cooccurrence, texture
+from ..operators.tiles import textures
 from .queries import QUERIES, _e2_sql, query, r6
 
 # C1, B10: scenes whose grids start at different places; stations outside are lost
@@ -28,10 +28,7 @@ def _(spark, d):
 
 @query("b10_scenes_with_stations", f"{_SCENES} select distinct scene from stations, sc where (lat - t3) / t5 >= 0 and (lat - t3) / t5 < n_rows and (lon - t0) / t1 >= 0 and (lon - t0) / t1 < n_cols and scene % 2 = 0")
 def _(spark, d):
-    t = tuple(F.col(f"t{i}") for i in range(6))
-    row, col = s.geo_to_index(t, F.col("lon"), F.col("lat"))
-    at = F.broadcast(_scenes(spark, d).filter("scene % 2 = 0"))
-    return b.stations(spark, d).join(at, p.in_bounds(row, col, F.col("n_rows"), F.col("n_cols"))).select("scene").distinct()
+    return p.points_in_scenes(_scenes(spark, d).filter("scene % 2 = 0"), b.stations(spark, d)).select("scene").distinct()
 
 
 # C2, B7, B8: a target grid, two layers on coarser grids with other corners (one static), a linear model, a mask
@@ -74,7 +71,7 @@ def _cells(spark, d) -> DataFrame:
     return x.groupBy(F.to_date("l_shipdate").alias("date"), (F.col("l_partkey") % 20).cast("int").alias("r"), (F.col("l_suppkey") % 10).cast("int").alias("c")).agg(*[e.alias(n) for n, e in num.items()])
 
 
-@query("c3_stack_by_day_and_month", _DAYS + ", m as (select date_trunc('month', date)::date mon, r, c, max(k) v from cells group by 1, 2, 3) select a.date, a.r, a.c, round(a.q, 6) q, round(o.x, 6) x, round(m.v, 6) ndvi from cells a join cells o on a.date = o.date and a.r = o.r and a.c = o.c and o.r < 15 and o.c < 8 join m on m.mon = date_trunc('month', a.date)::date and m.r = a.r and m.c = a.c".replace("cells a join cells o", "cells a join cells o", 1), False)
+@query("c3_stack_by_day_and_month", _DAYS + ", m as (select date_trunc('month', date)::date mon, r, c, max(k) v from cells group by 1, 2, 3) select a.date, a.r, a.c, round(a.q, 6) q, round(o.x, 6) x, round(m.v, 6) ndvi from cells a join cells o on a.date = o.date and a.r = o.r and a.c = o.c and o.r < 15 and o.c < 8 join m on m.mon = date_trunc('month', a.date)::date and m.r = a.r and m.c = a.c", False)
 def _(spark, d):
     x = _cells(spark, d)
     month = x.groupBy(F.trunc("date", "month").alias("date"), "r", "c").agg(F.max("k").alias("v"))
@@ -135,7 +132,7 @@ def _(spark, d):
 @query("d9_zonal_texture", f"{_e2_sql(17, 7)}, m as (select scene, r, c, sum(n * i) / 289.0::double glcm from gl group by 1, 2, 3), q as (select scene, r, c, floor(v * 4)::int segment from tiles) select scene, segment, {_STATS.format('glcm')} from m join q using (scene, r, c) group by 1, 2")
 def _(spark, d):
     t = b.tiles(spark, d)
-    mean = texture(cooccurrence(t, 17, 7), 17, 7).select("scene", "r", "c", F.col("mean").alias("glcm"))
+    mean = textures(t, 17, 7).select("scene", "r", "c", F.col("mean").alias("glcm"))
     got = p.zonal_statistics(mean.join(t.withColumn("segment", F.floor(F.col("v") * 4).cast("int")), ["scene", "r", "c"]), ["scene", "segment"], {"glcm": F.col("glcm")})
     return got.select("scene", "segment", *[F.round(F.col(c) + _OFF, 7).alias(c) for c in got.columns[2:]])
 

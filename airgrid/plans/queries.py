@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import scalars as s
 from ..operators import grid as g
+from ..operators.tiles import textures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,8 +350,7 @@ def _(spark, d):
 sum(n * (i - j) ** 2)::double contrast, sum(n * abs(i - j))::double dissimilarity, sum(n / (1 + (i - j) ** 2)) homogeneity, sum(n * n)::double asm from gl group by 1, 2, 3)
 select scene, r, c, max, round(entropy, 6) entropy, round(mean, 6) as mean, round(sqrt(greatest(0, sq - 289 * mean * mean)), 6) std, round(contrast, 6) contrast, round(dissimilarity, 6) dissimilarity, round(homogeneity, 6) homogeneity, round(asm, 6) asm, round(sqrt(asm), 6) energy from tx""")
 def _(spark, d):
-    t = g.texture(g.cooccurrence(b.tiles(spark, d), 17, 7), 17, 7)
-    return t.select("scene", "r", "c", "max", *[r6(x).alias(x) for x in ("entropy", "mean", "std", "contrast", "dissimilarity", "homogeneity", "asm", "energy")])
+    return textures(b.tiles(spark, d), 17, 7).select("scene", "r", "c", "max", *[r6(x).alias(x) for x in ("entropy", "mean", "std", "contrast", "dissimilarity", "homogeneity", "asm", "energy")])
 
 
 # scalars

@@ -52,6 +52,12 @@ def explode_cube(cube: DataFrame) -> DataFrame:
     return t.select("variable", "ts", "lat", F.expr("lons[k]").alias("lon"), "value")
 
 
+def tile_to_pixels(tiles: DataFrame, width: int, data: str = "data", key: str = "scene") -> DataFrame:
+    """(key, r, c, v) from tiles whose values stand in one array, row by row, ``width`` to a row.  Null tiles have no cells."""
+    at = tiles.select(key, F.posexplode(data).alias("p", "v"))
+    return at.select(key, F.expr(f"p div {width}").cast("int").alias("r"), (F.col("p") % width).alias("c"), F.col("v").cast("double").alias("v"))
+
+
 def stack_bands(long: DataFrame, bands: list[str]) -> DataFrame:
     """(scene, r, c, band, v) to one column for each band."""
     return long.groupBy("scene", "r", "c").pivot("band", bands).agg(F.first("v"))
@@ -85,9 +91,10 @@ STORED = {"byte": ("smallint", 255), "uint16": ("int", 65535), "float32": ("floa
 
 
 def write_layers(df: DataFrame, path: str, dtype: str = "float32") -> None:
-    """One folder for each variable and date, cells in row order; ``dtype``: byte, uint16 (both clamped to their range) or float32."""
+    """One folder for each variable and date, cells in row order; ``dtype``: byte, uint16 (both clamped to their range) or float32.
+    Nulls stay null."""
     kind, top = STORED[dtype]
-    value = F.col("value") if top is None else F.greatest(F.lit(0), F.least(F.lit(top), F.col("value")))
+    value = F.col("value") if top is None else F.when(F.col("value").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(top), F.col("value"))))
     out = df.withColumn("value", value.cast(kind)).repartition("variable", "date").sortWithinPartitions("variable", "date", "row", "col")
     out.write.mode("overwrite").partitionBy("variable", "date").parquet(path)
 

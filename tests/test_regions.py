@@ -93,7 +93,7 @@ def relabelled(v, rounds, n=2):
     for _ in range(rounds):
         score = []
         for k in range(n):
-            one, all_ = (np.pad(a, 1) for a in ((label == k).astype(float), np.ones(v.shape)))
+            one, all_ = (np.pad(a, 1, mode="reflect") for a in ((label == k).astype(float), np.ones(v.shape)))
             near, cells = (sum(a[1 + i : 1 + i + v.shape[0], 1 + j : 1 + j + v.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j) for a in (one, all_))
             if not (label == k).any():
                 score.append(np.full(v.shape, -1e300))
