@@ -72,9 +72,10 @@ def join_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.join(best.select("host", "path", F.concat("b.parent", "b.prefix").alias("rule"), F.col("b.what").alias("action")), ["host", "path"], "left")
 
 
-def small(table: DataFrame, most: int = 100_000) -> DataFrame:
-    """``table`` marked for broadcast if it has no more than ``most`` rows; beyond, a join of it may be split where it is skewed."""
-    return F.broadcast(table) if table.count() <= most else table
+def small(table: DataFrame, row_bytes: int = 64, most_bytes: int = 8 << 20) -> DataFrame:
+    """``table`` marked for broadcast if its rows, of about ``row_bytes`` each besides their key, have no more than ``most_bytes``;
+    beyond, a join of it may be split where it is skewed."""
+    return F.broadcast(table) if table.count() * (row_bytes + 40) <= most_bytes else table
 
 
 def _strength(level: DataFrame) -> float:

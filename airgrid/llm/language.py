@@ -9,7 +9,6 @@ of its host's counts before it is judged.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +17,12 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .host_reputation import domain_of, host_of, small, suffix_of
-from .scratch import stage
+from .scratch import release, stage
 from .warc import plain_text
 
 BUCKETS = 1 << 15
+#: Languages whose model the driver and a task hold at a time (64 MB).
+LANGUAGES = 256
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +35,8 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[at], ((d[at] * 31 * 31 + d[at + 1] * 31 + d[at + 2]) * 2654435761 >> 9) % BUCKETS
 
 
-def text_model(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 256) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and bucket), from all rows with a language; at most ``most`` languages."""
+def counted(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, bucket, n) over all rows with a language."""
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).filter("lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,101 +45,115 @@ def text_model(docs: DataFrame, lang: str = "lang", text: str = "text", most: in
             names, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
                 row, bucket = _trigrams(data, offsets)
-                both = np.bincount(code[lo:hi][row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for name, n in zip(names, both):
-                    seen[name] = seen[name] + n if name in seen else n
+                here, own = np.unique(code[lo:hi], return_inverse=True)
+                both = np.bincount(own[row] * BUCKETS + bucket, minlength=len(here) * BUCKETS).reshape(-1, BUCKETS)
+                for k, n in zip(here, both):
+                    seen[names[k]] = seen[names[k]] + n if names[k] in seen else n
+            if len(seen) > LANGUAGES:
+                yield from summed_up(seen)
+                seen.clear()
+        yield from summed_up(seen)
+
+    def summed_up(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(tb.released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(most + 1).collect())
-    if len(langs) > most:
-        raise ValueError(f"more than {most} languages")
-    table = np.ones((max(1, len(langs)), BUCKETS))
-    got = counts.toPandas()
+    return rows.mapInArrow(tb.released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def text_model(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log probabilities by language and bucket of some of the languages of ``counted``."""
+    table = np.ones((len(langs), BUCKETS))
+    got = counts.filter(F.col("lang").isin(langs)).toPandas()
     place = {x: i for i, x in enumerate(langs)}
     table[got["lang"].map(place).to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] += got["n"].to_numpy(np.int64)
-    return langs or ["und"], np.log(table / table.sum(1, keepdims=True))
+    return np.log(table / table.sum(1, keepdims=True))
 
 
-def _likelihoods(rows: DataFrame, model: np.ndarray, temper: float) -> DataFrame:
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    keep = [f.name for f in rows.schema if f.name != "text"]
+def _likelihoods(rows: DataFrame, model: np.ndarray, temper: float, last: bool) -> DataFrame:
+    """``rows`` with the tempered log likelihoods of the model's languages behind those in ``p``; from the last model on, the
+    text's posteriors under equal priors, without the text."""
+    keep = [f.name for f in rows.schema if f.name not in ("text", "p")]
+    names = [*keep, "p"] if last else [*keep, "text", "p"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.chunks(tb.column(batch, "text")):
+            texts = tb.column(batch, "text")
+            before = batch.column("p")
+            for lo, hi, data, offsets in tb.chunks(texts):
                 row, bucket = _trigrams(data, offsets)
                 ll = temper * np.stack([np.bincount(row, m[bucket], hi - lo) for m in model], 1)
-                p = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -30))
-                p /= p.sum(1, keepdims=True)
-                cols = [batch.column(c)[lo:hi] for c in keep] + [pa.array(p[:, j]) for j in range(len(model))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, *(f"t{j}" for j in range(len(model)))])
+                ll = np.hstack([before[lo:hi].flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1), ll])
+                if last:
+                    ll = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -30))
+                    ll /= ll.sum(1, keepdims=True)
+                p = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
+                held = {c: batch.column(c)[lo:hi] for c in names if c != "p"} | {"p": p}
+                yield pa.RecordBatch.from_arrays([held[f] for f in order], order)
 
-    return rows.mapInArrow(tb.released(run), kinds + "".join(f", t{j} double" for j in range(len(model))))
+    order = [f.name for f in rows.schema if f.name in names]
+    return rows.mapInArrow(tb.released(run), kinds)
 
 
 def declared_of(html: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
 
 
-def identify(pages: DataFrame, docs: DataFrame, temper: float = 0.1, smooth: float = 5.0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def _arrays(table: DataFrame, by: list[str], values: str, to: str) -> DataFrame:
+    """Sums of arrays, place by place: a row for each key."""
+    each = table.select(*by, F.posexplode(values).alias("j", "x")).groupBy(*by, "j").agg(F.sum("x").alias("x"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias(to))
+
+
+def identify(pages: DataFrame, docs: DataFrame, temper: float = 0.1, smooth: float = 5.0, page_id: str = "page_id", url: str = "url", html: str = "html", most: int = LANGUAGES) -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence for each row of ``pages``.
 
     Null or empty pages have no text evidence and rest on declaration and host; null urls have the host "".  Repeated rows
     each count.  Equal posteriors go to the first language by name.  A page declares nothing, one of the languages, or
     another one.  Without labelled documents the only language is "und".  Columns of other names are not read.
+
+    There may be any number of languages: a page has an array with an entry for each.  The text model of ``most`` of them is
+    held at a time; more are read one after the other, with the same result.
     """
-    langs, model = text_model(docs)
+    counts = stage(counted(docs))
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect()) or ["und"]
     n = len(langs)
     dec = declared_of(pages[html])
     declared = F.when(dec == "", "none").when(dec.isin(langs), dec).otherwise("other")
     host = host_of(pages[url])
-    rows = pages.select(pages[page_id].alias("page_id"), host.alias("host"), declared.alias("declared"), plain_text(F.coalesce(pages[html], F.lit(""))).alias("text"))
-    read = stage(_likelihoods(rows, model, temper))
-    t = [f"t{j}" for j in range(n)]
-
-    def summed(df: DataFrame, by: list[str], from_: list[str], to: str) -> DataFrame:
-        return df.groupBy(*by).agg(*[F.sum(c).alias(f"{to}{j}") for j, c in enumerate(from_)])
-
-    whole = summed(read, [], t, "g").first()
-    prior = [((whole[j] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + n) for j in range(n)]
-    seen = {r.declared: [r[f"d{j}"] for j in range(n)] for r in summed(read, ["declared"], t, "d").collect()}
-    kinds = sorted(seen)
-    each = {k: sum(seen[k]) + 1.0 for k in kinds}
-    mass = sum(each.values()) or 1.0
-
-    def said(j: int) -> Column:
-        """P(declaration | language j), smoothed towards the declaration's share of all pages."""
-        total = sum(seen[k][j] for k in kinds) + smooth
-        return reduce(lambda out, k: F.when(F.col("declared") == k, (seen[k][j] + smooth * each[k] / mass) / total).otherwise(out), kinds, F.lit(1.0))
-
-    hosts = stage(summed(read, ["host"], t, "h").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    h, d, s = ([f"{x}{j}" for j in range(n)] for x in "hds")
-    suffixes = summed(hosts, ["suffix"], h, "s")
-    domains = summed(hosts, ["suffix", "domain"], h, "d")
-
-    def shrunk(own: list[Column], above: list[Column]) -> list[Column]:
-        total = reduce(lambda a, b: a + b, own) + smooth
-        return [(x + smooth * y) / total for x, y in zip(own, above)]
-
-    chain = hosts.join(domains.drop("suffix"), "domain").join(suffixes, "suffix")
-    chain = stage(chain.select("host", *h, *d, *s))
-    page = read.join(small(chain), "host")
-    less = [[F.greatest(F.lit(0.0), F.col(x) - F.col(y)) for x, y in zip(level, t)] for level in (s, d, h)]
-    level: list[Column] = [F.lit(p) for p in prior]
-    for own in less:
-        names = [f"p{len(page.columns)}_{j}" for j in range(n)]
-        page = page.withColumns(dict(zip(names, shrunk(own, level))))
-        level = [F.col(x) for x in names]
-    posts = [f"post{j}" for j in range(n)]
-    page = page.withColumns({x: F.col(t[j]) * said(j) * level[j] for j, x in enumerate(posts)})
-    total = reduce(lambda a, b: a + b, [F.col(x) for x in posts])
-
-    def best(cols: list[str]) -> Column:
-        top = F.greatest(*cols) if n > 1 else F.col(cols[0])
-        return F.coalesce(*[F.when(F.col(c) == top, langs[j]) for j, c in enumerate(cols)])
-
-    top = F.greatest(*posts) if n > 1 else F.col(posts[0])
-    return page.select("page_id", "host", "declared", best(t).alias("text_lang"), best(posts).alias("lang"), (top / total).alias("confidence"))
+    read = pages.select(pages[page_id].alias("page_id"), host.alias("host"), declared.alias("declared"), plain_text(F.coalesce(pages[html], F.lit(""))).alias("text"), F.array().cast("array<double>").alias("p"))
+    for lo in range(0, n, most):
+        held, read = read, stage(_likelihoods(read, text_model(counts, langs[lo : lo + most]), temper, lo + most >= n))
+        release(held)
+
+    whole = [0.0] * n
+    for r in read.select(F.posexplode("p").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect():
+        whole[r.j] = r.x
+    prior = F.lit([(x + 1.0) / (sum(whole) + n) for x in whole])
+    # P(declaration | language), smoothed towards the declaration's share of all pages: a row for each declaration
+    said = _arrays(read, ["declared"], "p", "d").withColumn("each", F.aggregate("d", F.lit(1.0), lambda a, x: a + x))
+    mass = said.agg(F.sum("each")).first()[0] or 1.0
+    said = said.select("declared", F.zip_with("d", F.lit([x + smooth for x in whole]), lambda x, total: (x + smooth * F.col("each") / mass) / total).alias("said"))
+
+    hosts = stage(_arrays(read, ["host"], "p", "h").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    suffixes, domains = _arrays(hosts, ["suffix"], "h", "s"), _arrays(hosts, ["suffix", "domain"], "h", "d")
+    chain = stage(hosts.join(domains.drop("suffix"), "domain").join(suffixes, "suffix").select("host", "h", "d", "s"))
+    page = read.join(small(chain, 24 * n), "host").join(small(said, 8 * n), "declared")
+
+    def shrunk(own: str, above: Column) -> Column:
+        """The counts of a level without the page's own, shrunk towards the level above."""
+        rest = F.zip_with(own, "p", lambda x, y: F.greatest(F.lit(0.0), x - y))
+        total = F.aggregate(rest, F.lit(smooth), lambda a, x: a + x)
+        return F.zip_with(rest, above, lambda x, y: (x + smooth * y) / total)
+
+    for level, above in (("s", prior), ("d", F.col("s")), ("h", F.col("d"))):
+        page = page.withColumn(level, shrunk(level, above))
+    page = page.withColumn("post", F.zip_with(F.zip_with("p", "said", lambda x, y: x * y), "h", lambda x, y: x * y))
+
+    def best(values: str) -> Column:
+        return F.element_at(F.lit(langs), F.array_position(values, F.array_max(values)).cast("int"))
+
+    sure = F.array_max("post") / F.aggregate("post", F.lit(0.0), lambda a, x: a + x)
+    return page.select("page_id", "host", "declared", best("p").alias("text_lang"), best("post").alias("lang"), sure.alias("confidence"))

@@ -97,13 +97,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, d
         return F.shiftright(k, 63 - bits).cast("int")
 
     a, b = cells.bit_length() - 1, sub.bit_length() - 1
-    counts = keys.groupBy(shard_of("key", "key2").alias("__shard"), cell_of(F.col("key"), a).alias("__cell"), cell_of(F.col("key2"), b).alias("__sub")).count()
-    before = F.sum("count").over(Window.partitionBy("__shard").orderBy("__cell", "__sub").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("__shard", "__cell", "__sub", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = "__s"  # names that no column has
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    in_shard, in_cell, in_sub, first, k1, k2 = (own + c for c in "abcdef")
+    counts = keys.groupBy(shard_of("key", "key2").alias(in_shard), cell_of(F.col("key"), a).alias(in_cell), cell_of(F.col("key2"), b).alias(in_sub)).count()
+    before = F.sum("count").over(Window.partitionBy(in_shard).orderBy(in_cell, in_sub).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(in_shard, in_cell, in_sub, F.coalesce(before, F.lit(0)).alias(first))
     crc = F.when(docs[text].isNull(), 0).otherwise(F.crc32(docs[text].cast("binary"))).cast("long")
     kept = [docs[c] for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    out = docs.select(*kept, size.alias("size"), crc.alias("text_crc32"), key.alias("__key"), key2.alias("__key2"))
-    out = out.withColumns({"__shard": shard_of("__key", "__key2"), "__cell": cell_of(F.col("__key"), a), "__sub": cell_of(F.col("__key2"), b)})
-    rank = F.row_number().over(Window.partitionBy("__shard", "__cell", "__sub").orderBy("__key", "__key2", "size"))
-    out = out.withColumn("__rank", rank).join(counts, ["__shard", "__cell", "__sub"])
-    return out.withColumns({"shard": F.col("__shard"), "slot": (F.col("__before") + F.col("__rank") - 1).cast("long")}).drop("__shard", "__cell", "__sub", "__key", "__key2", "__rank", "__before")
+    names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    out = docs.select(*kept, size.alias("size"), crc.alias("text_crc32"), key.alias(k1), key2.alias(k2))
+    out = out.withColumns({in_shard: shard_of(k1, k2), in_cell: cell_of(F.col(k1), a), in_sub: cell_of(F.col(k2), b)})
+    rank = F.row_number().over(Window.partitionBy(in_shard, in_cell, in_sub).orderBy(k1, k2, "size"))
+    out = out.withColumn(own + "r", rank).join(counts, [in_shard, in_cell, in_sub])
+    return out.withColumns({"shard": F.col(in_shard), "slot": (F.col(first) + F.col(own + "r") - 1).cast("long")}).select(*names, "size", "text_crc32", "shard", "slot")

@@ -6,22 +6,57 @@ ids are hashes of the source's id and the record type, so a second run gives the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Replacements of character entities, in the order in which they are made.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
+#: Names of characters: those of HTML 4 and the apostrophe of XML; a hard blank counts as a blank.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|td|th|table|article|section|nav|header|footer|main|aside|br|hr|title|blockquote|pre|dl|dt|dd|form"
 
 
+def _character(entity: Column) -> Column:
+    """What a numeric or named reference stands for; itself where it stands for nothing."""
+    body = F.substring(entity, 2, 1 << 20)
+    body = F.regexp_replace(body, ";$", "")
+    code = F.when(F.lower(F.substring(body, 1, 2)) == "#x", F.conv(F.substring(body, 3, 8), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 8)).cast("long")
+    real = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    shown = F.when(code == 160, " ").when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.coalesce(F.when(code.isNotNull(), shown).otherwise(F.try_element_at(named, body)), entity)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def decoded(text: Column) -> Column:
+    """Character references decoded once each; an ampersand that comes out begins no new one."""
+
+    held = F.lit("\ufdd0")  # stands for an ampersand till all are decoded; no text has this code point
+
+    def replaced(t: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, t, lambda x, p: F.replace(x, p["e"], F.when(p["c"] == "&", held).otherwise(p["c"])))
+
+    def known(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)))
+        return F.transform(found, lambda e: F.struct(e.alias("e"), _character(e).alias("c")))
+
+    return _let(text, lambda t: _let(known(t), lambda pairs: F.replace(replaced(t, pairs), held, F.lit("&"))))
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a page: comments, scripts, styles and tags go, block tags end a line, entities are decoded."""
+    """Text of a page: comments, scripts, styles and tags go, block tags end a line, numeric and named character references
+    are decoded."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for a, b in ENTITIES:
-        t = F.replace(t, F.lit(a), F.lit(b))
+    t = decoded(t)
     t = F.regexp_replace(t, r"[ \t\f\r]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 

@@ -358,3 +358,52 @@ def test_toxicity_scores_windows_at_every_start():
             starts = np.arange(lo, max(lo + 1, hi - size + 1)) if hi > lo else np.zeros(0, int)
             logit = net.run(x, starts, np.minimum(starts + size, hi), t.word) if len(starts) else np.zeros(0)
             assert abs(worst[i] - max([-12.0, *logit])) < 1e-4
+
+
+def test_any_number_of_languages(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)] for k in range(300)}
+    d = spark.createDataFrame([(k, " ".join(w * 2)) for k, w in words.items()], "lang string, text string").coalesce(2)
+    pages = [(i, f"http://h{i % 3}.org/", f"<p>{' '.join(rng.choices(words[k], k=12))}</p>") for i, k in enumerate(rng.sample(sorted(words), 40))]
+    p = spark.createDataFrame(pages + [(100, "http://x.de/", "<html lang=fr>" + "long " * 60_000)], "page_id int, url string, html string").coalesce(2)
+    once, parts = ({r.page_id: r for r in identify(p, d, most=m).collect()} for m in (1000, 128))
+    assert once.keys() == parts.keys() and all(once[i].lang == parts[i].lang and abs(once[i].confidence - parts[i].confidence) < 1e-9 for i in once)
+    truth = {i: k for (i, _, h) in pages for k, w in words.items() if h[3:-4].split()[0] in w and h[3:-4].split()[1] in w}
+    assert sum(once[i].text_lang == k for i, k in truth.items()) >= 38
+
+
+def test_declarations_and_hosts_decide_short_pages(spark):
+    """Pages of one ambiguous word: the text alone can't tell, the fused evidence can."""
+    d = spark.createDataFrame([("aa", "taxi foo bar qux " * 20), ("bb", "taxi zip zap zop " * 20)], "lang string, text string")
+    full = [(i, f"http://{'a' if i % 2 else 'b'}.org/{i}", "<p>" + ("foo bar qux " if i % 2 else "zip zap zop ") * 9 + "</p>") for i in range(60)]
+    short = [(100 + i, f"http://{'a' if i % 2 else 'b'}.org/s{i}", "<p>taxi</p>") for i in range(20)]
+    marked = [(200 + i, f"http://x{i}.com/", f"<html lang={'aa' if i % 2 else 'bb'}><p>{'foo bar qux ' * 5 if i % 2 else 'zip zap zop ' * 5}</p>") for i in range(40)]
+    odd = [(300 + i, f"http://y{i}.com/", f"<html lang={'aa' if i % 2 else 'bb'}><p>taxi</p>") for i in range(10)]
+    got = {r.page_id: r for r in identify(spark.createDataFrame(full + short + marked + odd, "page_id int, url string, html string"), d).collect()}
+    want = {i: "aa" if i % 2 else "bb" for i in (*range(100, 120), *range(300, 310))}
+    assert all(got[i].lang == k for i, k in want.items())
+    assert sum(got[i].text_lang == k for i, k in want.items()) == len(want) // 2  # equal texts: all go to one language
+    assert len({got[i].confidence for i in range(100, 120, 2)}) == 1
+
+
+def test_shards_of_tables_with_any_columns(spark, docs):
+    names = ("__s", "__key", "__shard", "__sa", "__S_b", "key", "own", "digit", "shard", "slot", "size")
+    odd = docs.select("doc_id", "text").withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in names})
+    got = shard_by_bytes(odd, 4)
+    assert got.columns == ["doc_id", "text", *names[:8], "size", "text_crc32", "shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == len(corpus()) and all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in names[:8])
+
+
+def test_character_references(spark):
+    import html
+
+    from airgrid.llm.warc import decoded, plain_text
+
+    texts = ["a &amp;lt; &lt;i&gt; &eacute;&#233;&#xe9;&#XE9; &rsquo;&#8217; &#x1F600; &apos;", "&amp;amp; &amp;#38; &#38;amp; &#x26;#38;", "& &; &#; &#x; x&y; &Eacute;&Alpha;&alpha;", "", None, "&lt;" * 5000]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in d.orderBy("i").select(decoded(F.col("t"))).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
+    stay = "&bogus; &#0; &#xD800; &#9999999;"
+    one = spark.createDataFrame([(f"<p>{stay} a&nbsp;&#160;b</p>",)], "t string").select(plain_text(F.col("t"))).first()[0]
+    assert one == stay + " a b"
