@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 U = np.uint64
-#: Log-odds of fewer standard errors than this count as 0.
-LEAST_Z = 1.0
+#: Log-odds of fewer standard errors than this count as 0; bytes of the longer beginning of a word.  Chosen by four folds of the
+#: labelled rows that aren't held out.
+LEAST_Z, BEGIN = 1.0, 6
 
 
 @dataclass(frozen=True)
@@ -77,13 +78,17 @@ def _odds(doc: np.ndarray, h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray
 
 
 def _word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of each 4-byte gram of each word; words of less are one gram; the first is marked as such."""
-    n = np.maximum(1, end - start - 3)
+    """(word, hash) of each 4-byte gram of each word; words of less are one gram; the first is marked as such.  Behind it, words of
+    more have their first ``BEGIN`` bytes, marked again."""
+    more = end - start > 4
+    n = np.maximum(1, end - start - 3) + more
     word = np.repeat(np.arange(len(start)), n)
-    offset = np.arange(n.sum()) - np.repeat((np.cumsum(n) - n), n)
+    place = np.arange(n.sum()) - np.repeat((np.cumsum(n) - n), n)
+    begin = (place == 1) & more[word]
+    offset = np.where(begin, 0, place - ((place > 1) & more[word]))
     lo = start[word] + offset
-    h = tb.hashes(data, lo, np.minimum(lo + 4, end[word]), seed=3)
-    return word, np.where(offset == 0, _mark(h), h)
+    h = tb.hashes(data, lo, np.minimum(lo + np.where(begin, BEGIN, 4), end[word]), seed=3)
+    return word, np.where(begin, _mark(_mark(h)), np.where(place == 0, _mark(h), h))
 
 
 @dataclass
