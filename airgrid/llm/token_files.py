@@ -1,7 +1,7 @@
 """Token ids in Arrow files: equal-length sequences and masks that can be mapped and read at random.
 
 Texts are ranged by id, so part k holds the ids of a run of documents in order.  A part is an Arrow file (the stream format
-with a footer): batches of fixed-size lists ``tokens`` (16 or 32 bits unsigned, by the vocabulary) and ``mask``, uncompressed
+with a footer): batches of fixed-size lists ``tokens`` (16 or 32 bits unsigned, by the vocabulary) and ``mask`` (a byte each), uncompressed
 and of one size, so that row r is at a known offset of the mapped file.  The last sequence of a part is padded; its mask says
 where.  A second file holds the documents of the part: id, first token and number of tokens.
 """
@@ -12,7 +12,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -123,15 +123,16 @@ class _Encoder:
         self.used += len(more)
         fresh.clear()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id behind it, and the number for each."""
+    def encode(self, texts: list[str], ends: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it (of parts of texts, where ``ends`` says so), and the number for each."""
         if len(self.place) > CACHE:
             self._forget()
         number, flat, sizes = self.place.__getitem__, [], []
-        for t in texts:
+        for i, t in enumerate(texts):
             before = len(flat)
             flat.extend(map(number, _pieces(t)))
-            flat.append(1)
+            if ends is None or ends[i]:
+                flat.append(1)
             sizes.append(len(flat) - before)
         if self.place.fresh:
             self._learn(self.place.fresh)
@@ -143,6 +144,36 @@ class _Encoder:
         return out, np.diff(total[np.r_[0, np.cumsum(sizes)]])
 
 
+#: Characters of a part of a text, and of the parts that are encoded together.
+PART, TOGETHER = 1 << 16, 1 << 20
+
+
+def parts(text: str) -> list[str]:
+    """A text cut at blanks, which encode to nothing, into parts of about ``PART`` characters; one without blanks is one part."""
+    out, lo = [], 0
+    while len(text) - lo > PART and (at := text.find(" ", lo + PART)) >= 0:
+        out.append(text[lo:at])
+        lo = at + 1
+    return [*out, text[lo:]]
+
+
+def _together(texts: Iterable[str]) -> Iterator[tuple[list[int], list[str], list[bool]]]:
+    """Parts of texts, about ``TOGETHER`` characters at a time: the texts' numbers, the parts, and whether they end their text."""
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
+    for i, text in enumerate(texts):
+        own = parts(text)
+        for k, part in enumerate(own):
+            for column, value in zip(held, (i, part, k + 1 == len(own))):
+                column.append(value)
+            size += len(part) + 1
+            if size >= TOGETHER or len(held[0]) >= 1024:
+                yield held
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield held
+
+
 _encoders: dict[tuple[str, int], _Encoder] = {}
 
 
@@ -173,12 +204,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, sink = TaskContext.get().partitionId(), None, None
-        kind = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))], {"dtype": np.dtype(dtype).name})
+        kind = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))], {"dtype": np.dtype(dtype).name})
         ids, counts, left, total = [], [], np.zeros(0, dtype), 0
         fs, base = _located(folder)
 
         def put(flat: np.ndarray, valid: int) -> None:
-            mask = np.arange(len(flat)) < valid
+            mask = (np.arange(len(flat)) < valid).view(np.uint8)
             sink.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, mask)], schema=kind))
 
         for batch in batches:
@@ -191,15 +222,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
                 mine = f"{name}.{TaskContext.get().taskAttemptId()}"
                 out = fs.open_output_stream(mine + ".tmp")
                 sink = pa.ipc.new_file(out, kind)
-            texts = batch.column("text")
-            for lo in range(0, len(texts), 256):
-                got, n = encoder.encode(texts[lo : lo + 256].to_pylist())
-                counts.append(n)
+            per_text = np.zeros(batch.num_rows, np.int64)
+            for number, some, ends in _together(t.as_py() for t in batch.column("text")):
+                got, n = encoder.encode(some, ends)
+                np.add.at(per_text, number, n)
                 total += len(got)
                 left = np.concatenate([left, got.astype(dtype)])
                 while len(left) >= rows * length:
                     put(left[: rows * length], rows * length)
                     left = left[rows * length :]
+            counts.append(per_text)
             ids.append(batch.column("doc_id"))
         if encoder is not None:
             if len(left):
@@ -234,8 +266,8 @@ class TokenFile:
 
     def batch(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         got = self.reader.get_batch(b)
-        tokens = got.column("tokens").flatten().to_numpy(zero_copy_only=True)
-        return tokens.reshape(-1, self.length), got.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length)
+        tokens, mask = (got.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in ("tokens", "mask"))
+        return tokens, mask.view(bool)
 
     def sequence(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         tokens, mask = self.batch(r // self.rows)
@@ -264,18 +296,17 @@ def read_tokens(manifest: DataFrame, id_type: str = "long") -> DataFrame:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("offset").to_pylist()):
                 file = TokenFile(path)
                 first, n = (file.index.column(c).to_numpy() for c in ("first", "n_tokens"))
-                crcs, held, at = np.zeros(len(n), np.int64), np.zeros(0, np.uint32), 0
-                lo = 0
+                end, at, lo = first + n, 0, 0
+                crcs = [0] * len(n)
                 for k in range(file.reader.num_record_batches):
                     tokens, mask = file.batch(k)
-                    held = np.concatenate([held, tokens[mask].astype("<u4")])
-                    hi = int(np.searchsorted(first + n, at + len(held), side="right"))
-                    for i in range(lo, hi):
-                        crcs[i] = zlib.crc32(held[first[i] - at : first[i] + n[i] - at])
-                    if hi > lo:
-                        cut = int(first[hi - 1] + n[hi - 1])
-                        held, at, lo = held[cut - at :], cut, hi
-                yield from pa.table({"doc_id": file.index.column("doc_id"), "start": first + base, "n_tokens": n, "ids_crc32": crcs}).combine_chunks().to_batches()
+                    got = tokens[mask].astype("<u4")
+                    hi = int(np.searchsorted(first, at + len(got)))
+                    for i in range(lo, hi):  # documents that stand here, in part or whole
+                        crcs[i] = zlib.crc32(got[max(0, first[i] - at) : end[i] - at], crcs[i])
+                    at += len(got)
+                    lo = int(np.searchsorted(end, at, side="right"))
+                yield from pa.table({"doc_id": file.index.column("doc_id"), "start": first + base, "n_tokens": n, "ids_crc32": np.array(crcs, np.int64)}).combine_chunks().to_batches()
 
     frame = spark.createDataFrame([(p.path, p.offset) for p in parts], "path string, offset long").repartition(max(1, len(parts)))
     return frame.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")

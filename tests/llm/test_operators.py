@@ -217,6 +217,7 @@ def test_token_files(spark, docs, tmp_path):
     part = write_tokens(docs, path, f"file:{tmp_path}/t", length=64, rows=4).first()
     file = TokenFile(part.path)
     tokens, mask = file.sequence(0)
+    assert not tokens.flags.owndata and not mask.flags.owndata and mask.dtype == bool and not mask.flags.writeable
     assert len(tokens) == 64 and (file.tokens(0, 30) == tokens[mask][:30]).all()
     assert token_digests(docs.limit(0), path).count() == 0
 
@@ -407,3 +408,23 @@ def test_character_references(spark):
     stay = "&bogus; &#0; &#xD800; &#9999999;"
     one = spark.createDataFrame([(f"<p>{stay} a&nbsp;&#160;b</p>",)], "t string").select(plain_text(F.col("t"))).first()[0]
     assert one == stay + " a b"
+
+
+def test_very_long_texts_are_encoded_in_parts(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from airgrid.llm.token_files import PART, parts
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["Word", "x,y", "né", "it's", "", "<|x", "12.5", "a\u0301"]) for _ in range(60_000)) + "b" * 70_000 + " tail"
+    assert " ".join(parts(long)) == long and max(map(len, parts("ab " * 90_000))) < PART + 10 and parts("") == [""]
+    rows = [(2, long), (1, "before"), (3, None), (3, None), (4, "c" * 200_000)]
+    got = sorted(map(tuple, token_digests(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(1)).repartition(2), P.path("word_bpe_49k.json"), length=64, rows=4).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    at, want = 0, []
+    for i, x in sorted(rows, key=lambda r: r[0]):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
