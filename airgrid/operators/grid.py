@@ -2,12 +2,11 @@
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine
+from .match import candidates
 from .tiles import cooccurrence as cooccurrence
 
 
@@ -55,45 +54,17 @@ def knn_idw(points: DataFrame, stations: DataFrame, m: int = 10, block: int = 81
     A station on the point gives its own value.  Ties by station id.  Points without a place get nulls, stations without one
     are left out.
 
-    Both sides are cut into blocks of about ``block`` rows.  A task holds one block of each and keeps m stations for each
-    point; the blocks' winners are merged by point.
+    Places are points of the unit sphere, where chords grow with the distance; for how blocks of both sides meet see
+    ``candidates``.  Of stations whose chords are equal but for rounding all are candidates, and the distance decides.
     """
-    placed = stations.filter("lon is not null and lat is not null").select("station", F.col("lon").cast("double").alias("slon"), F.col("lat").cast("double").alias("slat"), "value")
-    known = points.filter("lon is not null and lat is not null").select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    parts, blocks = (max(1, -(-df.count() // block)) for df in (known, placed))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def one(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    left = known.select("*", one("id", parts).alias("part"), every(blocks).alias("block"))
-    right = placed.select("*", one("station", blocks).alias("block"), every(parts).alias("part"))
-
-    def near(p: pa.Table, q: pa.Table) -> pa.Table:
-        q = q.sort_by("station")
-        x, y = (np.radians(p[c].to_numpy()) for c in ("lon", "lat"))
-        sx, sy = (np.radians(q[c].to_numpy()) for c in ("slon", "slat"))
-        at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(x) if len(sx) else 0, 64):
-            a, b = x[lo : lo + 64, None], y[lo : lo + 64, None]
-            d = np.sin((sy - b) / 2) ** 2 + np.cos(b) * np.cos(sy) * np.sin((sx - a) / 2) ** 2
-            kth = np.partition(d, min(m, len(sx)) - 1, axis=1)[:, min(m, len(sx)) - 1]
-            r, c = np.nonzero(d <= kth[:, None])
-            order = np.lexsort((c, d[r, c], r))
-            r, c = r[order], c[order]
-            first = np.searchsorted(r, np.arange(len(d)))
-            won = np.arange(len(r)) - first[r] < m
-            r, c = r[won], c[won]
-            at.append(lo + r)
-            who.append(c)
-        at, who = np.concatenate(at), np.concatenate(who)
-        p, q = p.take(pa.array(at)), q.take(pa.array(who))
-        return pa.table({c: t[c] for t, names in ((p, ("id", "lon", "lat")), (q, ("station", "slon", "slat", "value"))) for c in names})
-
-    fields = [*known.schema, *placed.schema]
-    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(near, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+    def placed(df: DataFrame, lon: str, lat: str, to: str) -> DataFrame:
+        x, y = (F.radians(F.col(c).cast("double")) for c in (lon, lat))
+        return df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn(to, F.array(F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)))
+
+    left = placed(points.select("id", "lon", "lat"), "lon", "lat", "x")
+    right = placed(stations.select("station", F.col("lon").alias("slon"), F.col("lat").alias("slat"), "value"), "slon", "slat", "y")
+    met = candidates(left, right, m, "id", "station", block, slack=1e-6)
     d = met.withColumn("d", haversine(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")))
     best = F.slice(F.array_sort(F.collect_list(F.struct("d", "station", "value"))), 1, m)
     g = d.groupBy("id").agg(best.alias("near"))

@@ -1,66 +1,158 @@
 """Descriptor matching, slope consensus and least-squares fits."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def blocks_of(a: DataFrame, b: DataFrame, block: int) -> tuple[int, int]:
-    """How many blocks of about ``block`` rows both tables make."""
-    left, right = (max(1, -(-df.count() // block)) for df in (a, b))
-    return left, right
-
-
-def spread(n: int) -> Column:
-    """A row for each of n blocks."""
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+from .lineage import cut
 
 
-def dealt(key: str, n: int) -> Column:
-    """The block of a key."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+#: Rows of b that divide space into cells, at most.
+PIVOTS = 256
 
 
-def nearest_rows(x: np.ndarray, y: np.ndarray, k: int, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, squared distance) of the k rows of y nearest to each of x; of equals the first in y."""
+def nearest_rows(x: np.ndarray, y: np.ndarray, k: int, digits: int | None = None, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the k rows of y nearest to each of x; of equals the first in y.  With ``slack`` also
+    all whose squared distance is at most the k-th's times 1 + ``slack``."""
     k, at, who, far = min(k, len(y)), [], [], []
     for lo in range(0, len(x) if k else 0, 16):
-        d = np.stack([((y - v) ** 2).sum(1) for v in x[lo : lo + 16]])
+        d = ((x[lo : lo + 16, None] - y) ** 2).sum(2)
         d = d if digits is None else np.round(d, digits)
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + slack)
         r, c = np.nonzero(d <= kth)
         order = np.lexsort((c, d[r, c], r))
         r, c = r[order], c[order]
-        won = np.arange(len(r)) - np.searchsorted(r, np.arange(len(d)))[r] < k
+        won = (np.arange(len(r)) - np.searchsorted(r, np.arange(len(d)))[r] < k) | (slack > 0)
         at.append(lo + r[won])
         who.append(c[won])
         far.append(d[r[won], c[won]])
     return (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((at, int), (who, int), (far, float)))
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
+
+
+def _fields(df: DataFrame, *without: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
+def _celled(b: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``b`` with the cell of its nearest pivot, and how far that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _distances(matrix(batch.column("y")), pivots) if batch.num_rows else np.zeros((0, 1))
+            cell = d.argmin(1) if len(d) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*batch.schema.names, "cell", "far"])
+
+    return b.mapInArrow(run, _fields(b) + ", cell int, far double")
+
+
+def _reaching(a: DataFrame, pivots: np.ndarray, number: np.ndarray, radius: np.ndarray, k: int, digits: int | None, slack: float) -> DataFrame:
+    """``a`` with the cells to go to.  Without a column kth that is the cell of the nearest pivot; with it (the squared k-th distance
+    found there, or null) all others that can hold one of the k nearest: cells are as far as their pivots, more or less their
+    radius, and the nearest of them that surely hold k rows bound the k-th distance too."""
+    rough = 0.0 if digits is None else 2 * 10.0**-digits
+    again = "kth" in a.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.arange(batch.num_rows)
+            d = _distances(matrix(batch.column("x")), pivots) if len(rows) else np.zeros((0, len(pivots)))
+            own = np.where(number > 0, d, np.inf).argmin(1)
+            if again:
+                order = np.argsort(d + radius, axis=1)
+                last = (np.cumsum(number[order], axis=1) >= k).argmax(1)
+                most = (d + radius)[rows, order[rows, last]] if number.sum() >= k else np.full(len(rows), np.inf)
+                kth = batch.column("kth").to_numpy(zero_copy_only=False)
+                most = np.fmin(most, np.sqrt(kth))
+                need = (d - radius <= (np.sqrt(most**2 * (1 + slack) + rough) * (1 + 1e-9))[:, None]) & (number > 0)
+                need[rows, own] = False
+            else:
+                need = np.zeros(d.shape, bool)
+                need[rows, own] = True
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(need.sum(1))].astype(np.int32)), pa.array(np.nonzero(need)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
+
+    return a.mapInArrow(run, _fields(a) + ", cells array<int>").drop("kth")
+
+
+def candidates(a: DataFrame, b: DataFrame, k: int, key: str, tie: str, block: int = 4096, digits: int | None = None, slack: float = 0.0) -> DataFrame:
+    """Pairs among which are, for each row of ``a`` (x and other columns, ``key`` among them), the k rows of ``b`` (y and other
+    columns) at the least Euclidean distance, ties by ``tie``: the other columns of both and d2, the squared distance (rounded
+    to ``digits``).
+
+    Some rows of ``b`` are pivots and divide it into cells.  A row of ``a`` meets the cell of its nearest pivot, then those cells that
+    can hold something as near as the k-th found there; only where distances tell nothing (many dimensions) these are all.
+    A task holds one block of about ``block`` rows of each side.  Vectors must be of one length and without nulls."""
+    total = b.count()
+    n = min(PIVOTS, -(-total // block))
+    if n <= 1:
+        return _met(a.withColumn("cells", F.array(F.lit(0))), b.withColumn("cell", F.lit(0)), np.array([total]), k, key, tie, block, digits, slack)
+    some = matrix(pa.chunked_array([pa.array([r.y for r in b.select("y", tie).orderBy(F.xxhash64(tie), tie).limit(2 * n).collect()])]))
+    pivots = some[np.sort(np.unique(some, axis=0, return_index=True)[1])[:n]]
+    right = cut(_celled(b, pivots))
+    number, radius = np.zeros(len(pivots), int), np.zeros(len(pivots))
+    for s in right.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect():
+        number[s.cell], radius[s.cell] = s.n, s.r
+    right = right.drop("far")
+    first = cut(_met(cut(_reaching(a, pivots, number, radius, k, digits, slack)), right, number, k, key, tie, block, digits, slack))
+    kth = first.groupBy(key).agg(F.get(F.array_sort(F.collect_list("d2")), k - 1).alias("kth"))
+    more = cut(_reaching(a.join(kth, key, "left"), pivots, number, radius, k, digits, slack).filter(F.size("cells") > 0))
+    return first.unionByName(_met(more, right, number, k, key, tie, block, digits, slack))
+
+
+def _met(left: DataFrame, right: DataFrame, number: np.ndarray, k: int, key: str, tie: str, block: int, digits: int | None, slack: float) -> DataFrame:
+    """The k nearest in each block that rows with ``cells`` meet; ``number``: rows of each cell."""
+    mine, theirs = [c for c in left.columns if c not in ("x", "cells")], [c for c in right.columns if c not in ("y", "cell")]
+    fields = f"{_fields(left, 'x', 'cells')}, {_fields(right, 'y', 'cell')}, d2 double"
+    left = left.withColumn("cell", F.explode("cells")).drop("cells")
+    rows = {r.cell: r["count"] for r in left.groupBy("cell").count().collect()}
+
+    def blocks(sizes: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for c in range(len(number)) for v in (c, max(1, -(-sizes.get(c, 0) // block)))]), F.col("cell"))
+
+    of_a, of_b = blocks(rows), blocks(dict(enumerate(number.tolist())))
+
+    def dealt(by: str, count: Column) -> Column:
+        return F.pmod(F.xxhash64(by), count).cast("int")
+
+    def every(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    groups = ["cell", "part", "sub"]
+    left = left.withColumn("part", dealt(key, of_a)).withColumn("sub", every(of_b))
+    right = right.withColumn("sub", dealt(tie, of_b)).withColumn("part", every(of_a))
+
+    def near(p: pa.Table, q: pa.Table) -> pa.Table:
+        q = q.sort_by(tie)
+        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["y"]), k, digits, slack) if len(p) and len(q) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        found = {c: t[c].take(pa.array(i)) for t, names, i in ((p, mine, at), (q, theirs, who)) for c in names}
+        return pa.table(found | {"d2": d2})
+
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(near, fields)
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors as the rows of a matrix."""
     return np.array(column.to_pylist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, block: int = 4096) -> DataFrame:
-    """(i, j, d): for vectors (id, x) of ``a`` the nearest of ``b`` where it beats ``ratio`` times the second nearest.
-
-    Both are cut into blocks of about ``block`` rows; each block of ``a`` meets each of ``b`` once and keeps its two nearest
-    there, and the blocks' two nearest are merged.  No task holds more than one block of each.
-    """
-    parts, blocks = blocks_of(a, b, block)
-    left = a.select("id", "x", spread(blocks).alias("block"), dealt("id", parts).alias("part"))
-    right = b.select("id", "x", dealt("id", blocks).alias("block"), spread(parts).alias("part"))
+def known(x: str) -> Column:
+    """Whether a vector is there in full."""
+    return F.coalesce(F.forall(x, lambda v: v.isNotNull()), F.lit(False))
 
-    def near(p: pa.Table, q: pa.Table) -> pa.Table:
-        q = q.sort_by("id")
-        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["x"]), 2)
-        return pa.table({"i": p["id"].take(pa.array(at)), "j": q["id"].take(pa.array(who)), "d": np.sqrt(d2)})
 
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near, "i long, j long, d double")
-    best = met.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, 2).alias("n"))
+def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, block: int = 4096) -> DataFrame:
+    """(i, j, d): for vectors (id, x) of ``a`` the nearest of ``b`` where it beats ``ratio`` times the second nearest.  Vectors with
+    nulls match nothing.  For how blocks meet see ``candidates``."""
+    left, right = a.filter(known("x")).select(F.col("id").alias("i"), "x"), b.filter(known("x")).select(F.col("id").alias("j"), F.col("x").alias("y"))
+    met = candidates(left, right, 2, "i", "j", block)
+    best = met.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "j"))), 1, 2).alias("n"))
     return best.filter((F.size("n") == 2) & (F.expr("n[0].d") < ratio * F.expr("n[1].d"))).select("i", F.expr("n[0].j").alias("j"), F.expr("n[0].d").alias("d"))
 
 

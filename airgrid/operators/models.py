@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .match import blocks_of, dealt, matrix, nearest_rows, spread
+from .match import candidates, known
 
 
 def _over(features: list[str], learner: Estimator) -> Pipeline:
@@ -82,25 +82,13 @@ def search_random(df: DataFrame, features: list[str], label: str, ranges: dict[s
 
 def knn_regress(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """(id, prediction): mean y of the k rows of ``train`` (id, x, y) nearest to each of ``test`` (id, x), ties by id.
-    Test rows with a null feature have a null prediction; such training rows are left out.
-
-    Both sides are cut into blocks of about ``block`` rows; a task holds one block of each and keeps k rows for each test row.
-    """
-    whole = F.coalesce(F.forall("x", lambda v: v.isNotNull()), F.lit(False))
-    lost = test.filter(~whole).select("id", F.lit(None).cast("double").alias("prediction"))
-    test, train = test.filter(whole), train.filter(whole)
-    parts, blocks = blocks_of(test, train, block)
-    left = test.select("id", "x", spread(blocks).alias("block"), dealt("id", parts).alias("part"))
-    right = train.select(F.col("id").alias("at"), F.col("x").alias("w"), "y", dealt("id", blocks).alias("block"), spread(parts).alias("part"))
-
-    def near(p: pa.Table, q: pa.Table) -> pa.Table:
-        q = q.sort_by("at")
-        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["w"]), k, 9)
-        return pa.table({"id": p["id"].take(pa.array(at)), "d": d2, "at": q["at"].take(pa.array(who)), "y": q["y"].take(pa.array(who))})
-
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near, "id long, d double, at long, y double")
-    best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "at", "y"))), 1, k).alias("n"))
-    return best.select("id", F.expr("aggregate(n, 0D, (a, e) -> a + e.y) / size(n)").alias("prediction")).union(lost)
+    Test rows with a null feature have a null prediction; such training rows are left out.  For how blocks meet see ``candidates``."""
+    lost = test.filter(~known("x")).select("id", F.lit(None).cast("double").alias("prediction"))
+    left = test.filter(known("x")).select("id", "x")
+    right = train.filter(known("x")).select(F.col("id").alias("at"), F.col("x").alias("y"), F.col("y").alias("value"))
+    met = candidates(left, right, k, "id", "at", block, digits=9)
+    best = met.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "at", "value"))), 1, k).alias("n"))
+    return best.select("id", F.expr("aggregate(n, 0D, (a, e) -> a + e.value) / size(n)").alias("prediction")).union(lost)
 
 
 def mlp_score(df: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], features: list[str], key: str) -> DataFrame:

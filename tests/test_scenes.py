@@ -245,3 +245,32 @@ def test_names(spark):
 def test_cells_of_tiles(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0, None, 4.0, 5.0, 6.0]), (2, None), (3, [])], "scene int, data array<double>")
     assert {(q.scene, q.r, q.c): q.v for q in tile_to_pixels(d, 3).collect()} == {(1, 0, 0): 1, (1, 0, 1): 2, (1, 0, 2): None, (1, 1, 0): 4, (1, 1, 1): 5, (1, 1, 2): 6}
+
+
+@pytest.mark.parametrize("n,dims,k", [(700, 2, 5), (300, 8, 1), (90, 3, 120)])
+def test_candidates_hold_the_nearest(spark, n, dims, k):
+    from airgrid.operators.match import candidates
+
+    rng = np.random.default_rng(n)
+    a, b = np.round(rng.normal(size=(50, dims)), 2), np.round(rng.normal(size=(n, dims)) * rng.choice([0.1, 1, 3], n)[:, None], 2)
+    b[: n // 3] = b[0]  # a third in one place
+    left = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "i long, x array<double>").repartition(3)
+    right = spark.createDataFrame([(j, y.tolist(), f"v{j}") for j, y in enumerate(b)], "j long, y array<double>, name string").repartition(3)
+    got = candidates(left, right, k, "i", "j", 20, digits=9).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.i].append((r.d2, r.j, r.name))
+    for i, x in enumerate(a):
+        d = np.round(((b - x) ** 2).sum(1), 9)
+        want = sorted((d[j], j, f"v{j}") for j in range(n))[:k]
+        assert sorted(by[i])[:k] == [(pytest.approx(q), j, v) for q, j, v in want]
+    assert candidates(left, right.limit(0), k, "i", "j").count() == candidates(left.limit(0), right, k, "i", "j", 20).count() == 0
+
+
+def test_most_blocks_never_meet(spark):
+    from airgrid.operators.match import candidates
+
+    rng = np.random.default_rng(1)
+    left = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.uniform(size=(40, 2)))], "i long, x array<double>").repartition(3)
+    right = spark.createDataFrame([(j, y.tolist()) for j, y in enumerate(rng.uniform(size=(2000, 2)))], "j long, y array<double>").repartition(3)
+    assert candidates(left, right, 3, "i", "j", 20).count() < 40 * 100 * 3 / 5
