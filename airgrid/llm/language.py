@@ -127,6 +127,7 @@ def identify(pages: DataFrame, docs: DataFrame, temper: float = 0.1, smooth: flo
     for lo in range(0, n, most):
         held, read = read, stage(_likelihoods(read, text_model(counts, langs[lo : lo + most]), temper, lo + most >= n))
         release(held)
+    release(counts)
 
     whole = [0.0] * n
     for r in read.select(F.posexplode("p").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect():
