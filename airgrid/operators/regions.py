@@ -72,7 +72,8 @@ def idw_fill(pixels: DataFrame, k: int = 8, power: float = 2.0, reach: int = 3)
         last = side >= extent
         if not last:
             met = met.filter(F.col("d2") < (side + 1) ** 2)
-        found = met.groupBy(*PIXEL).agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "sr", "sc", "v"))), 1, k).alias("near"))
+        place = F.row_number().over(Window.partitionBy(*PIXEL).orderBy("d2", "sr", "sc"))  # k of each part, then k of these: no group is gathered
+        found = met.withColumn("place", place).filter(F.col("place") <= k).groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct("d2", "sr", "sc", "v"))).alias("near"))
         found = cut(found if last else found.filter(F.size("near") >= k))
         filled = found if filled is None else filled.union(found)
         if last:
