@@ -428,3 +428,37 @@ def test_very_long_texts_are_encoded_in_parts(spark):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+
+
+def test_symbols_lines_and_the_verdict(spark, docs):
+    rng = random.Random(12)
+    lines = ["", "  ", "a # b", "$%&|<>*", "same line", "same line ", "other"]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(12)))) for i in range(60)]
+    body = [f"u{i}" for i in range(700)]
+    rows += [(100, " ".join(body[:60] + body)), (101, " ".join(body[:50] + body)), (102, " ".join(body + ["x"] * 71)), (103, " ".join(body + ["x"] * 100)), (104, None)]
+    got = {r.doc_id: r for r in judge_repetition(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit(1), "kept": F.lit("x")}).repartition(3)).collect()}
+    for i, t in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        most = max(50, len(w) // 10)
+        long = collections.Counter(tuple(w[a : a + most + 1]) for a in range(len(w) - most))
+        assert (got[i].n_symbols, got[i].n_dup_lines) == (sum(c in "#*$%&|<>" for c in t), dup)
+        assert got[i].kept == (not got[i].base_failed and not any(n > 1 for n in long.values()))
+    assert not got[103].kept and not got[103].base_failed and got[101].kept
+
+
+def test_pages_and_labels_with_clashing_columns(spark):
+    p = spark.createDataFrame([(i, f"http://h{i % 2}.org/{i}", i % 2) for i in range(200)] + [(500, None, None), (500, None, None)], "page_id int, url string, outcome int")
+    odd = p.withColumns({c: F.lit("clash") for c in ("bad", "rule", "action", "host", "path", "lower", "rate", "domain", "suffix", "n", "k", "m")})
+    plain, clash = (collections.Counter(map(tuple, judge_urls(d, [("block", "h0.org", "/4")], F.col("outcome")).select("page_id", "host", "path", "rule", "verdict").collect())) for d in (p, odd))
+    assert plain == clash and sum(plain.values()) == 202
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30)) + (" vile" if i % 3 == 0 else ""), i % 3 == 0) for i in range(90)], "doc_id long, text string, bad boolean")
+    labels = d.select("doc_id", F.col("bad").cast("int").alias("toxic"))
+    more = labels.withColumns({c: F.lit("clash") for c in ("text", "held_out", "score", "predicted", "lang")})
+    a, b = (fit(d.select("doc_id", "text"), x) for x in (labels, more))
+    assert a.scale == b.scale and all((a.p[k] == b.p[k]).all() for k in a.p)
