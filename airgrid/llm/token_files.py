@@ -1,7 +1,7 @@
 """Token ids in Arrow files: equal-length sequences and masks that can be mapped and read at random.
 
 Texts are ranged by id, so part k holds the ids of a run of documents in order.  A part is an Arrow file (the stream format
-with a footer): batches of fixed-size lists ``tokens`` (16 or 32 bits unsigned, by the vocabulary) and ``mask`` (a byte each), uncompressed
+with a footer): batches of fixed-size lists ``tokens`` (16 or 32 bits unsigned, by the vocabulary) and ``mask`` (a bit each), uncompressed
 and of one size, so that row r is at a known offset of the mapped file.  The last sequence of a part is padded; its mask says
 where.  A second file holds the documents of the part: id, first token and number of tokens.
 """
@@ -204,12 +204,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, sink = TaskContext.get().partitionId(), None, None
-        kind = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))], {"dtype": np.dtype(dtype).name})
+        kind = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))], {"dtype": np.dtype(dtype).name})
         ids, counts, left, total = [], [], np.zeros(0, dtype), 0
         fs, base = _located(folder)
 
         def put(flat: np.ndarray, valid: int) -> None:
-            mask = (np.arange(len(flat)) < valid).view(np.uint8)
+            mask = np.arange(len(flat)) < valid
             sink.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, mask)], schema=kind))
 
         for batch in batches:
@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 
 class TokenFile:
-    """Random access to one part: ``sequence(r)`` gives views of row r, ``tokens(a, b)`` ids a to b of the part's documents."""
+    """Random access to one part: ``sequence(r)`` gives row r, its ids as a view and its mask unpacked, ``tokens(a, b)`` ids a to b of the part's documents."""
 
     def __init__(self, path: str):
         fs, name = _located(path)
@@ -266,8 +266,13 @@ class TokenFile:
 
     def batch(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         got = self.reader.get_batch(b)
-        tokens, mask = (got.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in ("tokens", "mask"))
-        return tokens, mask.view(bool)
+        tokens = got.column("tokens").flatten().to_numpy(zero_copy_only=True)
+        return tokens.reshape(-1, self.length), got.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.length)
+
+    def mask_bits(self, b: int) -> np.ndarray:
+        """The masks of batch ``b`` as they lie in the file, eight to a byte from the lowest bit: a view, as ids are."""
+        held = self.reader.get_batch(b).column("mask").flatten()
+        return np.frombuffer(held.buffers()[1], np.uint8)[: -(-len(held) // 8)]
 
     def sequence(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         tokens, mask = self.batch(r // self.rows)

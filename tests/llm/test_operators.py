@@ -217,7 +217,9 @@ def test_token_files(spark, docs, tmp_path):
     part = write_tokens(docs, path, f"file:{tmp_path}/t", length=64, rows=4).first()
     file = TokenFile(part.path)
     tokens, mask = file.sequence(0)
-    assert not tokens.flags.owndata and not mask.flags.owndata and mask.dtype == bool and not mask.flags.writeable
+    bits = file.mask_bits(0)
+    assert not any(x.flags.owndata or x.flags.writeable for x in (tokens, bits))
+    assert (np.unpackbits(bits, bitorder="little")[: file.batch(0)[1].size].astype(bool) == file.batch(0)[1].ravel()).all()
     assert len(tokens) == 64 and (file.tokens(0, 30) == tokens[mask][:30]).all()
     assert token_digests(docs.limit(0), path).count() == 0
 
