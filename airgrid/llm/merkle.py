@@ -26,7 +26,9 @@ from .scratch import release, stage
 FANOUT = 16
 #: Runs of leaves that meet one copy of a node, and copies of a node at most.
 RUNS_A_COPY, MOST_COPIES = 16, 1 << 16
-_LIMIT = "spark.sql.cteRecursionRowLimit"
+#: While a recursive query runs: no limit of rows, of which there is one for each run of leaves and level; and partitions as many as
+#: the session shuffles to, since the whole result goes into as many as the last, empty level has.
+RECURSION = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
 def leaf_digest(*values: Column) -> Column:
@@ -145,14 +147,15 @@ def _by_number(a: Column, b: Column) -> Column:
 
 
 @contextlib.contextmanager
-def _unlimited(spark: SparkSession) -> Iterator[None]:
-    """Recursive queries without a limit of rows: one row for each run of leaves and level."""
-    before = spark.conf.get(_LIMIT)
-    spark.conf.set(_LIMIT, "-1")
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_LIMIT, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def climb(nodes: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def climb(nodes: DataFrame) -> DataFrame:
             concat(c.siblings, {_others("p.children", "c.pos")}) as siblings, if(startswith(p.node, 'top/'), c.subroot, p.digest) as subroot, p.digest
           from climb c join {name}_nodes p on p.node = c.parent and p.copy = pmod(xxhash64(c.run), c.parent_copies))
         select run, folded, siblings, subroot, digest as root from climb where parent is null""")
-    with _unlimited(spark):
+    with _settings(spark, RECURSION):
         out = stage(found)
     for view in ("runs", "nodes"):
         spark.catalog.dropTempView(f"{name}_{view}")
