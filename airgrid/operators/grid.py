@@ -49,10 +49,10 @@ def match_window(passes: DataFrame, obs: DataFrame, pad_hours: int = 2) -> DataF
     return passes.join(hit, "pass_id", "left").select("pass_id", "site", F.coalesce("v", F.lit(0.0)).alias("value"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def knn_idw(points: DataFrame, stations: DataFrame, m: int = 10, block: int = 8192) -> DataFrame:
+def knn_idw(points: DataFrame, stations: DataFrame, m: int = 10, block: int = 8192, own: Column | None = None) -> DataFrame:
     """id, ps, ps_dist for points (id, lon, lat): inverse-square mean of the m nearest stations (value) and the least distance.
     A station on the point gives its own value.  Ties by station id.  Points without a place get nulls, stations without one
-    are left out.
+    are left out.  ``own`` (of id) names a station that isn't a point's neighbour; a point without another one has no row.
 
     Places are points of the unit sphere, where chords grow with the distance; for how blocks of both sides meet see
     ``candidates``.  Of stations whose chords are equal but for rounding all are candidates, and the distance decides.
@@ -64,7 +64,8 @@ def knn_idw(points: DataFrame, stations: DataFrame, m: int = 10, block: int = 81
 
     left = placed(points.select("id", "lon", "lat"), "lon", "lat", "x")
     right = placed(stations.select("station", F.col("lon").alias("slon"), F.col("lat").alias("slat"), "value"), "slon", "slat", "y")
-    met = candidates(left, right, m, "id", "station", block, slack=1e-6)
+    met = candidates(left, right, m if own is None else m + 1, "id", "station", block, slack=1e-6)
+    met = met if own is None else met.filter(~F.col("station").eqNullSafe(own))
     d = met.withColumn("d", haversine(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")))
     best = F.slice(F.array_sort(F.collect_list(F.struct("d", "station", "value"))), 1, m)
     g = d.groupBy("id").agg(best.alias("near"))

@@ -42,7 +42,7 @@ def _(spark, d):
     return _cells(x.resample(b.tiles(spark, d), 0.5, 0.5, "cubic"))
 
 
-@query("e6_gap_fill", f"{_HOLES}, g as materialized (select * from h), z as (select scene, r, c from g where v is null), k as (select scene, r, c, v from g where v is not null), n as (select z.scene, z.r, z.c, k.v, (z.r - k.r) ** 2 + (z.c - k.c) ** 2 d2, row_number() over (partition by z.scene, z.r, z.c order by (z.r - k.r) ** 2 + (z.c - k.c) ** 2, k.r, k.c) i from z join k on k.scene = z.scene), f as (select scene, r, c, sum(v / d2) / sum(1 / d2) fill from n where i <= 8 group by 1, 2, 3) select g.scene, g.r, g.c, round(coalesce(g.v, fill), 6) v from g left join f on f.scene = g.scene and f.r = g.r and f.c = g.c")
+@query("e6_gap_fill", f"{_HOLES}, n as (select z.scene, z.r, z.c, list_sort(list(struct_pack(d2 := (z.r - k.r) ** 2 + (z.c - k.c) ** 2, kr := k.r, kc := k.c, v := k.v)))[1:8] near from h z join h k on k.scene = z.scene where z.v is null and k.v is not null group by 1, 2, 3), u as (select scene, r, c, unnest(near) e from n), f as (select scene, r, c, sum(e.v / e.d2) / sum(1 / e.d2) fill from u group by 1, 2, 3) select h.scene, h.r, h.c, round(coalesce(h.v, fill), 6) v from h left join f on f.scene = h.scene and f.r = h.r and f.c = h.c")
 def _(spark, d):
     return _cells(x.idw_fill(_holes(spark, d)))
 
