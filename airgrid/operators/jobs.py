@@ -9,6 +9,7 @@ from ..functions.scalars import geo_to_index, pixel_to_geo
 from . import grid as g
 from . import prediction as p
 from . import regions as x
+from .lineage import cut
 
 
 def training_table(readings: DataFrame, stations: DataFrame, pixels: DataFrame, scenes: DataFrame, days: DataFrame, bands: list[str], min_rows: int = 21, m: int = 10, folds: int = 10, unseen: int = 0) -> DataFrame:
@@ -63,7 +64,7 @@ def daily_map(values: DataFrame, winds: DataFrame, transform: p.Transform, coars
 def segment_classes(pixels: DataFrame, classify: Callable[[str], Column], step: int, compactness: float = 10.0, iterations: int = 10) -> DataFrame:
     """(scene, r, c, class): each cell gets its superpixel's class, ``classify`` of the superpixel's mean (rounded to 9 digits); cells
     without a value belong to none and get 0."""
-    segments = x.superpixels(pixels, step, compactness, iterations)
+    segments = cut(x.superpixels(pixels, step, compactness, iterations))
     stats = p.zonal_statistics(segments, ["scene", "sr", "sc"], {"v": F.col("v")})
     classes = stats.select("scene", "sr", "sc", classify(F.round("v_mean", 9)).alias("class"))
     painted = segments.join(classes, ["scene", "sr", "sc"]).select("scene", "r", "c", "class")

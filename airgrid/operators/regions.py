@@ -202,10 +202,15 @@ def superpixels(pixels: DataFrame, step: int, compactness: float = 10.0, iterati
     now = base
     for turn in range(iterations):
         centre = now.groupBy("scene", "sr", "sc").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"), F.avg("v").alias("mv"))
-        seen = base.select(*PIXEL, "v", "sr", "sc").withColumn("dr", F.explode(_near(1))).withColumn("dc", F.explode(_near(1)))
-        seen = seen.select(*PIXEL, "v", (F.col("sr") + F.col("dr")).alias("sr"), (F.col("sc") + F.col("dc")).alias("sc")).join(centre, ["scene", "sr", "sc"])
-        d = F.pow(F.col("v") - F.col("mv"), 2) + weight * (F.pow(F.col("r") - F.col("mr"), 2) + F.pow(F.col("c") - F.col("mc"), 2))
-        best = seen.groupBy(*PIXEL, "v").agg(F.min(F.struct(F.round(d, 9).alias("d"), "sr", "sc")).alias("k"))
+        # a seed cell gets the nine centres about it, so cells travel once and not nine times
+        own = centre.withColumn("dr", F.explode(_near(1))).withColumn("dc", F.explode(_near(1))).select("scene", (F.col("sr") + F.col("dr")).alias("hr"), (F.col("sc") + F.col("dc")).alias("hc"), F.struct("sr", "sc", "mr", "mc", "mv").alias("e"))
+        near = own.groupBy("scene", "hr", "hc").agg(F.collect_list("e").alias("near")).select("scene", F.col("hr").alias("sr"), F.col("hc").alias("sc"), "near")
+
+        def far(e: Column) -> Column:
+            d = F.pow(F.col("v") - e["mv"], 2) + weight * (F.pow(F.col("r") - e["mr"], 2) + F.pow(F.col("c") - e["mc"], 2))
+            return F.struct(F.round(d, 9).alias("d"), e["sr"].alias("sr"), e["sc"].alias("sc"))
+
+        best = base.join(near, ["scene", "sr", "sc"]).select(*PIXEL, "v", F.array_min(F.transform("near", far)).alias("k"))
         now = best.select(*PIXEL, "v", "k.sr", "k.sc")
         if turn % 5 == 4:
             now = cut(now)
