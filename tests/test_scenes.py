@@ -274,3 +274,14 @@ def test_most_blocks_never_meet(spark):
     left = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.uniform(size=(40, 2)))], "i long, x array<double>").repartition(3)
     right = spark.createDataFrame([(j, y.tolist()) for j, y in enumerate(rng.uniform(size=(2000, 2)))], "j long, y array<double>").repartition(3)
     assert candidates(left, right, 3, "i", "j", 20).count() < 40 * 100 * 3 / 5
+
+
+def test_level_pairs_of_many_scenes_are_counted_together(spark, monkeypatch):
+    """Several angles in one pass equal those one by one, and no group of Python rows is a single tile's."""
+    rng = np.random.default_rng(8)
+    d = spark.createDataFrame([(k, r, c, float(rng.integers(0, 9))) for k in range(60) for r in range(7 + k % 2) for c in range(9)], "scene int, r int, c int, v double")
+    pairs = {"a": (1, 45), "b": (2, 90)}
+    got = t.cooccurrences(d, 4, 3, pairs, tile=5)
+    assert "FlatMapGroupsInArrow" not in got._jdf.queryExecution().toString()
+    both = sorted(map(tuple, got.collect()))
+    assert both == sorted((name, *q) for name, (distance, angle) in pairs.items() for q in t.cooccurrence(d, 4, 3, distance, angle, 64).collect())
