@@ -139,3 +139,27 @@ def test_registered_models_have_the_operators_sizes(spark, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             e.queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == [(n, {}) for n in ("forest_regressor", "forest_classifier", "boosted_trees", "bagged_trees")]
+
+
+def test_resampling_joins_no_taps(spark):
+    rng = np.random.default_rng(2)
+    cells = [(k, r, c, None if rng.random() < 0.3 else float(rng.normal())) for k in range(3) for r in range(11) for c in range(7 + k)]
+    d = spark.createDataFrame(cells, SCHEMA)
+    at = {(k, r, c): v for k, r, c, v in cells}
+
+    def weights(x, method):
+        low = int(np.floor(x))
+        if method == "bilinear":
+            return [(low + k, 1 - abs(x - low - k)) for k in (0, 1)]
+        return [(a, 1.5 * e**3 - 2.5 * e**2 + 1 if e <= 1 else -0.5 * e**3 + 2.5 * e**2 - 4 * e + 2) for a in range(low - 1, low + 3) for e in [abs(x - a)]]
+
+    for method in ("bilinear", "cubic"):
+        for dy, dx in ((0.5, 0.4), (2.5, 1.0)):
+            got = x.resample(d, dy, dx, method, tile=4)
+            assert "Join" not in got._jdf.queryExecution().toString()
+            got = {(q.scene, q.r, q.c): q.v for q in got.collect()}
+            assert got == {(q.scene, q.r, q.c): q.v for q in x.resample(d, dy, dx, method).collect()} and len(got) == sum(round(11 / dy + 1e-9) * round((7 + k) / dx + 1e-9) for k in range(3))
+            for (k, r, c), v in got.items():
+                taps = [(wy * wx, at[k, y, z]) for y, wy in weights((r + 0.5) * dy - 0.5, method) for z, wx in weights((c + 0.5) * dx - 0.5, method) if at.get((k, y, z)) is not None]
+                used = sum(w for w, _ in taps)
+                assert v is None if abs(used) <= 1e-9 else v == pytest.approx(sum(w * a for w, a in taps) / used)
