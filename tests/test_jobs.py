@@ -151,3 +151,18 @@ def test_nearest_others(spark):
     got = {v.id: v.ps for v in g.knn_idw(points, s, 1, own=F.col("id")).collect()}
     assert got == {0: 1.0, 1: 0.0, 2: 1.0, 3: 4.0, 4: 9.0}
     assert g.knn_idw(points.limit(1), s.limit(1), 1, own=F.col("id")).count() == 0
+
+
+def test_stations_of_one_place_are_met_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(g, "candidates", lambda a, b, *x, _do=g.candidates, **kw: seen.append((a.count(), b.count())) or _do(a, b, *x, **kw))
+    rows = [(k, 80.0 + k % 5, 25.0 + k % 3, float(k)) for k in range(90)]
+    s = spark.createDataFrame(rows, "station long, lon double, lat double, value double")
+    points = s.select(F.col("station").alias("id"), (F.col("lon") + 0.1).alias("lon"), "lat")
+    for own in (None, F.col("id")):
+        got = {v.id: v.ps for v in g.knn_idw(points, s, 8, own=own).collect()}
+        assert len(got) == 90 and seen.pop() == (15, 15)
+        near = s.withColumnRenamed("lon", "slon").withColumnRenamed("lat", "slat").crossJoin(points).withColumn("d", g.haversine(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat"))).collect()
+        for k in range(0, 90, 7):
+            best = sorted((q.d, q.station, q.value) for q in near if q.id == k and (own is None or q.station != k))[:8]
+            assert got[k] == pytest.approx(sum(v / d**2 for d, _, v in best) / sum(1 / d**2 for d, _, _ in best))
