@@ -163,3 +163,15 @@ def test_resampling_joins_no_taps(spark):
                 taps = [(wy * wx, at[k, y, z]) for y, wy in weights((r + 0.5) * dy - 0.5, method) for z, wx in weights((c + 0.5) * dx - 0.5, method) if at.get((k, y, z)) is not None]
                 used = sum(w for w, _ in taps)
                 assert v is None if abs(used) <= 1e-9 else v == pytest.approx(sum(w * a for w, a in taps) / used)
+
+
+def test_small_scenes_go_through_all_rounds_in_one_batch(spark):
+    """As large ones do by joins and windows, which small ones no longer need."""
+    rng = np.random.default_rng(4)
+    cells = [(k, r, c, None if k % 2 and rng.random() < 0.2 else round(float(rng.normal()) + (c > 3), 3)) for k in range(4) for r in range(6 if k else 1) for c in range(7 + k)]
+    d = spark.createDataFrame(cells, SCHEMA)
+    for job in (lambda small: x.mrf_relabel(d, 2, 5, small=small), lambda small: x.mrf_relabel(d, 3, 4, mirror=False, small=small), lambda small: x.superpixels(d, 3, 0.5, 3, small=small), lambda small: x.connected_areas(d.filter("v > 0.4"), 0.5, small=small)):
+        few, both = job(1000), job(20)
+        assert "Window" not in few._jdf.queryExecution().toString() and "Join" not in few._jdf.queryExecution().toString()
+        assert few.schema.simpleString() == both.schema.simpleString()
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, both.collect()))
