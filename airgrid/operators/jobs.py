@@ -24,7 +24,7 @@ def training_table(readings: DataFrame, stations: DataFrame, pixels: DataFrame,
     first = g.first_per_key(readings.filter("value > 0").select("station", "ts", "value", "event_id"), ["station", "ts"], ["event_id"])
     truth = g.daily_station_mean(first, min_rows).select("station", "date", F.col("value").alias("y"))
     means = first.groupBy("station").agg(F.avg("value").alias("value"))
-    at = p.extract_at_points(pixels.select("scene", "r", "c", *bands), scenes, stations)
+    at = cut(p.extract_at_points(pixels.select("scene", "r", "c", *bands), scenes, stations))
     t = tuple(F.col(f"t{i}") for i in range(6))
     lon, lat = pixel_to_geo(t, F.col("r") + 0.5, F.col("c") + 0.5)
     # one place for each station and scene; the place's own station is left out of its neighbours
@@ -32,7 +32,7 @@ def training_table(readings: DataFrame, stations: DataFrame, pixels: DataFrame,
     known = stations.join(means, "station").select("station", "lon", "lat", "value")
     near = g.knn_idw(places, known, m, own=F.col("id.station")).select("id.station", "id.scene", "ps", "ps_dist")
     table = truth.join(days, "date").join(at.select("station", "scene", *bands), ["station", "scene"]).join(near, ["station", "scene"], "left")
-    table = table.withColumn("fold", g.fold(F.col("station"), folds))
+    table = cut(table.withColumn("fold", g.fold(F.col("station"), folds)))
     scaled = g.min_max(table, [*bands, "ps", "ps_dist"], F.col("fold") != unseen)
     return scaled.select("station", "date", "scene", "fold", "y", *bands, "ps", "ps_dist")
 
