@@ -1,5 +1,6 @@
 """Descriptor matching, slope consensus and least-squares fits."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,25 +12,52 @@ from .lineage import cut
 
 
 #: Rows of b that divide space into cells, at most.
-PIVOTS = 256
+PIVOTS = 1024
 
 
-def nearest_rows(x: np.ndarray, y: np.ndarray, k: int, digits: int | None = None, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_rows(x: np.ndarray, y: np.ndarray, k: int, digits: int | None = None, slack: float = 0.0, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, squared distance) of the k rows of y nearest to each of x; of equals the first in y.  With ``slack`` also
-    all whose squared distance is at most the k-th's times 1 + ``slack``."""
+    all whose squared distance is at most the k-th's times 1 + ``slack``.  Squared distances above a row's ``bound`` (NaN: none) aren't
+    wanted.
+
+    Products of matrices tell which pairs can be near, with what they may be wrong by; only these are measured."""
+    if not k or not len(x) or not len(y):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     k, at, who, far = min(k, len(y)), [], [], []
-    for lo in range(0, len(x) if k else 0, 16):
-        d = ((x[lo : lo + 16, None] - y) ** 2).sum(2)
-        d = d if digits is None else np.round(d, digits)
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + slack)
-        r, c = np.nonzero(d <= kth)
-        order = np.lexsort((c, d[r, c], r))
-        r, c = r[order], c[order]
-        won = (np.arange(len(r)) - np.searchsorted(r, np.arange(len(d)))[r] < k) | (slack > 0)
+    middle = y.mean(0)
+    a, b = x - middle, y - middle
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    wrong = 16 * (x.shape[1] + 2) * np.finfo(float).eps * (aa + bb.max()) + (0 if digits is None else 10.0**-digits)
+    sure = np.isfinite(wrong).all()
+    many = max(1, (1 << 21) // len(y)) if sure else 16
+    for lo in range(0, len(x), many):
+        part = slice(lo, lo + many)
+        if sure:
+            d = aa[part, None] + bb - 2 * (a[part] @ b.T)
+            most = np.full(len(d), np.nan) if bound is None else bound[part]
+            open_ = np.isnan(most)
+            if open_.any():
+                most = most.copy()
+                most[open_] = np.maximum(np.partition(d[open_], k - 1, axis=1)[:, k - 1], 0) + wrong[part][open_]
+            r, c = np.nonzero(d <= ((most + wrong[part]) * (1 + slack) + wrong[part])[:, None])
+            near = ((x[lo + r] - y[c]) ** 2).sum(1)
+            near = near if digits is None else np.round(near, digits)
+        else:
+            d = ((x[part, None] - y) ** 2).sum(2)
+            d = d if digits is None else np.round(d, digits)
+            r, c = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + slack))
+            near = d[r, c]
+        order = np.lexsort((c, near, r))
+        r, c, near = r[order], c[order], near[order]
+        first = np.searchsorted(r, np.arange(len(d)))
+        won = np.arange(len(r)) - first[r] < k
+        if slack:
+            kth = near[np.minimum(first + k, np.append(first[1:], len(r))) - 1] if len(r) else np.zeros(len(d))
+            won |= near <= kth[r] * (1 + slack)
         at.append(lo + r[won])
         who.append(c[won])
-        far.append(d[r[won], c[won]])
-    return (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((at, int), (who, int), (far, float)))
+        far.append(near[won])
+    return tuple(np.concatenate(z) for z in (at, who, far))
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -60,7 +88,7 @@ def _reaching(a: DataFrame, pivots: np.ndarray, number: np.ndarray, radius: np.n
     again = "kth" in a.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
             rows = np.arange(batch.num_rows)
             d = _distances(matrix(batch.column("x")), pivots) if len(rows) else np.zeros((0, len(pivots)))
             own = np.where(number > 0, d, np.inf).argmin(1)
@@ -78,7 +106,7 @@ def _reaching(a: DataFrame, pivots: np.ndarray, number: np.ndarray, radius: np.n
             cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(need.sum(1))].astype(np.int32)), pa.array(np.nonzero(need)[1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
-    return a.mapInArrow(run, _fields(a) + ", cells array<int>").drop("kth")
+    return a.mapInArrow(run, _fields(a) + ", cells array<int>")
 
 
 def candidates(a: DataFrame, b: DataFrame, k: int, key: str, tie: str, block: int = 4096, digits: int | None = None, slack: float = 0.0) -> DataFrame:
@@ -108,8 +136,8 @@ def candidates(a: DataFrame, b: DataFrame, k: int, key: str, tie: str, block: in
 
 def _met(left: DataFrame, right: DataFrame, number: np.ndarray, k: int, key: str, tie: str, block: int, digits: int | None, slack: float) -> DataFrame:
     """The k nearest in each block that rows with ``cells`` meet; ``number``: rows of each cell."""
-    mine, theirs = [c for c in left.columns if c not in ("x", "cells")], [c for c in right.columns if c not in ("y", "cell")]
-    fields = f"{_fields(left, 'x', 'cells')}, {_fields(right, 'y', 'cell')}, d2 double"
+    mine, theirs = [c for c in left.columns if c not in ("x", "cells", "kth")], [c for c in right.columns if c not in ("y", "cell")]
+    fields = f"{_fields(left, 'x', 'cells', 'kth')}, {_fields(right, 'y', 'cell')}, d2 double"
     left = left.withColumn("cell", F.explode("cells")).drop("cells")
     rows = {r.cell: r["count"] for r in left.groupBy("cell").count().collect()}
 
@@ -130,7 +158,7 @@ def _met(left: DataFrame, right: DataFrame, number: np.ndarray, k: int, key: str
 
     def near(p: pa.Table, q: pa.Table) -> pa.Table:
         q = q.sort_by(tie)
-        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["y"]), k, digits, slack) if len(p) and len(q) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        at, who, d2 = nearest_rows(matrix(p["x"]), matrix(q["y"]), k, digits, slack, p["kth"].to_numpy().astype(float) if "kth" in p.column_names else None) if len(p) and len(q) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         found = {c: t[c].take(pa.array(i)) for t, names, i in ((p, mine, at), (q, theirs, who)) for c in names}
         return pa.table(found | {"d2": d2})
 
@@ -139,7 +167,10 @@ def _met(left: DataFrame, right: DataFrame, number: np.ndarray, k: int, key: str
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors as the rows of a matrix."""
-    return np.array(column.to_pylist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    if not len(column):
+        return np.zeros((0, 1))
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(whole.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
 
 
 def known(x: str) -> Column:
@@ -147,10 +178,12 @@ def known(x: str) -> Column:
     return F.coalesce(F.forall(x, lambda v: v.isNotNull()), F.lit(False))
 
 
-def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, block: int = 4096) -> DataFrame:
+def ratio_match(a: DataFrame, b: DataFrame, ratio: float = 0.75, block: int | None = None) -> DataFrame:
     """(i, j, d): for vectors (id, x) of ``a`` the nearest of ``b`` where it beats ``ratio`` times the second nearest.  Vectors with
-    nulls match nothing.  For how blocks meet see ``candidates``."""
+    nulls match nothing.  For how blocks meet see ``candidates``; as all of them do where vectors are long, ``block`` grows with the
+    tables up to 65,536 rows, so that rows travel seldom."""
     left, right = a.filter(known("x")).select(F.col("id").alias("i"), "x"), b.filter(known("x")).select(F.col("id").alias("j"), F.col("x").alias("y"))
+    block = block or min(1 << 16, max(4096, math.isqrt(left.count() * right.count() // 64)))
     met = candidates(left, right, 2, "i", "j", block)
     best = met.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "j"))), 1, 2).alias("n"))
     return best.filter((F.size("n") == 2) & (F.expr("n[0].d") < ratio * F.expr("n[1].d"))).select("i", F.expr("n[0].j").alias("j"), F.expr("n[0].d").alias("d"))

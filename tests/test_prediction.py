@@ -203,3 +203,16 @@ def test_models_beat_the_mean_on_rows_they_did_not_see(spark):
         assert r2(learner.fit(train).transform(test)) > 0.8
     assert p.accuracy(m.forest_classifier(names, "label", 20, 6).fit(train).transform(test)).first().accuracy > 0.85
     assert r2(m.search_boosted(train, names, "y", {"maxDepth": [1, 3], "maxIter": [5]}, 2).transform(test)) > 0.6
+
+
+def test_nearest_rows_measure_few_pairs_and_heed_a_bound():
+    rng = np.random.default_rng(6)
+    x, y = 1000 + np.round(rng.normal(size=(50, 2)), 1), 1000 + np.round(rng.normal(size=(400, 2)), 1)
+    far = ((x[:, None] - y) ** 2).sum(2).round(9)
+    at, who, d2 = nearest_rows(x, y, 5, 9)
+    assert who.tolist() == np.argsort(far, axis=1, kind="stable")[:, :5].ravel().tolist() and (d2 == far[at, who]).all()
+    bound = np.where(np.arange(50) % 2, 0.05, np.nan)
+    at, who, _ = nearest_rows(x, y, 5, 9, bound=bound)
+    for i in range(50):
+        want = [j for j in np.argsort(far[i], kind="stable")[:5] if not i % 2 or far[i, j] <= 0.05]
+        assert [j for j in who[at == i].tolist() if not i % 2 or far[i, j] <= 0.05] == want
