@@ -216,3 +216,20 @@ def test_nearest_rows_measure_few_pairs_and_heed_a_bound():
     for i in range(50):
         want = [j for j in np.argsort(far[i], kind="stable")[:5] if not i % 2 or far[i, j] <= 0.05]
         assert [j for j in who[at == i].tolist() if not i % 2 or far[i, j] <= 0.05] == want
+
+
+def test_a_search_trains_only_the_longest_boosting(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(float(a), float(b), float(a * 3 + b)) for a, b in rng.normal(size=(150, 2))], "a double, b double, y double")
+    seen, make = [], m.boosted_trees
+
+    def counted(*a, **kw):
+        learner = make(*a, **kw)
+        fit = type(learner).fit
+        monkeypatch.setattr(type(learner), "fit", lambda self, data, params=None: seen.append({p.name: v for p, v in (params or {}).items()}) or fit(self, data, params))
+        return learner
+
+    monkeypatch.setattr(m, "boosted_trees", counted)
+    best = m.search_boosted(d, ["a", "b"], "y", {"maxDepth": [2], "maxIter": [2, 4]}, 2)
+    assert [s["maxIter"] for s in seen if s][:2] == [4, 4] and len([s for s in seen if s]) == 3
+    assert len(best.avgMetrics) == 2 and best.avgMetrics[1] > best.avgMetrics[0]
