@@ -347,6 +347,22 @@ def test_toxicity_learns_from_texts_of_6000_characters(spark):
     assert len(fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")).features.words)
 
 
+def test_toxicity_finds_first_states_once_and_takes_no_tanh_at_each_start(monkeypatch):
+    rng = random.Random(6)
+    net = train([" ".join(rng.choice(["mild", "foul", "vile", "kind"]) for _ in range(40)) for _ in range(20)], [i % 2 for i in range(20)], 0.5)
+    for k in ("xf", "xb", "uf", "ub"):
+        net.p[k] = net.p[k] * 40  # gates far beyond the range of exp
+    data, offsets = next((d, o) for _, _, d, o in tb.chunks(pa.array([" ".join(rng.choice(["mild", "foul", "vile", "kind"]) for _ in range(500))], pa.large_string())))
+    t = read(data, offsets)
+    size, n = net.settings.window, len(t.word) - net.settings.window + 1
+    x = net.gates(net.inputs(t))
+    want = net.run(x, np.arange(n), np.arange(n) + size, t.word).max()
+    seen, tanh = [], np.tanh
+    monkeypatch.setattr(np, "tanh", lambda a, *rest, **kw: seen.append(np.size(a)) or tanh(a, *rest, **kw))
+    assert abs(net.worst(t)[0] - max(-12.0, want)) < 1e-3
+    assert sum(seen) <= 4 * net.settings.hidden * len(t.hashes)
+
+
 def test_toxicity_scores_windows_at_every_start():
     rng = random.Random(5)
     size = Settings().window
