@@ -46,21 +46,24 @@ def _numbered(cells: DataFrame, by: str, value: str) -> DataFrame:
     return cells.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    return docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, keep: tuple[str, ...] = (), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), size.alias("size"), *[docs[c] for c in keep])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 256, seed: int = 7, **names) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 256, seed: int = 7, keep: tuple[str, ...] = (), **names) -> tuple[DataFrame, DataFrame]:
     """(plan, pieces).
 
     plan: doc_id, source, size (words), source_size, target, taken, copies (how often the mix starts the text), first_slot
-    (the slot in which it starts first; null if it never does): one row for each row of ``docs``.  pieces: slot, source, doc_id, part (words of the text that lie in the slot's block), epoch.
+    (the slot in which it starts first; null if it never does): one row for each row of ``docs``.  pieces: slot, source, doc_id, at (words of the source before the text), epoch, start (words of
+    the slot's block before the piece), part (words of the text that lie in the block); slots and starts ascend within an epoch of a text.
+    Columns of ``docs`` named in ``keep`` go into the pieces and decide the order of texts that share doc_id and size.
     Null texts and texts without words have size 0 and are never taken.  A null source is a source of its own, last in
     order.  Repeated rows count each for itself; null ids are allowed.  A table without words yields targets of 0, an
     empty one no rows.  The number of sources must fit the driver (one row for each); other columns are not read.
     """
     spark = docs.sparkSession
-    rows = stage(sized(docs, **names))
+    rows = stage(sized(docs, keep, **names))
     sources = [(r.source, r.words) for r in rows.groupBy("source").agg(F.sum("size").alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()]
     goal = targets(sources, weights, most)
     whole = [min(int(t + 0.5), int(most * n)) for t, (_, n) in zip(goal, sources)]
@@ -76,11 +79,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.lit(str(seed))).cast("binary"))
     cell = F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
     facts_small = F.broadcast(facts) if len(table) <= 100_000 else facts
-    placed = rows.join(facts_small, rows.source.eqNullSafe(facts.source)).select("doc_id", rows.source, "size", "source_size", "target", "take", "k", h.alias("h"), cell.alias("cell"))
+    placed = rows.join(facts_small, rows.source.eqNullSafe(facts.source)).select("doc_id", rows.source, "size", "source_size", "target", "take", "k", h.alias("h"), cell.alias("cell"), *keep)
     sums = _numbered(placed.groupBy("k", "cell").agg(F.sum("size").alias("words")), "k", "words").select("k", "cell", "before")
-    within = Window.partitionBy("k", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("k", "cell").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["k", "cell"])
-    ordered = stage(ordered.select("k", "doc_id", "source", "size", "source_size", "target", "take", (F.col("before") + F.col("inner")).alias("at")))
+    ordered = stage(ordered.select("k", "doc_id", "source", "size", "source_size", "target", "take", (F.col("before") + F.col("inner")).alias("at"), *keep))
 
     # pieces of texts in blocks of the repeated source
     epochs = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("take") / F.col("source_size")).cast("int") - 1))
@@ -88,17 +91,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     runs = runs.withColumn("lo", F.col("at") + F.col("epoch") * F.col("source_size"))
     runs = runs.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("take"))).filter("lo < hi")
     parts = runs.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
-    part = F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)
-    parts = parts.select("k", "source", "doc_id", "at", "epoch", "block", part.alias("part"))
+    first, last = F.greatest("lo", F.col("block") * block), F.least("hi", (F.col("block") + 1) * block)
+    parts = parts.select("k", "source", "doc_id", "at", "epoch", "block", (first - F.col("block") * block).alias("start"), (last - first).alias("part"), *keep)
 
     scheduled = schedule(spark, total, [t[6] for t in table])
-    pieces = scheduled.join(parts, ["k", "block"]).select("slot", "k", "source", "doc_id", "at", "epoch", "part")
+    pieces = scheduled.join(parts, ["k", "block"]).select("slot", "k", "source", "doc_id", "at", "epoch", "start", "part", *keep)
     got = pieces.groupBy("k", "at").agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
     starts = F.when((F.col("size") > 0) & (F.col("at") < F.col("take")), F.ceil((F.col("take") - F.col("at")) / F.col("source_size"))).otherwise(0)
     plan = ordered.join(got.withColumn("n", F.lit(True)), ["k", "at"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
     first = F.when(F.col("size") > 0, F.col("first_slot"))
-    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), starts.cast("long").alias("copies"), first.alias("first_slot")), pieces.drop("k", "at")
+    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), starts.cast("long").alias("copies"), first.alias("first_slot")), pieces.drop("k")
 
 
 def lattice_step(total: int) -> int:

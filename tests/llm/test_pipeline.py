@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline as cp
-from airgrid.llm.mixing import targets
+from airgrid.llm.mixing import lattice_step, targets
 from airgrid.llm.toxicity import fit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,6 +110,39 @@ def test_mixing_stage(spark, docs):
     assert by == +want
 
 
+def test_mixing_stage_carries_the_schedule_to_the_shards(spark, docs):
+    more = [(100 + i, words(f"m{i}x", 3 + 37 * i % 400), "c" if i % 3 else "a") for i in range(40)] + [(100, words("m0y", 3), "a"), (None, words("z", 600), "b")]
+    rows = [(i, t, s, len(WORD.findall(t or ""))) for i, t, s in corpus() + more]
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s))
+    total = [sum(r[3] for r in rows if r[2] == s) for s in sources]
+    take = [min(int(t + 0.5), 3 * n) for t, n in zip(targets(list(zip(sources, total))), total)]
+    owner = [s for s, t in zip(sources, take) for _ in range(-(-t // 256))]
+    order = [owner[i * lattice_step(len(owner)) % len(owner)] for i in range(len(owner))]
+    d = docs.union(spark.createDataFrame(more, SCHEMA))
+    got = cp.shard(spark, cp.mix_sources(spark, d, "").repartition(3), "").collect()
+    slots, starts, whole = collections.defaultdict(list), collections.Counter(), collections.Counter()
+    for r in got:
+        size, words_ = len(WORD.findall(r.text)), sum(p.words for p in r.mix_pieces)
+        assert 0 < words_ <= size and list(r.mix_pieces) == sorted(r.mix_pieces)
+        whole[r.source] += words_ < size
+        starts[r.doc_id, r.text, r.source, r.mix_epoch] += 1
+        text = iter(WORD.findall(r.text))
+        for p in r.mix_pieces:
+            slots[p.slot].append((p.start, r.source, [next(text) for _ in range(p.words)]))
+    assert sorted(slots) == list(range(len(owner))) and all(n <= 1 for n in whole.values())
+    held = collections.Counter((i, t, s) for i, t, s, _ in rows)
+    assert all(n <= held[key[:3]] for key, n in starts.items())
+    read = {s: [] for s in sources}
+    for slot, source in enumerate(order):
+        pieces = sorted(slots[slot])
+        assert {p[1] for p in pieces} == {source} and [p[0] for p in pieces] == [sum(len(q[2]) for q in pieces[:n]) for n in range(len(pieces))]
+        read[source] += [w for p in pieces for w in p[2]]
+    for s, n, t in zip(sources, total, take):  # each source's slots, in order, hold its texts again and again
+        assert len(read[s]) == t and read[s][n:] == read[s][: max(0, t - n)]
+        texts = sum((collections.Counter(WORD.findall(x or "")) for _, x, y, _ in rows if y == s), collections.Counter())
+        assert t < n or collections.Counter(read[s][:n]) == texts
+
+
 def test_sharding_stage(spark, docs):
     got = cp.shard(spark, docs, "").collect()
     assert collections.Counter((r.doc_id, r.text, r.source) for r in got) == collections.Counter(corpus())
